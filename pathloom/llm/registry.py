@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pathloom.llm import decontaminate, mixing, quality_rules, sharding
+from pathloom.llm import decontaminate, mixing, near_dups, quality_rules, sharding, token_planes
 
 QUERIES = {
     f.__name__: f
     for f in (
         decontaminate.op1_decontaminate,
+        near_dups.op2_minhash_near_dups,
+        token_planes.op3_token_planes,
         quality_rules.op4_quality_rules,
         mixing.op6_pfair_mix,
         sharding.op10_rendezvous_shards,
     )
 }
 
-ORACLES = {"op1_decontaminate": decontaminate.OP1_SQL}
+ORACLES = {"op1_decontaminate": decontaminate.OP1_SQL, "op2_minhash_near_dups": near_dups.OP2_SQL}
