@@ -26,6 +26,9 @@ _MIX = (U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
+#: Bytes that aren't part of a letter or digit: all of ASCII but these.
+MARKS = np.array([not (b > 127 or chr(b).isalnum()) for b in range(256)])
+
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -81,10 +84,10 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = stop
 
 
-def words(texts: pa.Array, lower: bool = False) -> Iterator[Words]:
-    """Words (runs of bytes that aren't white space) with a 64-bit hash each."""
+def words(texts: pa.Array, lower: bool = False, between: np.ndarray = SPACE) -> Iterator[Words]:
+    """Words (runs of bytes that aren't in ``between``) with a 64-bit hash each."""
     for row, offsets, data in slices(texts):
-        inside = ~SPACE[data]
+        inside = ~between[data]
         before = np.zeros(len(data) + 1, bool)
         before[1:] = inside
         cuts = offsets[:-1]
