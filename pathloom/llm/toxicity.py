@@ -1,19 +1,20 @@
 """Operator 8: toxicity from class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary texts, with absolute
-discounts; each backs off to its continuation unigrams (in how many contexts a
-word has been seen) and these to unigram counts of the whole corpus that both
-share, so a word which neither class has seen costs both about the same.  A
-document's evidence is the difference of the two log-likelihoods a word: over
-the whole text, and over its worst WINDOW words, as insults in a long text
-are few.  A logistic curve over both, fitted on labelled rows that the models
-haven't seen, gives the score.
+Two models of the letters of words, one of toxic and one of ordinary texts:
+interpolated Kneser-Ney with absolute discounts and contexts of up to ORDER - 1
+bytes within a word, so that a rare expression is known by its parts.  Below
+order SHARED + 1 both back off to the same counts, taken from every document
+of the corpus; a piece that neither class has seen then costs both about the
+same.  A word's evidence is the difference of its two log-likelihoods.  A
+document's is its mean over all words, over the worst WINDOW words (insults in
+a long text are few) and over the words that speak for toxic; a logistic
+curve over these, fitted on labelled rows that the models haven't counted,
+gives the score.
 
 Rows are dealt by crc32(doc_id as text) mod 3: 0 gives the models' counts, 2
 the curve, 1 is never learned from.  At most CLASS_ROWS labelled rows a class
 are counted and CURVE_ROWS fit the curve, those with the smallest md5 of
-doc_id, with their whole texts.  The shared counts cover every document; their
-table has a fixed number of hash buckets, whatever the corpus holds.
+doc_id, with their whole texts.
 
 Defined cases: texts without words, null texts: no evidence, the score of an
 average text; null labels aren't learned from; without rows of both classes
@@ -25,7 +26,7 @@ an empty table gives an empty result; extra columns pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,143 +40,185 @@ from pathloom.llm import text_kernels as tk
 CLASS_ROWS = 4096
 #: Labelled rows that fit the curve, at most.
 CURVE_ROWS = 8192
+#: Bytes of the longest grams, and of those whose counts both models share.
+ORDER, SHARED = 8, 2
 #: Words of the worst passage.
 WINDOW = 8
-#: Hash buckets of the shared counts.
-BUCKETS = 1 << 18
-#: Words before the first one of a text.
-START = np.uint64(0x5851F42D4C957F2D)
+#: A word speaks for toxic from this evidence on; more counts no more from the second.
+SPEAKS, LOUD = 1.0, 6.0
+#: Stands for the space around a word; no letter has this byte.
+EDGE = 1
+#: Words whose evidence a Python worker remembers.
+REMEMBERED = 500_000
 #: Predicted toxic from this score on.
 THRESHOLD = 0.7
 
-
-def _grams(w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
-    """(word before, bigram) of each word."""
-    before = np.empty_like(w.hashes)
-    before[1:] = w.hashes[:-1]
-    first = w.bounds[:-1]
-    before[first[first < len(before)]] = START
-    return before, tk.mix(before * np.uint64(0x9E3779B97F4A7C15) + w.hashes)
+U64 = np.uint64
+_MASKS = [U64((1 << 8 * k) - 1) for k in range(8)] + [U64((1 << 64) - 1)]
 
 
 def remainder(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 3
 
 
+def letter_grams(w: tk.Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, its length, word) of each letter of the chosen words and the edge
+    after it.  A gram is the letter with up to ORDER - 1 bytes before it, not
+    beyond the edge before the word, as a number whose last byte is the letter."""
+    sizes = w.ends[chosen] - w.starts[chosen] + 1
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(chosen)), sizes)
+    inner = np.arange(len(owner)) - np.repeat(ends - sizes, sizes)
+    letters = tk.LOWER[w.data[np.minimum(w.starts[chosen][owner] + inner, max(len(w.data) - 1, 0))]].astype(U64)
+    letters[ends - 1] = EDGE
+    padded = np.concatenate([np.full(ORDER, EDGE, U64), letters])
+    grams = np.zeros(len(letters), U64)
+    for back in range(ORDER):
+        byte = padded[ORDER - back : len(padded) - back]
+        inside = np.where(inner >= back, byte, np.where(inner + 1 == back, U64(EDGE), U64(0)))
+        grams |= inside << U64(8 * back)
+    return grams, np.minimum(inner + 2, ORDER), owner
+
+
+def _distinct_words(w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word with each hash, which of them each word is, how often)."""
+    _, first, which, n = np.unique(w.hashes, return_index=True, return_inverse=True, return_counts=True)
+    return first, which, n
+
+
 def shared_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Words of the whole corpus by hash bucket; each task sums up its own
-    first, and BUCKETS sums come to the driver."""
+    """Grams of SHARED bytes in the whole corpus; each task sums up its own
+    first, and at most 256 ** SHARED sums come to the driver."""
+    size = 256**SHARED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(size)
         for batch in batches:
             for w in tk.words(batch.column(0), lower=True, between=tk.MARKS):
-                total += np.bincount((w.hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+                first, _, n = _distinct_words(w)
+                grams, _, owner = letter_grams(w, first)
+                total += np.bincount((grams & _MASKS[SHARED]).astype(np.int64), n[owner], size)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["gram", "n"])
 
-    sums = docs.select(text).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got, out = sums.toArrow(), np.zeros(BUCKETS, np.int64)
-    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    sums = docs.select(text).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    got, out = sums.toArrow(), np.zeros(size)
+    out[got["gram"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
 def _counted(rows: DataFrame) -> pa.Table:
-    """before, word, c0, c1: the bigrams of rows(text, label) by class."""
+    """gram, c0, c1: how often each class of rows(text, label) has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False)
             for w in tk.words(batch.column(0), lower=True, between=tk.MARKS):
-                before, _ = _grams(w)
                 toxic = np.repeat(label[w.first_row : w.first_row + len(w)], np.diff(w.bounds)).astype(np.int64)
+                first, which, n = _distinct_words(w)
+                weight = np.bincount(which, toxic, len(first)).astype(np.int64)
+                grams, _, owner = letter_grams(w, first)
+                kept, at = np.unique(grams, return_inverse=True)
+                c1 = np.bincount(at, weight[owner], len(kept)).astype(np.int64)
+                c0 = np.bincount(at, (n - weight)[owner], len(kept)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(before.view(np.int64)), pa.array(w.hashes.view(np.int64)), pa.array(1 - toxic), pa.array(toxic)],
-                    names=["before", "word", "c0", "c1"],
+                    [pa.array(kept.view(np.int64)), pa.array(c0), pa.array(c1)], names=["gram", "c0", "c1"]
                 )
 
-    grams = rows.mapInArrow(run, "before bigint, word bigint, c0 bigint, c1 bigint")
-    return grams.groupBy("before", "word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toArrow()
+    grams = rows.mapInArrow(run, "gram bigint, c0 bigint, c1 bigint")
+    return grams.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toArrow()
 
 
 def _discount(counts: np.ndarray) -> float:
     """Ney's estimate n1 / (n1 + 2 n2)."""
     once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-    return once / (once + 2 * twice) if once else 0.5
+    return min(0.95, once / (once + 2 * twice)) if once else 0.5
+
+
+def _lookup(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+    return at, keys[at] == asked
+
+
+def _lengths(grams: np.ndarray) -> np.ndarray:
+    return sum((grams > _MASKS[k]).astype(np.int64) for k in range(8))
 
 
 @dataclass
 class Models:
-    """Both classes' tables; all arrays have a column a class."""
+    """For each order above SHARED: (grams, their discounted shares, contexts,
+    their weights of the order below), a column a class; and the shared
+    probabilities."""
 
-    bigrams: np.ndarray
-    bigram_part: np.ndarray
-    words: np.ndarray
-    word_p: np.ndarray
-    backoff: np.ndarray
-    new_word: np.ndarray
-    shared: np.ndarray
+    orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    base: np.ndarray
 
     @classmethod
     def build(cls, table: pa.Table, shared: np.ndarray) -> Models:
-        before, word = (table[c].to_numpy().view(np.uint64) for c in ("before", "word"))
+        grams = table["gram"].to_numpy().view(U64)
         counts = np.stack([table["c0"].to_numpy(), table["c1"].to_numpy()], axis=1).astype(np.float64)
-        base = (shared + 1.0) / (shared.sum() + BUCKETS)
-        words = np.unique(np.concatenate([before, word]))
-        at_before, at_word = np.searchsorted(words, before), np.searchsorted(words, word)
-        n = len(words)
-        part, word_p = np.zeros_like(counts), np.zeros((n, 2))
-        backoff, new_word = np.ones((n, 2)), np.ones(2)
-        spread = base[(words % np.uint64(BUCKETS)).astype(np.int64)]
-        for k in range(2):
-            c = counts[:, k]
-            seen = c > 0
-            total = np.bincount(at_before, c, n)
-            kinds = np.bincount(at_before, seen, n)
-            contexts = np.bincount(at_word, seen, n)
-            d = _discount(c)
-            part[:, k] = np.maximum(c - d, 0) / np.maximum(total[at_before], 1)
-            backoff[:, k] = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-            d, all_contexts = _discount(contexts), max(contexts.sum(), 1)
-            new_word[k] = d * (contexts > 0).sum() / all_contexts if contexts.any() else 1.0
-            word_p[:, k] = np.maximum(contexts - d, 0) / all_contexts + new_word[k] * spread
-        keys = tk.mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
-        order = np.argsort(keys)
-        return cls(
-            keys[order], part[order].astype(np.float32), words, word_p, backoff.astype(np.float32), new_word, base
-        )
-
-    def evidence(self, w: tk.Words) -> np.ndarray:
-        """log p(word | toxic) - log p(word | ordinary) of each word."""
-        before, grams = _grams(w)
-        n = len(self.words)
-        at = np.minimum(np.searchsorted(self.words, w.hashes), n - 1)
-        known = self.words[at] == w.hashes
-        spread = self.shared[(w.hashes % np.uint64(BUCKETS)).astype(np.int64)]
-        p = np.where(known[:, None], self.word_p[at], self.new_word * spread[:, None])
-        at_before = np.empty_like(at)
-        at_before[1:] = at[:-1]
-        first = w.bounds[:-1]
-        start = min(int(np.searchsorted(self.words, START)), n - 1)
-        at_before[first[first < len(at)]] = start
-        back = np.where((self.words[at_before] == before)[:, None], self.backoff[at_before], 1.0)
-        at_gram = np.minimum(np.searchsorted(self.bigrams, grams), len(self.bigrams) - 1)
-        seen = (self.bigrams[at_gram] == grams)[:, None]
-        p = np.where(seen, self.bigram_part[at_gram], 0.0) + back * p
+        lengths, orders = _lengths(grams), []
+        above: tuple[np.ndarray, np.ndarray] | None = None
+        for k in range(ORDER, SHARED, -1):
+            # Full grams by how often they occur, parts of longer ones by what stands before them.
+            own = lengths == k
+            parts = [(grams[own], counts[own])]
+            if above is not None:
+                parts.append((above[0] & _MASKS[k], (above[1] > 0).astype(np.float64)))
+            keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            values = np.concatenate([p[1] for p in parts])
+            c = np.stack([np.bincount(at, values[:, j], len(keys)) for j in range(2)], axis=1)
+            above = (keys, c)
+            contexts, at = np.unique(keys >> U64(8), return_inverse=True)
+            part, back = np.zeros_like(c), np.ones((len(contexts), 2))
+            for j in range(2):
+                d, total = _discount(c[:, j]), np.bincount(at, c[:, j], len(contexts))
+                kinds = np.bincount(at, c[:, j] > 0, len(contexts))
+                part[:, j] = np.maximum(c[:, j] - d, 0) / np.maximum(total[at], 1)
+                back[:, j] = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
+            orders.append((keys, part.astype(np.float32), contexts, back.astype(np.float32)))
+        n = shared.reshape(-1, 256) + 0.01
+        return cls(orders[::-1], (n / n.sum(axis=1, keepdims=True)).ravel())
+
+    def evidence(self, w: tk.Words, chosen: np.ndarray) -> np.ndarray:
+        """log p(word | toxic) - log p(word | ordinary) of the chosen words."""
+        grams, lengths, owner = letter_grams(w, chosen)
+        p = np.repeat(self.base[(grams & _MASKS[SHARED]).astype(np.int64)][:, None], 2, axis=1)
+        for k, (keys, part, contexts, back) in enumerate(self.orders, SHARED + 1):
+            long = np.flatnonzero(lengths >= k)
+            if not len(keys) or not len(long):
+                continue
+            gram = grams[long] & _MASKS[k]
+            at, known = _lookup(contexts, gram >> U64(8))
+            p[long] *= np.where(known[:, None], back[at], 1.0)
+            at, known = _lookup(keys, gram)
+            p[long] += np.where(known[:, None], part[at], 0.0)
         p = np.log(p)
-        return p[:, 1] - p[:, 0]
+        return np.bincount(owner, p[:, 1] - p[:, 0], len(chosen))
 
-    def features(self, texts: pa.Array) -> np.ndarray:
-        """(evidence a word, evidence a word of the worst WINDOW words)."""
-        out = np.zeros((len(texts), 2))
+    def features(self, texts: pa.Array, memory: dict[int, float] | None = None) -> np.ndarray:
+        """Evidence a word: over the text, over its worst WINDOW words, and of
+        the words that speak for toxic."""
+        memory = {} if memory is None else memory
+        out = np.zeros((len(texts), 3))
         for w in tk.words(texts, lower=True, between=tk.MARKS):
-            sums = np.concatenate([[0.0], np.cumsum(self.evidence(w))])
+            first, which, _ = _distinct_words(w)
+            names = w.hashes[first].tolist()
+            new = np.array([i for i, h in enumerate(names) if h not in memory], np.int64)
+            if len(new):
+                if len(memory) > REMEMBERED:
+                    memory.clear()
+                    new = np.arange(len(first))
+                memory.update(zip((names[i] for i in new), self.evidence(w, first[new]).tolist(), strict=True))
+            each = np.array([memory[h] for h in names])[which] if names else np.zeros(0)
+            sums = np.concatenate([[0.0], np.cumsum(each)])
+            loud = np.concatenate([[0.0], np.cumsum(np.clip(each - SPEAKS, 0, LOUD))])
             for i in range(len(w)):
                 a, b = w.bounds[i], w.bounds[i + 1]
                 if b > a:
                     size = min(WINDOW, b - a)
                     worst = (sums[a + size : b + 1] - sums[a : b + 1 - size]).max()
-                    out[w.first_row + i] = (sums[b] - sums[a]) / (b - a), worst / WINDOW
+                    out[w.first_row + i] = (sums[b] - sums[a]) / (b - a), worst / WINDOW, (loud[b] - loud[a]) / (b - a)
         return out
 
 
@@ -185,11 +228,12 @@ class Scorer:
     middle: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
+    memory: dict[int, float] = field(default_factory=dict)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.models is None:
             return np.full(len(texts), self.weights[0])
-        x = (self.models.features(texts) - self.middle) / self.scale
+        x = (self.models.features(texts, self.memory) - self.middle) / self.scale
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
 
 
@@ -224,28 +268,28 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     classes = [int((table[c].to_numpy() > 0).sum()) for c in ("c0", "c1")]
     if not all(classes):
         share = known.agg(F.avg("label")).first()[0] or 0.0
-        return Scorer(None, np.zeros(2), np.ones(2), np.array([share]))
+        return Scorer(None, np.zeros(3), np.ones(3), np.array([share]))
     models = Models.build(table, shared_counts(docs, text))
     held = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = held.value.features(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column(1)], names=["x0", "x1", "y"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, x.T.copy()), batch.column(1)], names=["x0", "x1", "x2", "y"])
 
     rows = texts.join(F.broadcast(_smallest(curve, CURVE_ROWS)), "label_key").select("text", "label")
-    got = rows.mapInArrow(run, "x0 double, x1 double, y int").orderBy("x0", "x1", "y").limit(CURVE_ROWS).toArrow()
-    x = np.stack([got["x0"].to_numpy(), got["x1"].to_numpy()], axis=1)
+    got = rows.mapInArrow(run, "x0 double, x1 double, x2 double, y int").orderBy("x0", "x1", "x2", "y").toArrow()
+    x = np.stack([got[c].to_numpy() for c in ("x0", "x1", "x2")], axis=1)
     y = got["y"].to_numpy().astype(np.float64)
     if not len(x):
-        return Scorer(models, np.zeros(2), np.ones(2), np.array([0.0, 1.0, 1.0]))
+        return Scorer(models, np.zeros(3), np.ones(3), np.array([0.0, 1.0, 1.0, 1.0]))
     middle, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     return Scorer(models, middle, scale, fit_curve((x - middle) / scale, y))
 
 
 def score_documents(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
     """``docs`` with ``score``; a column of that name is replaced."""
-    held = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded by CLASS_ROWS texts and BUCKETS
+    held = docs.sparkSession.sparkContext.broadcast(scorer)  # grams of at most 2 CLASS_ROWS texts
     docs = docs.drop(*[c for c in docs.columns if c.lower() == "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
