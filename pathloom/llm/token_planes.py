@@ -48,9 +48,9 @@ CHUNK_IDS = 1 << 18
 LEVEL = 3
 MAGIC = b"PLN1"
 _HEAD = struct.Struct("<4sB3xQII")
-#: Pieces remembered by a Python worker, and the ids they may have.
-PIECES = 400_000
-PIECE_IDS = 4_000_000
+#: Pieces remembered by a Python worker, and the ids they may have (some 80 MB).
+PIECES = 1_500_000
+PIECE_IDS = 8_000_000
 
 CHUNKS = (
     "shard int, chunk int, shard_start bigint, n_ids bigint, doc_ids array<bigint>, n_tokens array<bigint>, frame binary"
@@ -111,8 +111,61 @@ def unpack(frame: bytes) -> np.ndarray:
     return out
 
 
+class _Growing:
+    """An array that is extended in place, with room to spare."""
+
+    def __init__(self, values: np.ndarray):
+        self.room, self.n = values.copy(), len(values)
+
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.room):
+            room = np.empty((self.n + len(values)) * 3 // 2, self.room.dtype)
+            room[: self.n] = self.all()
+            self.room = room
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+class _Numbered:
+    """Numbers by 64-bit hash: a large sorted array and a small one of late comers."""
+
+    def __init__(self, keys: np.ndarray, numbers: np.ndarray):
+        order = np.argsort(keys)
+        self.parts = [(keys[order], numbers[order].astype(np.int64)), (np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), -1, np.int64)
+        for have, numbers in self.parts:
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                out = np.where(have[at] == keys, numbers[at], out)
+        return out
+
+    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        large, late = self.parts
+        keys, numbers = np.concatenate([late[0], keys]), np.concatenate([late[1], numbers])
+        if len(keys) > 100_000:
+            large, keys, numbers = (np.concatenate([large[0], keys]), np.concatenate([large[1], numbers])), keys[:0], numbers[:0]
+            order = np.argsort(large[0], kind="stable")
+            large = (large[0][order], large[1][order])
+        order = np.argsort(keys)
+        self.parts = [large, (keys[order], numbers[order])]
+
+
 class PieceEncoder:
-    """Encodes slices of texts; remembers the ids of pieces."""
+    """Encodes slices of texts; remembers the ids of pieces.
+
+    New pieces are encoded many at a time as one text.  Pieces that begin with
+    a space are strung together: each first token, and no other, begins with
+    the letter that stands for a space.  Those without one are set on lines of
+    their own: each newline is a token.
+    """
 
     def __init__(self, tokenizer_json: str, end_id: int):
         from tokenizers import Tokenizer
@@ -126,50 +179,123 @@ class PieceEncoder:
             and (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex", True)) == ("ByteLevel", False, True)
             and not any(c.isspace() for x in added for c in x)
         )
-        self.end_id = end_id
-        self.forget()
-
-    def forget(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.starts, self.ids = np.zeros(2, np.int64), np.array([self.end_id], np.uint32)
-        self.starts[1] = 1  # piece 0 is the end of a document
+        self.space, self.newline = self._marks()
+        # Pieces by a 64-bit hash: 0 is the end of a document, 1 a newline.
+        newline = self._ids("\n") if self.by_piece else np.zeros(0, np.int64)
+        self.ids = _Growing(np.concatenate([[end_id], newline]).astype(np.uint32))
+        self.starts = _Growing(np.array([0, 1, 1 + len(newline)], np.int64))
+        self.known = _Numbered(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.uses = np.zeros(PIECES + 2, np.int32)
+
+    def _marks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a token begins with a space, whether it is a newline."""
+        size = self.tokenizer.get_vocab_size()
+        space, newline = np.zeros(size, bool), np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            space[i], newline[i] = token.startswith("\u0120"), token == "\u010a"
+        return space, newline
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+
+    def _together(self, pieces: list[str], spaced: bool) -> list[np.ndarray]:
+        """The ids of pieces with (or without) a space before each."""
+        got = self._ids(("" if spaced else "\n").join(pieces))
+        if spaced:
+            parts = np.split(got, np.flatnonzero(self.space[got]))[1:]
+        else:
+            cuts = np.flatnonzero(self.newline[got])
+            parts = [p[k > 0 :] for k, p in enumerate(np.split(got, cuts))]
+        return parts if len(parts) == len(pieces) else [self._ids(p) for p in pieces]
 
     def learn(self, pieces: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        ends = np.cumsum([len(x) for x in got], dtype=np.int64) + self.starts[-1]
-        self.starts = np.concatenate([self.starts, ends])
-        self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.uint32)])
-
-    def encode(self, texts: list[str], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids with the end ids, number of ids of each text); whole: texts that
-        aren't cut into pieces."""
-        if len(self.codes) > PIECES or len(self.ids) > PIECE_IDS:
+        parts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for i, p in enumerate(pieces):
+            kinds[2 if len(p) > 1000 else int(p[0] == " ")].append(i)
+        for spaced in (True, False):
+            for at in range(0, len(kinds[spaced]), 500):
+                some = kinds[spaced][at : at + 500]
+                for i, part in zip(some, self._together([pieces[i] for i in some], spaced), strict=True):
+                    parts[i] = part
+        for i in kinds[2]:
+            parts[i] = self._ids(pieces[i])
+        self.starts.extend(self.starts.all()[-1] + np.cumsum([len(x) for x in parts], dtype=np.int64))
+        self.ids.extend(np.concatenate(parts).astype(np.uint32))
+
+    def forget(self) -> None:
+        """Keep the most used half of the pieces."""
+        names, codes = self.known.all()
+        order = np.argsort(-self.uses[codes], kind="stable")[: PIECES // 2]
+        starts = self.starts.all()
+        sizes = np.diff(starts)
+        room = np.cumsum(sizes[codes[order]]) <= PIECE_IDS // 2
+        kept = order[room & (self.uses[codes[order]] > 1)]
+        chosen = np.concatenate([[0, 1], codes[kept]])
+        at = np.repeat(starts[chosen] - np.concatenate([[0], np.cumsum(sizes[chosen])[:-1]]), sizes[chosen])
+        self.ids = _Growing(self.ids.all()[at + np.arange(len(at))])
+        self.starts = _Growing(np.concatenate([[0], np.cumsum(sizes[chosen])]))
+        self.known = _Numbered(names[kept], np.arange(2, len(kept) + 2))
+        self.uses[:] = 0
+
+    def _codes_of(self, names: np.ndarray, piece) -> np.ndarray:
+        """The codes of distinct hashes; ``piece(i)`` is the text of the i-th."""
+        codes = self.known.find(names)
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            first = len(self.starts.all()) - 1
+            self.learn([piece(i) for i in new])
+            codes[new] = first + np.arange(len(new))
+            self.known.add(names[new], codes[new])
+        return codes
+
+    def encode(self, w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids with the end ids, number of ids of each text)."""
+        # The next texts have fewer new pieces than bytes.
+        if len(self.starts.all()) + len(w.starts) > PIECES or len(self.ids.all()) > PIECE_IDS:
             self.forget()
-        new: list[str] = []
-        codes, known, counts = [], self.codes, np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if not text:
-                pieces = []
-            elif whole[i] or not self.by_piece:
-                pieces = [text]
-            else:
-                pieces = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-            for p in pieces:
-                if p not in known:
-                    known[p] = len(known) + 1
-                    new.append(p)
-            codes += [known[p] for p in pieces]
-            codes.append(0)
-            counts[i] = len(pieces) + 1
-        if new:
-            self.learn(new)
-        code = np.array(codes, np.int64)
-        sizes = self.starts[code + 1] - self.starts[code]
+        raw, n = w.data.tobytes(), len(w)
+        filled = np.diff(w.offsets) > 0
+        whole = filled & _cut_badly(w.offsets, w.data) if self.by_piece else filled
+        doc = np.repeat(np.arange(n), np.diff(w.bounds))
+        cut = ~whole[doc]
+        starts, ends, doc = w.starts[cut], w.ends[cut], doc[cut]
+        before = np.where(starts > w.offsets[doc], w.data[np.maximum(starts - 1, 0)] if len(w.data) else 0, 0)
+        spaced, newline = before == 32, before == 10
+        names, first, which = np.unique(
+            w.hashes[cut] ^ np.where(spaced, _SPACED, np.uint64(0)), return_index=True, return_inverse=True
+        )
+        begin = (starts - spaced)[first]
+        codes = self._codes_of(names, lambda i: raw[begin[i] : ends[first[i]]].decode())
+        # A text's pieces: its words, with a newline where one stands before; or itself.
+        sizes = np.bincount(doc, 1 + newline, n).astype(np.int64)
+        sizes[whole] = 1
+        last = np.cumsum(sizes + 1)
+        stream = np.zeros(int(last[-1]) if n else 0, np.int64)
+        inner = np.cumsum(1 + newline) - 1
+        opens = np.searchsorted(doc, np.arange(n))
+        skipped = np.concatenate([[0], inner + 1])[opens]
+        at = (last - sizes - 1)[doc] + inner - skipped[doc]
+        stream[at] = codes[which]
+        stream[at[newline] - 1] = 1
+        used = np.bincount(stream, minlength=2)[: len(self.uses)]
+        self.uses[: len(used)] += used.astype(np.int32)
+        got, starts = self.ids.all(), self.starts.all()
+        alone = {int(i): self._ids(raw[w.offsets[i] : w.offsets[i + 1]].decode()) for i in np.flatnonzero(whole)}
+        if alone:  # their ids follow the remembered ones for now
+            stream[[last[i] - 2 for i in alone]] = len(starts) - 1 + np.arange(len(alone))
+            starts = np.concatenate([starts, starts[-1] + np.cumsum([len(x) for x in alone.values()])])
+            got = np.concatenate([got, *(x.astype(np.uint32) for x in alone.values())])
+        origin = starts[stream]
+        sizes = starts[stream + 1] - origin
         ends = np.cumsum(sizes)
-        at = np.repeat(self.starts[code] - (ends - sizes), sizes)
+        at = np.repeat(origin - (ends - sizes), sizes)
         at += np.arange(len(at))
-        totals = ends[np.cumsum(counts) - 1]
-        return self.ids[at], np.diff(totals, prepend=0)
+        return got[at], np.diff(ends[last - 1], prepend=0)
+
+
+#: Set apart the hash of a word with a space before it.
+_SPACED = np.uint64(0x2545F4914F6CDD1D)
 
 
 def _cut_badly(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -215,12 +341,9 @@ def write_chunks(
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for row, offsets, data in tk.slices(batch.column(1)):
-                n = len(offsets) - 1
-                raw = data.tobytes()
-                texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                got, counts = encoder.encode(texts, _cut_badly(offsets, data))
-                keys += names[row : row + n]
+            for w in tk.words(batch.column(1)):
+                got, counts = encoder.encode(w)
+                keys += names[w.first_row : w.first_row + len(w)]
                 sizes += counts.tolist()
                 ids.append(got)
                 held += len(got)
