@@ -11,10 +11,14 @@ coordinates.
    signatures that agree on MATCHES coordinates share one of these (prefix).
    The long lists are the ones skipped; their collisions are counted from the
    signatures of a candidate pair instead.
-3. A list names candidates.  First each list only offers its members paired
-   with one leader (STAR_ROUNDS leaders one after the other), which joins large
-   groups without pairing them up; lists within one group end there.  What is
-   left are lists that hold several groups: all their pairs across groups.
+3. A list names candidates.  While its lists would give many pairs, a round
+   only pairs their members with a few leaders, others each round; confirmed
+   links join groups, and only pairs across groups are still of interest, so
+   large groups of near copies close without being paired up.  When rounds no
+   longer help, what is left is checked exactly: lists that overlap form a
+   cluster; a cluster with few pairs is joined by list; one with many is dealt
+   into blocks, and each pair of blocks is compared in a task of its own, which
+   emits one link for two groups at most and no pairs.
 4. A candidate that agrees on MATCHES coordinates is confirmed on the full
    sets of 64-bit shingle hashes, and confirmed links give the components.
 
@@ -44,7 +48,14 @@ from pathloom.llm.spark_tools import components, fresh, materialize
 COORDINATES = 64
 #: Coordinates that a pair has to agree on.
 MATCHES = 40
-STAR_ROUNDS = 2
+#: Leaders of a list in a round (two for each hash), and rounds at most.
+LEADER_HASHES = 3
+STAR_ROUNDS = 4
+#: A round has to do away with this share of the pairs, or it is the last.
+STAR_GAIN = 0.2
+#: Pairs across groups are joined up to so many a posting, beyond in blocks of about BLOCK rows.
+PAIRS_A_POSTING = 2
+BLOCK = 384
 #: References to representatives' texts that may be broadcast (some 40 MB); more
 #: are joined by a shuffle.
 BROADCAST_REFS = 400_000
@@ -125,20 +136,21 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _prefixes(reps: DataFrame) -> DataFrame:
-    """(list_key, rep): the postings under the prefixes."""
-    pairs = reps.select("rep", F.posexplode("sig").alias("c", "v")).select(
-        "rep", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")).alias("list_key")
+    """(list_key, rep, n_shingles): the postings under the prefixes."""
+    pairs = reps.select("rep", "n_shingles", F.posexplode("sig").alias("c", "v")).select(
+        "rep", "n_shingles", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")).alias("list_key")
     )
     shared = pairs.groupBy("list_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     kept = pairs.join(shared.hint("shuffle_hash"), "list_key")
     by_rep = W.partitionBy("rep")
     ranked = kept.select(
         "rep",
+        "n_shingles",
         "list_key",
         F.row_number().over(by_rep.orderBy("n", "list_key")).alias("r"),
         F.count(F.lit(1)).over(by_rep).alias("m"),
     )
-    return ranked.where(F.col("r") <= F.col("m") - (MATCHES - 1)).select("list_key", "rep")
+    return ranked.where(F.col("r") <= F.col("m") - (MATCHES - 1)).select("list_key", "rep", "n_shingles")
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -163,14 +175,139 @@ def _confirm(pairs: DataFrame, full: DataFrame, limit: tuple[int, int]) -> DataF
 
 
 def _grouped(postings: DataFrame, groups: DataFrame) -> DataFrame:
-    """Postings with the group of each representative, of lists that hold more
-    than one group."""
+    """list_key, rep, n_shingles, grp of the lists that hold several groups."""
     named = postings.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "list_key", "rep", F.coalesce("root", "rep").alias("grp")
+        "list_key", "rep", "n_shingles", F.coalesce("root", "rep").alias("grp")
+    )
+    open_ = named.groupBy("list_key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi")
+    return named.join(open_.select("list_key"), "list_key")
+
+
+def _pairs_left(lists: DataFrame) -> int:
+    """Pairs across groups in all lists, those in several lists counted again."""
+    sizes = lists.groupBy("list_key", "grp").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    each = sizes.groupBy("list_key").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    return int(each.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0)
+
+
+def _sized(a: str, b: str, limit: tuple[int, int]) -> Column:
+    """Whether two sets of these sizes can be linked at all."""
+    return F.least(a, b) * limit[1] >= F.greatest(a, b) * limit[0]
+
+
+def _star_pairs(lists: DataFrame, number: int, limit: tuple[int, int]) -> DataFrame:
+    """Each representative with the leaders, in other groups, of one of its
+    lists: the longest, among equals another one each round."""
+    sizes = lists.groupBy("list_key").agg(F.count(F.lit(1)).alias("n"))
+    longest = W.partitionBy("rep").orderBy(F.desc("n"), F.xxhash64("list_key", F.lit(number)))
+    one = lists.join(sizes, "list_key").withColumn("r", F.row_number().over(longest)).where("r = 1")
+    leaders = []
+    for k in range(LEADER_HASHES):
+        draw = F.struct(F.xxhash64("rep", F.lit(number), F.lit(k)).alias("h"), "rep", "grp", "n_shingles")
+        leaders += [F.min(draw), F.max(draw)]
+    led = one.groupBy("list_key").agg(F.array_distinct(F.array(*leaders)).alias("leaders"))
+    both = one.join(led.select("list_key", F.explode("leaders").alias("lead")), "list_key")
+    far = both.where((F.col("grp") != F.col("lead.grp")) & _sized("n_shingles", "lead.n_shingles", limit))
+    return far.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
+
+
+def _all_pairs(lists: DataFrame, limit: tuple[int, int]) -> DataFrame:
+    """Every pair across groups within a list."""
+    sides = [lists.select("list_key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n_shingles", "grp")]) for x in "ab"]
+    far = (F.col("grp_a") < F.col("grp_b")) & _sized("n_shingles_a", "n_shingles_b", limit)
+    return sides[0].join(sides[1], "list_key").where(far).select(
+        F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")
     )
-    member = F.struct("grp", "rep")
-    open_ = named.groupBy("list_key").agg(F.min(member).alias("lo"), F.max(member).alias("hi"))
-    return named.join(open_.where("lo.grp <> hi.grp"), "list_key")
+
+
+def _compare_blocks(limit: tuple[int, int]):
+    """An applyInArrow function over (side, rep, grp, shingles) of two blocks
+    (sides 0 and 1, or one block of side 0): a link for two groups at most."""
+    num, den = limit
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        order = np.argsort(side, kind="stable")
+        table, side = table.take(pa.array(order)), side[order]
+        reps, grps = table["rep"].to_numpy(), table["grp"].to_numpy()
+        lists = table["shingles"].combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        _, column, seen = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(reps)), sizes)
+        useful = seen[column] > 1  # a shingle of one set is in no intersection
+        row, column = row[useful], column[useful]
+        by = np.argsort(column, kind="stable")
+        row, column = row[by], column[by]
+        one, two = (side == 0), (side == 1) if side[-1] else (side == 0)
+        common = np.zeros((int(one.sum()), int(two.sum())))
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            a, b = np.searchsorted(column, [low, low + 4096])
+            held = np.zeros((len(reps), 4096), np.float32)
+            held[row[a:b], column[a:b] - low] = 1
+            common += held[one] @ held[two].T
+        total = sizes[one][:, None] + sizes[two][None, :] - common
+        linked = (den * common >= num * total) & (grps[one][:, None] != grps[two][None, :])
+        i, j = np.nonzero(linked)
+        codes = np.stack([np.minimum(grps[one][i], grps[two][j]), np.maximum(grps[one][i], grps[two][j])])
+        _, first = np.unique(codes, axis=1, return_index=True)
+        return pa.table({"a": reps[one][i[first]], "b": reps[two][j[first]]})
+
+    return run
+
+
+def _block_links(members: DataFrame, full: DataFrame, limit: tuple[int, int]) -> DataFrame:
+    """Links across the groups of each cluster; members(cluster, rep, grp)."""
+    sizes = members.groupBy("cluster", "grp").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy("cluster").agg(
+        F.max_by("grp", F.struct("n", "grp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")
+    )
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    placed = members.join(whole, "cluster").select(
+        "cluster",
+        "rep",
+        "grp",
+        (F.col("grp") == F.col("main")).alias("of_main"),
+        blocks(F.col("n_main")).alias("mains"),
+        F.greatest(blocks(F.col("n_all") - F.col("n_main")), F.lit(1)).alias("others"),
+    )
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("of_main"), F.col("mains")).otherwise(F.col("others")))
+    placed = placed.withColumn("mine", mine.cast("int"))
+    # The main group meets the other blocks; those meet the main blocks, themselves and each other.
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    task = lambda i, j, main, side: F.struct(i.alias("i"), j.alias("j"), F.lit(main).alias("m"), side.alias("side"))
+    me, zero, last = F.col("mine"), F.lit(0), F.lit(1)
+    main_tasks = F.transform(each(F.col("others")), lambda k: task(k, me, True, last))
+    other_tasks = F.concat(
+        F.transform(each(F.col("mains")), lambda k: task(me, k, True, zero)),
+        F.transform(
+            each(F.col("others")),
+            lambda k: task(F.least(me, k), F.greatest(me, k), False, F.when(me > k, last).otherwise(zero)),
+        ),
+    )
+    dealt = placed.join(full.select("rep", "shingles"), "rep").select(
+        "cluster", "rep", "grp", "shingles", F.explode(F.when(F.col("of_main"), main_tasks).otherwise(other_tasks)).alias("t")
+    )
+    rows = dealt.select("cluster", "t.i", "t.j", "t.m", "t.side", "rep", "grp", "shingles")
+    return rows.groupBy("cluster", "i", "j", "m").applyInArrow(_compare_blocks(limit), "a bigint, b bigint")
+
+
+def _rest_links(lists: DataFrame, tried: DataFrame, full: DataFrame, limit: tuple[int, int]) -> DataFrame:
+    """All links across groups between members of a common list."""
+    heads = lists.groupBy("list_key").agg(F.min("rep").alias("head"))
+    edges = lists.join(heads, "list_key").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    clusters = components(edges, "near-clusters").withColumnRenamed("node", "rep")
+    named = lists.join(clusters, "rep", "left").withColumn("cluster", F.coalesce("root", "rep")).drop("root")
+    named = materialize(named, "near-clustered")
+    sizes = named.groupBy("cluster", "list_key", "grp").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    each = sizes.groupBy("cluster", "list_key").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    load = each.groupBy("cluster").agg(
+        F.sum("s").alias("postings"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")
+    )
+    load = load.select("cluster", (F.col("pairs") > F.col("postings") * PAIRS_A_POSTING).alias("dense"))
+    named = named.join(load, "cluster")
+    pairs = _all_pairs(named.where("not dense"), limit).distinct().join(tried, ["a", "b"], "left_anti")
+    members = named.where("dense").select("cluster", "rep", "grp").distinct()
+    return _confirm(materialize(pairs, "near-candidates"), full, limit).union(_block_links(members, full, limit))
 
 
 def classes(
@@ -187,6 +324,7 @@ def classes(
         F.min("doc_id").alias("first_id"),
         F.min("ref").alias("first_ref"),
         F.count(F.lit(1)).alias("copies"),
+        F.any_value("n_shingles").alias("n_shingles"),
         F.any_value("sig").alias("sig"),
     )
     reps = materialize(one, "near-representatives")
@@ -207,24 +345,22 @@ def classes(
     empty = postings.select(F.col("rep").alias("node"), F.col("rep").alias("root")).limit(0)
     groups, links = empty, postings.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     tried = links
+    few, before = PAIRS_A_POSTING * postings.count(), float("inf")
     for number in range(STAR_ROUNDS + 1):
-        lists = _grouped(postings, groups)
-        if number < STAR_ROUNDS:
-            lead = F.col("lo") if number % 2 == 0 else F.col("hi")
-            far, lead = F.col("grp") != lead["grp"], lead["rep"]
-            pairs = lists.where(far).select(F.least("rep", lead).alias("a"), F.greatest("rep", lead).alias("b"))
+        lists = materialize(_grouped(postings, groups), "near-open-lists")
+        pairs_left = _pairs_left(lists)
+        last = number == STAR_ROUNDS or pairs_left <= few or pairs_left > (1 - STAR_GAIN) * before
+        before = pairs_left
+        if last:
+            found = _rest_links(lists, tried, full, limit)
         else:
-            left = lists.select("list_key", F.col("rep").alias("a"), F.col("grp").alias("grp_a"))
-            right = lists.select("list_key", F.col("rep").alias("b"), F.col("grp").alias("grp_b"))
-            pairs = left.join(right, "list_key").where("grp_a < grp_b").select(
-                F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-            )
-        pairs = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "near-candidates")
-        if pairs.isEmpty():
-            break
-        links = materialize(links.union(_confirm(pairs, full, limit)), "near-links")
-        tried = tried.union(pairs)
+            pairs = _star_pairs(lists, number, limit).distinct().join(tried, ["a", "b"], "left_anti")
+            pairs = materialize(pairs, "near-candidates")
+            found, tried = _confirm(pairs, full, limit), tried.union(pairs)
+        links = materialize(links.union(found), "near-links")
         groups = components(links, "near-components")
+        if last:
+            break
 
     # Names: the smallest doc_id of each class; lone representatives name themselves.
     rooted = reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
