@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathloom.llm import decontaminate, mixing, near_dups, quality_rules, sharding, token_planes, toxicity
+from pathloom.llm import decontaminate, licenses, mixing, near_dups, quality_rules, sharding, token_planes, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         token_planes.op3_token_planes,
         quality_rules.op4_quality_rules,
         mixing.op6_pfair_mix,
+        licenses.op7_license_scan,
         toxicity.op8_kneser_ney_toxicity,
         sharding.op10_rendezvous_shards,
     )
