@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathloom.llm import decontaminate, licenses, mixing, near_dups, quality_rules, sharding, token_planes, toxicity
+from pathloom.llm import decontaminate, licenses, mixing, near_dups, quality_rules, repeats, sharding, token_planes, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         near_dups.op2_minhash_near_dups,
         token_planes.op3_token_planes,
         quality_rules.op4_quality_rules,
+        repeats.op5_repeated_passages,
         mixing.op6_pfair_mix,
         licenses.op7_license_scan,
         toxicity.op8_kneser_ney_toxicity,
@@ -18,4 +19,8 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op1_decontaminate": decontaminate.OP1_SQL, "op2_minhash_near_dups": near_dups.OP2_SQL}
+ORACLES = {
+    "op1_decontaminate": decontaminate.OP1_SQL,
+    "op2_minhash_near_dups": near_dups.OP2_SQL,
+    "op5_repeated_passages": repeats.OP5_SQL,
+}
