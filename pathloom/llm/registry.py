@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathloom.llm import decontaminate, licenses, mixing, near_dups, quality_rules, repeats, sharding, token_planes, toxicity
+from pathloom.llm import decontaminate, licenses, line_dups, mixing, near_dups, quality_rules, repeats, sharding, token_planes, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES = {
         mixing.op6_pfair_mix,
         licenses.op7_license_scan,
         toxicity.op8_kneser_ney_toxicity,
+        line_dups.op9_fuzzy_lines,
         sharding.op10_rendezvous_shards,
     )
 }
