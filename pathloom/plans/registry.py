@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathloom.plans import basics
+from pathloom.plans import analytics, basics
 
-QUERIES = {**basics.QUERIES}
-ORACLES = {**basics.ORACLES}
+QUERIES = {**basics.QUERIES, **analytics.QUERIES}
+ORACLES = {**basics.ORACLES, **analytics.ORACLES}
