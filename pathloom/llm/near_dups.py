@@ -255,6 +255,13 @@ def _compare_blocks(limit: tuple[int, int]):
     return run
 
 
+def _small(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written, and broadcast if it has few rows, so that a join with it
+    needn't bring a large cluster together."""
+    out = materialize(df, label)
+    return F.broadcast(out) if out.count() <= BROADCAST_REFS else out
+
+
 def _block_links(members: DataFrame, full: DataFrame, limit: tuple[int, int]) -> DataFrame:
     """Links across the groups of each cluster; members(cluster, rep, grp)."""
     sizes = members.groupBy("cluster", "grp").agg(F.count(F.lit(1)).alias("n"))
@@ -262,7 +269,7 @@ def _block_links(members: DataFrame, full: DataFrame, limit: tuple[int, int]) ->
         F.max_by("grp", F.struct("n", "grp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")
     )
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    placed = members.join(whole, "cluster").select(
+    placed = members.join(_small(whole, "near-cluster-sizes"), "cluster").select(
         "cluster",
         "rep",
         "grp",
@@ -303,10 +310,10 @@ def _rest_links(lists: DataFrame, tried: DataFrame, full: DataFrame, limit: tupl
     load = each.groupBy("cluster").agg(
         F.sum("s").alias("postings"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")
     )
-    load = load.select("cluster", (F.col("pairs") > F.col("postings") * PAIRS_A_POSTING).alias("dense"))
-    named = named.join(load, "cluster")
-    pairs = _all_pairs(named.where("not dense"), limit).distinct().join(tried, ["a", "b"], "left_anti")
-    members = named.where("dense").select("cluster", "rep", "grp").distinct()
+    dense = _small(load.where(F.col("pairs") > F.col("postings") * PAIRS_A_POSTING).select("cluster"), "near-dense")
+    sparse = named.join(dense, "cluster", "left_anti")
+    pairs = _all_pairs(sparse, limit).distinct().join(tried, ["a", "b"], "left_anti")
+    members = materialize(named.join(dense, "cluster").select("cluster", "rep", "grp").distinct(), "near-members")
     return _confirm(materialize(pairs, "near-candidates"), full, limit).union(_block_links(members, full, limit))
 
 

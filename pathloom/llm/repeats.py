@@ -156,7 +156,9 @@ def passages(
     that another document has too."""
     texts = docs.select(doc_key(key, text).alias("doc"), F.col(text).alias("text"))
     every = materialize(_suffixes(texts, min_words, anchor), "repeat-suffixes")
+    # Written tables on both sides of a join let Spark split a place that many documents have.
     shared = every.groupBy("place").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("place")
+    shared = materialize(shared, "repeat-shared")
     kept = materialize(every.join(shared.hint("shuffle_hash"), "place"), "repeat-places")
 
     # One row a kind of region: the documents it is in, and where it stands in one of them.
@@ -181,7 +183,8 @@ def passages(
     parts = _islands(some.select("place", "region", "start").distinct(), ["place", "region"])
 
     # Back to every suffix of these kinds, then merge what overlaps in a document.
-    found = kept.join(whole.unionByName(parts), ["place", "region"]).select(
+    marks = materialize(whole.unionByName(parts), "repeat-marks")
+    found = kept.join(marks, ["place", "region"]).select(
         "doc", (F.col("at") + F.col("low")).alias("a"), (F.col("at") + F.col("high") + min_words).alias("b")
     )
     order = W.partitionBy("doc").orderBy("a", "b")
