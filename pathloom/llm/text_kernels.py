@@ -84,8 +84,15 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = stop
 
 
-def words(texts: pa.Array, lower: bool = False, between: np.ndarray = SPACE) -> Iterator[Words]:
-    """Words (runs of bytes that aren't in ``between``) with a 64-bit hash each."""
+#: A full stop or comma, and letters of ASCII.
+STOP = np.array([chr(b) in ".," for b in range(256)])
+LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+
+
+def words(texts: pa.Array, lower: bool = False, between: np.ndarray = SPACE, stops: bool = False) -> Iterator[Words]:
+    """Words (runs of bytes that aren't in ``between``) with a 64-bit hash each.
+    With ``stops`` a word doesn't hold one full stop or comma at its end, if a
+    letter of ASCII stands before that."""
     for row, offsets, data in slices(texts):
         inside = ~between[data]
         before = np.zeros(len(data) + 1, bool)
@@ -102,6 +109,8 @@ def words(texts: pa.Array, lower: bool = False, between: np.ndarray = SPACE) ->
         tails = tails[(tails >= 0) & (offsets[1:] > offsets[:-1])]
         last[tails] = inside[tails]
         ends = np.flatnonzero(last) + 1
+        if stops and len(ends):
+            ends = ends - (STOP[data[ends - 1]] & (ends - starts > 1) & LETTER[data[ends - 2]])
         letters = (LOWER[data] if lower else data).astype(U64)
         letters += U64(1)
         letters *= _power("up", len(data))

@@ -14,8 +14,8 @@ ids u64, ids a block u32, blocks u32; for each block planes u32 and for each
 plane its length u32; then the planes in that order.
 
 With a byte-level tokenizer no token spans a single space or newline between
-two other characters, so a text is cut there and pieces are encoded once and
-remembered; a text with any other white space is encoded whole.  Both ways give
+two other characters, or a letter and the stop that ends its word, so a text is
+cut there and pieces are encoded once and remembered; a text with any other white space is encoded whole.  Both ways give
 the ids of the whole text.
 
 Defined cases: null text is encoded as empty, so it has the end id only; null
@@ -51,6 +51,10 @@ _HEAD = struct.Struct("<4sB3xQII")
 #: Pieces remembered by a Python worker, and the ids they may have (some 80 MB).
 PIECES = 1_500_000
 PIECE_IDS = 8_000_000
+#: Pieces that are encoded as one text.
+TOGETHER = 100
+#: Pieces of one character: codes 1, 2 and 3.
+FIXED = ("\n", ".", ",")
 
 CHUNKS = (
     "shard int, chunk int, shard_start bigint, n_ids bigint, doc_ids array<bigint>, n_tokens array<bigint>, frame binary"
@@ -180,12 +184,12 @@ class PieceEncoder:
             and not any(c.isspace() for x in added for c in x)
         )
         self.space, self.newline = self._marks()
-        # Pieces by a 64-bit hash: 0 is the end of a document, 1 a newline.
-        newline = self._ids("\n") if self.by_piece else np.zeros(0, np.int64)
-        self.ids = _Growing(np.concatenate([[end_id], newline]).astype(np.uint32))
-        self.starts = _Growing(np.array([0, 1, 1 + len(newline)], np.int64))
+        # Pieces by a 64-bit hash; before them the end of a document and FIXED.
+        fixed = [np.array([end_id]), *(self._ids(x) for x in FIXED)]
+        self.ids = _Growing(np.concatenate(fixed).astype(np.uint32))
+        self.starts = _Growing(np.cumsum([0, *map(len, fixed)]))
         self.known = _Numbered(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.uses = np.zeros(PIECES + 2, np.int32)
+        self.uses = np.zeros(PIECES + 1 + len(FIXED), np.int32)
 
     def _marks(self) -> tuple[np.ndarray, np.ndarray]:
         """Whether a token begins with a space, whether it is a newline."""
@@ -198,30 +202,38 @@ class PieceEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
 
-    def _together(self, pieces: list[str], spaced: bool) -> list[np.ndarray]:
-        """The ids of pieces with (or without) a space before each."""
-        got = self._ids(("" if spaced else "\n").join(pieces))
-        if spaced:
-            parts = np.split(got, np.flatnonzero(self.space[got]))[1:]
-        else:
-            cuts = np.flatnonzero(self.newline[got])
-            parts = [p[k > 0 :] for k, p in enumerate(np.split(got, cuts))]
-        return parts if len(parts) == len(pieces) else [self._ids(p) for p in pieces]
+    def _together(self, pieces: list[str], spaced: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, number of ids of each) for runs of pieces with (or without) a
+        space before each."""
+        runs = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+        texts = [("" if spaced else "\n").join(r) for r in runs]
+        out = []
+        for run, found in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            got = np.array(found.ids, np.int64)
+            if spaced:
+                sizes = np.diff(np.flatnonzero(self.space[got]), append=len(got))
+            else:
+                sizes = np.diff(np.flatnonzero(self.newline[got]), prepend=-1, append=len(got)) - 1
+                got = got[~self.newline[got]]
+            if len(sizes) != len(run):
+                each = [self._ids(p) for p in run]
+                got, sizes = np.concatenate(each), np.array([len(x) for x in each])
+            out.append((got, sizes))
+        return out
 
-    def learn(self, pieces: list[str]) -> None:
-        parts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
+    def learn(self, pieces: list[str]) -> np.ndarray:
+        """Remember pieces; returns the order in which they are numbered."""
         kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
         for i, p in enumerate(pieces):
-            kinds[2 if len(p) > 1000 else int(p[0] == " ")].append(i)
-        for spaced in (True, False):
-            for at in range(0, len(kinds[spaced]), 500):
-                some = kinds[spaced][at : at + 500]
-                for i, part in zip(some, self._together([pieces[i] for i in some], spaced), strict=True):
-                    parts[i] = part
+            kinds[2 if len(p) > 1000 else p[0] == " "].append(i)
+        parts = [x for k in (1, 0) for x in self._together([pieces[i] for i in kinds[k]], k == 1)]
         for i in kinds[2]:
-            parts[i] = self._ids(pieces[i])
-        self.starts.extend(self.starts.all()[-1] + np.cumsum([len(x) for x in parts], dtype=np.int64))
-        self.ids.extend(np.concatenate(parts).astype(np.uint32))
+            ids = self._ids(pieces[i])
+            parts.append((ids, np.array([len(ids)])))
+        sizes = np.concatenate([n for _, n in parts])
+        self.starts.extend(self.starts.all()[-1] + np.cumsum(sizes))
+        self.ids.extend(np.concatenate([ids for ids, _ in parts]).astype(np.uint32))
+        return np.array(kinds[1] + kinds[0] + kinds[2])
 
     def forget(self) -> None:
         """Keep the most used half of the pieces."""
@@ -231,11 +243,11 @@ class PieceEncoder:
         sizes = np.diff(starts)
         room = np.cumsum(sizes[codes[order]]) <= PIECE_IDS // 2
         kept = order[room & (self.uses[codes[order]] > 1)]
-        chosen = np.concatenate([[0, 1], codes[kept]])
+        chosen = np.concatenate([np.arange(1 + len(FIXED)), codes[kept]])
         at = np.repeat(starts[chosen] - np.concatenate([[0], np.cumsum(sizes[chosen])[:-1]]), sizes[chosen])
         self.ids = _Growing(self.ids.all()[at + np.arange(len(at))])
         self.starts = _Growing(np.concatenate([[0], np.cumsum(sizes[chosen])]))
-        self.known = _Numbered(names[kept], np.arange(2, len(kept) + 2))
+        self.known = _Numbered(names[kept], 1 + len(FIXED) + np.arange(len(kept)))
         self.uses[:] = 0
 
     def _codes_of(self, names: np.ndarray, piece) -> np.ndarray:
@@ -244,8 +256,8 @@ class PieceEncoder:
         new = np.flatnonzero(codes < 0)
         if len(new):
             first = len(self.starts.all()) - 1
-            self.learn([piece(i) for i in new])
-            codes[new] = first + np.arange(len(new))
+            order = self.learn([piece(i) for i in new])
+            codes[new[order]] = first + np.arange(len(new))
             self.known.add(names[new], codes[new])
         return codes
 
@@ -267,17 +279,20 @@ class PieceEncoder:
         )
         begin = (starts - spaced)[first]
         codes = self._codes_of(names, lambda i: raw[begin[i] : ends[first[i]]].decode())
-        # A text's pieces: its words, with a newline where one stands before; or itself.
-        sizes = np.bincount(doc, 1 + newline, n).astype(np.int64)
+        after = np.where(ends < w.offsets[doc + 1], w.data[np.minimum(ends, len(w.data) - 1)] if len(w.data) else 0, 0)
+        stop = np.where(after == 46, 2, np.where(after == 44, 3, 0))
+        # A text's pieces: its words, with a newline before or a stop after some; or itself.
+        pieces = 1 + newline + (stop > 0)
+        sizes = np.bincount(doc, pieces, n).astype(np.int64)
         sizes[whole] = 1
         last = np.cumsum(sizes + 1)
         stream = np.zeros(int(last[-1]) if n else 0, np.int64)
-        inner = np.cumsum(1 + newline) - 1
+        before_it = np.concatenate([[0], np.cumsum(pieces)])
         opens = np.searchsorted(doc, np.arange(n))
-        skipped = np.concatenate([[0], inner + 1])[opens]
-        at = (last - sizes - 1)[doc] + inner - skipped[doc]
+        at = (last - sizes - 1 - before_it[opens])[doc] + before_it[:-1] + newline
         stream[at] = codes[which]
         stream[at[newline] - 1] = 1
+        stream[at[stop > 0] + 1] = stop[stop > 0]
         used = np.bincount(stream, minlength=2)[: len(self.uses)]
         self.uses[: len(used)] += used.astype(np.int32)
         got, starts = self.ids.all(), self.starts.all()
@@ -341,7 +356,7 @@ def write_chunks(
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for w in tk.words(batch.column(1)):
+            for w in tk.words(batch.column(1), stops=True):
                 got, counts = encoder.encode(w)
                 keys += names[w.first_row : w.first_row + len(w)]
                 sizes += counts.tolist()
