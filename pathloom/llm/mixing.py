@@ -109,3 +109,28 @@ def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in a mixture of its sources at temperature 0.5."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.md5("text").alias("text"))
     return mix_sources(docs).select("doc_id", "source", *RESULTS)
+
+
+OP6_SQL = """
+WITH RECURSIVE docs AS (
+    SELECT doc_id, source, coalesce('=' || source, '') AS k,
+           row_number() OVER (PARTITION BY source ORDER BY substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(text), '')), 1, 3),
+                              doc_id NULLS FIRST, md5(coalesce(md5(text), ''))) - 1 AS source_rank
+    FROM documents),
+weights AS (SELECT k, sqrt(count(*)) AS w FROM docs GROUP BY k),
+units AS (SELECT k, greatest(1, CAST(floor(1000 * w / sum(w) OVER ()) AS BIGINT)) AS q FROM weights),
+shape AS (SELECT list(k ORDER BY k) AS ks, list(q ORDER BY k) AS qs, CAST(sum(q) AS BIGINT) AS total FROM units),
+edf(t, js, pick) AS (
+    SELECT CAST(-1 AS BIGINT), list_transform(qs, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM shape
+    UNION ALL
+    SELECT t, list_transform(range(1, len(js) + 1), lambda i: js[i] + CASE WHEN i = p THEN 1 ELSE 0 END), p
+    FROM (SELECT t + 1 AS t, js, list_min(list_transform(
+              list_filter(range(1, len(js) + 1), lambda i: js[i] < qs[i] AND (js[i] * total) // qs[i] <= t + 1),
+              lambda i: -((-(js[i] + 1) * total) // qs[i]) * 1000000 + i)) % 1000000 AS p
+          FROM edf, shape WHERE t + 1 < total)),
+slots AS (
+    SELECT ks[pick] AS k, qs[pick] AS q, total, js[pick] - 1 AS j, t FROM edf, shape WHERE pick IS NOT NULL)
+SELECT d.doc_id, d.source, d.source_rank, d.source_rank // 16 AS block,
+       (d.source_rank // 16) // s.q * s.total + s.t AS slot, d.source_rank % 16 AS "offset"
+FROM docs d JOIN units u ON d.k = u.k JOIN slots s ON s.k = d.k AND s.j = (d.source_rank // 16) % u.q
+"""

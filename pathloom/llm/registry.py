@@ -24,4 +24,6 @@ ORACLES = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op2_minhash_near_dups": near_dups.OP2_SQL,
     "op5_repeated_passages": repeats.OP5_SQL,
+    "op6_pfair_mix": mixing.OP6_SQL,
+    "op10_rendezvous_shards": sharding.OP10_SQL,
 }

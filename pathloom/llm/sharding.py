@@ -86,3 +86,29 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str, shards: int = 8) ->
         "slot",
         rendezvous(key, [1.0] * (shards + 1)).alias("grown_shard"),
     )
+
+
+def _oracle(shards: int = 8) -> str:
+    """SQL for the query; the checksum is folded over a text's bytes."""
+    digit = "(('0x' || {})::BIGINT)"
+    steps, last = "", "c0"
+    for i in range(1, 9):
+        steps += f", c{i} AS (SELECT i, xor(v >> 1, (v & 1) * 3988292384) AS v FROM {last})"
+        last = f"c{i}"
+    draws = f"""SELECT doc_row, arg_max(s, (h, -s)) AS s FROM (SELECT doc_row, s, {digit.format("substr(md5(k || ':' || s), 1, 13)")} AS h
+        FROM d, range({{}}) AS t(s)) GROUP BY doc_row"""
+    return f"""
+WITH c0 AS (SELECT i, i AS v FROM range(256) AS t(i)){steps},
+crc AS (SELECT list(v ORDER BY i) AS v FROM {last}),
+d AS (SELECT doc_id, row_number() OVER () AS doc_row, coalesce(text, '') AS body, coalesce(CAST(doc_id AS VARCHAR), 't' || md5(coalesce(text, ''))) AS k FROM documents),
+raw AS (SELECT doc_row, list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda x: {digit.format("x")}) AS b FROM d),
+sums AS (SELECT doc_row, CAST(len(b) + 1 AS BIGINT) AS size,
+    xor(list_reduce(b, lambda c, x: xor(c >> 8, v[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM raw, crc),
+now AS ({draws.format(shards)}), grown AS ({draws.format(shards + 1)})
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(now.s AS INT) AS shard,
+    row_number() OVER (PARTITION BY now.s ORDER BY substr(md5(k), 1, 3), doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(grown.s AS INT) AS grown_shard
+FROM d JOIN sums USING (doc_row) JOIN now USING (doc_row) JOIN grown USING (doc_row)
+"""
+
+
+OP10_SQL = _oracle()
