@@ -27,6 +27,7 @@ gives no chunks; extra columns aren't written.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -172,6 +173,7 @@ class PieceEncoder:
     """
 
     def __init__(self, tokenizer_json: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -208,8 +210,8 @@ class PieceEncoder:
         runs = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
         texts = [("" if spaced else "\n").join(r) for r in runs]
         out = []
-        for run, found in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            got = np.array(found.ids, np.int64)
+        for run, text in zip(runs, texts, strict=True):
+            got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
             if spaced:
                 sizes = np.diff(np.flatnonzero(self.space[got]), append=len(got))
             else:
