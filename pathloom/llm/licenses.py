@@ -2,13 +2,13 @@
 
 A text's words are hashed and every run of SHINGLE words is a shingle; every
 WINDOW neighbouring shingles are a window (SHINGLE + WINDOW - 1 words, each
-overlapping the next).  A window's signature has BANDS minima of its shingle
-hashes, each under another mask, and each is a band.  Templates are cut into
+overlapping the next).  A window's signature has BANDS minima of its shingles,
+each under a hash of its own, and each is a band.  Templates are cut into
 windows the same way, so a verbatim window meets its twin in all bands, and a
-window of similarity J meets it with probability 1 - (1 - J) ** BANDS.  The
-worst case is a template of a single shingle: it lies in two windows of
-similarity 1/2, and is retrieved with probability 1 - 2 ** (-2 * BANDS), over
-0.9997.  A template with edits keeps some verbatim windows.
+window of similarity J meets it with probability 1 - (1 - J) ** BANDS.  A
+template of a single shingle has no window of its own in a longer text, so it
+is looked for among windows of one shingle, in a band more: a verbatim one
+always meets its twin.  A template with edits keeps some verbatim windows.
 
 A template that a band retrieves is verified exactly: the share of its
 distinct shingles that the whole document holds is at least MIN_CONTAINED.
@@ -66,9 +66,6 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
-#: Masks of the minima: their first three bits differ, so each looks in another part of the hash space.
-_MASKS = [((2 * i + 1) << 60) - (1 << 63) + 0x5DEECE66D * i for i in range(BANDS)]
-
 
 def word_hashes(text: Column) -> Column:
     """A 64-bit hash of each word: runs of letters and digits, lower-cased."""
@@ -84,12 +81,19 @@ def shingles(words: Column, size: int) -> Column:
 
 
 def band_keys(runs: Column, band: int) -> Column:
-    """The band's key of each window: the least of its shingles under a mask."""
-    low = F.transform(runs, lambda x: x.bitwiseXOR(F.lit(_MASKS[band])))
-    for step in range(1, WINDOW):
-        later = F.slice(runs, step + 1, F.greatest(F.size(runs) - step, F.lit(0)))
-        low = F.zip_with(low, later, lambda x, y: F.least(x, y.bitwiseXOR(F.lit(_MASKS[band]))))
-    return low
+    """The band's key of each window: the least of its shingles' hashes.  The
+    band after the last has the shingles themselves, windows of one."""
+    if band == BANDS:
+        return runs
+    hashed = F.transform(runs, lambda x: F.xxhash64(x, F.lit(band)))
+
+    def least(own: Column) -> Column:
+        low = own
+        for step in range(1, WINDOW):
+            low = F.zip_with(low, F.slice(own, step + 1, F.greatest(F.size(own) - step, F.lit(0))), lambda x, y: F.least(x, y))
+        return low
+
+    return F.transform(F.array(hashed), least)[0]
 
 
 Template = tuple[str, int, list[int], list[list[int]]]
@@ -102,8 +106,10 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> list[Templ
     out = []
     for size in range(1, SHINGLE + 1):
         sized = rows.where(F.least(F.size("w"), F.lit(SHINGLE)) == size).select("name", shingles(F.col("w"), size).alias("s"))
-        cut = sized.select("name", F.array_distinct("s").alias("own"), *[band_keys(F.col("s"), b).alias(f"b{b}") for b in range(BANDS)])
-        out += [(r[0], size, sorted(r[1]), [sorted(set(r[2 + b])) for b in range(BANDS)]) for r in cut.collect()]
+        cut = sized.select("name", F.array_distinct("s").alias("own"), *[band_keys(F.col("s"), b).alias(f"b{b}") for b in range(BANDS + 1)])
+        for r in cut.collect():
+            used = [BANDS] if len(r[1]) == 1 else range(BANDS)
+            out.append((r[0], size, sorted(r[1]), [sorted(set(r[2 + b])) if b in used else [] for b in range(BANDS + 1)]))
     return sorted(out)
 
 
@@ -115,8 +121,8 @@ def _scan(docs: DataFrame, size: int, block: list[Template], key: str, text: str
     """Matches with the templates of one block, whose shingles have ``size`` words."""
     owners: dict[tuple[int, int], list[str]] = {}
     for name, _, _, keys in block:
-        for b in range(BANDS):
-            for k in keys[b]:
+        for b, own in enumerate(keys):
+            for k in own:
                 owners.setdefault((b, k), []).append(name)
     spark = docs.sparkSession
     rows = [(b, k, n) for (b, k), names in owners.items() for n in names]
@@ -133,7 +139,7 @@ def _scan(docs: DataFrame, size: int, block: list[Template], key: str, text: str
         shared = F.array_intersect(band_keys(F.col("s"), band), keys)
         return F.transform(shared, lambda k: F.struct(F.lit(band).alias("band"), k.alias("band_key")))
 
-    hits = runs.select("doc_row", "doc_id", "s", F.inline(F.concat(*map(met, range(BANDS)))))
+    hits = runs.select("doc_row", "doc_id", "s", F.inline(F.concat(*map(met, sorted({b for b, _ in owners})))))
     named = hits.join(F.broadcast(retrieve), ["band", "band_key"])
     share = F.size(F.array_intersect("own", "s")) / F.size("own")
     found = named.join(F.broadcast(verify), "template").withColumn("contained", share)

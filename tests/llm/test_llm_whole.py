@@ -7,10 +7,11 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
-from pathloom.llm import line_dups  # noqa: E402
+from pathloom.llm import licenses, line_dups  # noqa: E402
 
 
 def distance(a, b):
@@ -53,3 +54,26 @@ def test_op9_finds_lines_within_a_tenth_by_edits(spark):
     for a, b in near:
         head[top(a)] = top(b)
     assert all(top(lines[i]) == top(x) for x, i in first.items())  # nothing else is linked
+
+
+def test_op7_single_shingle_templates_always_meet(spark):
+    """Verbatim templates of one shingle, within texts and where they begin."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(3000):
+        lead = [f"a{x}" for x in rng.integers(0, 1 << 40, i % 2 * 6)]
+        rows.append((i, " ".join([*lead, "Released under the MIT License.", *(f"z{x}" for x in rng.integers(0, 1 << 40, 6))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.scan(docs, {"MIT": licenses.TEMPLATES["MIT"]}).collect()
+    assert sorted((r.doc_id, r.first_word) for r in got) == [(i, i % 2 * 6) for i in range(3000)]
+
+
+def test_op7_bands_are_independent(spark):
+    """A window of two random shingles has its least in a band with chance 1/2."""
+    rng = np.random.default_rng(12)
+    runs = rng.integers(-(1 << 63), 1 << 63, (20_000, 2)).tolist()
+    df = spark.createDataFrame([(r,) for r in runs], "s array<bigint>")
+    left = [licenses.band_keys(F.col("s"), b)[0] == licenses.band_keys(F.slice("s", 1, 1), b)[0] for b in range(licenses.BANDS)]
+    n = df.select(sum(x.cast("int") for x in left).alias("n")).groupBy("n").count().collect()
+    share = {r["n"]: r["count"] / 20_000 for r in n}
+    assert share[0] < 0.025 and share[licenses.BANDS] < 0.025  # 1/64 if independent
