@@ -22,8 +22,9 @@ coordinates.
 4. A candidate that agrees on MATCHES coordinates is confirmed on the full
    sets of 64-bit shingle hashes, and confirmed links give the components.
 
-A pair at the threshold itself agrees on 54.4 of 64 coordinates on average, and
-on fewer than 40 with a chance of some 1e-6.
+MATCHES stands for ``matches(limit)``: of the pairs at the threshold itself no
+more than MISSED agree on fewer coordinates.  At 0.85 these are 40 of 64 (a
+chance of 2.4e-6), at 0.8 they are 35 (1.2e-6).
 
 Defined cases: texts without words, null texts: an empty set, no links; rows
 with equal sets are one class, repeated rows among them; a null doc_id takes
@@ -34,6 +35,7 @@ pass through ``keep_first``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +48,8 @@ from pathloom.llm import text_kernels as tk
 from pathloom.llm.spark_tools import components, fresh, materialize
 
 COORDINATES = 64
-#: Coordinates that a pair has to agree on.
-MATCHES = 40
+#: Chance at most that a pair at the threshold agrees on too few coordinates.
+MISSED = 2.5e-6
 #: Leaders of a list in a round (two for each hash), and rounds at most.
 LEADER_HASHES = 3
 STAR_ROUNDS = 4
@@ -66,6 +68,16 @@ _ODD = _draw.integers(0, 1 << 64, COORDINATES, np.uint64) | np.uint64(1)
 _PRINT = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 
 
+def matches(limit: tuple[int, int]) -> int:
+    """Coordinates that a pair has to agree on for this threshold."""
+    p, below = limit[0] / limit[1], 0.0
+    for k in range(COORDINATES):
+        below += math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+        if below > MISSED:
+            return max(k, 1)
+    return COORDINATES
+
+
 def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
     """Distinct shingle hashes of a document, sorted; fewer words than ``size``
     are one shingle, no words are none."""
@@ -135,7 +147,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "rep bigint, shingles array<bigint>")
 
 
-def _prefixes(reps: DataFrame) -> DataFrame:
+def _prefixes(reps: DataFrame, least: int) -> DataFrame:
     """(list_key, rep, n_shingles): the postings under the prefixes."""
     pairs = reps.select("rep", "n_shingles", F.posexplode("sig").alias("c", "v")).select(
         "rep", "n_shingles", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")).alias("list_key")
@@ -150,7 +162,7 @@ def _prefixes(reps: DataFrame) -> DataFrame:
         F.row_number().over(by_rep.orderBy("n", "list_key")).alias("r"),
         F.count(F.lit(1)).over(by_rep).alias("m"),
     )
-    return ranked.where(F.col("r") <= F.col("m") - (MATCHES - 1)).select("list_key", "rep", "n_shingles")
+    return ranked.where(F.col("r") <= F.col("m") - (least - 1)).select("list_key", "rep", "n_shingles")
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -162,7 +174,7 @@ def _confirm(pairs: DataFrame, full: DataFrame, limit: tuple[int, int]) -> DataF
     """The pairs(a, b) that agree on MATCHES coordinates and are linked; full
     has rep, sig and shingles."""
     sides = [full.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
-    near = pairs.join(sides[0], "a").join(sides[1], "b").where(_agree(F.col("sig_a"), F.col("sig_b")) >= MATCHES)
+    near = pairs.join(sides[0], "a").join(sides[1], "b").where(_agree(F.col("sig_a"), F.col("sig_b")) >= matches(limit))
     near = near.select("a", "b")
     sets = [full.select(F.col("rep").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
     both = near.join(sets[1], "b").join(sets[0], "a").select(
@@ -335,7 +347,7 @@ def classes(
         F.any_value("sig").alias("sig"),
     )
     reps = materialize(one, "near-representatives")
-    postings = materialize(_prefixes(reps), "near-postings")
+    postings = materialize(_prefixes(reps, matches(limit)), "near-postings")
     shared = postings.groupBy("list_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("list_key")
     postings = materialize(postings.join(shared, "list_key"), "near-lists")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
-from pathloom.llm import licenses, line_dups  # noqa: E402
+from pathloom.llm import licenses, line_dups, near_dups, text_kernels  # noqa: E402
 
 
 def distance(a, b):
@@ -77,3 +77,16 @@ def test_op7_bands_are_independent(spark):
     n = df.select(sum(x.cast("int") for x in left).alias("n")).groupBy("n").count().collect()
     share = {r["n"]: r["count"] / 20_000 for r in n}
     assert share[0] < 0.025 and share[licenses.BANDS] < 0.025  # 1/64 if independent
+
+
+def test_near_dups_at_the_default_threshold(spark):
+    """A pair at 0.8 whose signatures agree on 38 of 64 coordinates only."""
+    words = [f"s451w{i}" for i in range(104)]
+    texts = [" ".join(words), " ".join(words[:84])]
+    w = next(text_kernels.words(pa.array(texts), lower=True))
+    a, b = (near_dups.shingle_set(w.hashes[w.bounds[i] : w.bounds[i + 1]], 5) for i in (0, 1))
+    assert (len(a), len(b), len(np.intersect1d(a, b))) == (100, 80, 80)
+    assert (near_dups.signature(a) == near_dups.signature(b)).sum() == 38
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.component_id for r in near_dups.classes(docs).collect()] == [0, 0]
+    assert near_dups.matches((85, 100)) == 40 and near_dups.matches((80, 100)) == 35
