@@ -55,9 +55,9 @@ def hash_digits(col: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(col.cast("string")), 1, digits), 16, 10).cast("long")
 
 
-def gapless_rank(df: DataFrame, group: str, key: Column, order: list[Column], out: str) -> DataFrame:
+def gapless_rank(df: DataFrame, group: str, key: Column, order: list[Column], out: str, part: Column | None = None) -> DataFrame:
     """Add ``out``: 0, 1, 2, ... within each value of ``group``, ordered by
-    (bucket of md5(key), order).
+    (bucket of md5(key), order), or by (part, order) if ``part`` is given.
 
     One window over a group would put a hot group in one task.  Each group is
     split into RANK_BUCKETS hash buckets; the buckets are counted (one row a
@@ -65,7 +65,7 @@ def gapless_rank(df: DataFrame, group: str, key: Column, order: list[Column], ou
     window only numbers the rows of one bucket.
     """
     bucket, n, base = (fresh(x, df) for x in ("bucket", "bucket_n", "bucket_base"))
-    rows = df.withColumn(bucket, hash_digits(F.coalesce(key.cast("string"), F.lit("")), 3))
+    rows = df.withColumn(bucket, hash_digits(F.coalesce(key.cast("string"), F.lit("")), 3) if part is None else part)
     counts = rows.groupBy(group, bucket).agg(F.count(F.lit(1)).alias(n))
     before = W.partitionBy(group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
