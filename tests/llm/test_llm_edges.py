@@ -258,14 +258,21 @@ def test_lines(docs, empty, spark):
     assert line_dups.line_groups(empty).count() == 0 and line_dups.line_groups(docs).count() > 0
 
 
-def test_line_simhash_does_not_depend_on_the_counters(spark):
-    words = [f"w{i}" for i in range(200)]
-    one = spark.createDataFrame([(" ".join(words),)], "line string")
-    hashes = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
-    got = one.select(*[line_dups._packed(hashes, width).alias(f"b{width}") for width in (9, 21, 63)]).first()
-    assert got[0] == got[1] == got[2]
-    long = spark.createDataFrame([(1, " ".join(words * 3)), (2, " ".join(words))], "k long, line string")
-    assert {r.bits for r in line_dups.with_simhash(long, ["k"]).collect()} == {got[0]}
+def test_lines_are_dropped_from_documents(spark, empty):
+    rows = [(1, "Same line here\n--\n\nsame LINE, here\nmore"), (4, "same line here"), (None, "another"), (2, None), (2, None), (3, "")]
+    docs = clash(spark.createDataFrame(rows, "doc_id long, text string"), "line_row", "lines_gone")
+    got = line_dups.drop_repeated_lines(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(str, [r.text for r in got.collect()])) == sorted(["Same line here\n--\n\nmore", "", "another", "None", "None", ""])
+    assert line_dups.drop_repeated_lines(empty).count() == 0
+
+
+def test_line_simhash(spark):
+    words = [f"w{i}word" for i in range(12)]
+    df = spark.createDataFrame([(" ".join(words), " ".join(words[::-1] + words[:3]))], "a string, b string")
+    a, b = (line_dups.simhash(line_dups.word_hashes(F.col(c))) for c in "ab")
+    hashes, got, same = df.select(line_dups.word_hashes(F.col("a")), a, b).first()
+    assert got == same == sum(1 << k for k in range(line_dups.BITS) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
 
 
 def test_sharding(docs, empty, tmp_path, spark):

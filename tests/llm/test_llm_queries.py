@@ -3,7 +3,6 @@
 import re
 import sys
 import zlib
-from itertools import combinations
 from pathlib import Path
 
 import duckdb
@@ -136,45 +135,48 @@ def test_op8_held_out_accuracy(spark):
     assert (rows["toxic"][rows["predicted"] == 1]).mean() > 0.75
 
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
-def test_op9_equals_brute_force(spark, sf, docs):
-    found = []
-    for doc_id, text, _ in docs:
-        for k, line in enumerate(re.sub(line_dups._BETWEEN, " ", text).lower().split("\n")):
-            if line.strip(" "):
-                found.append((doc_id, k, line.strip(" ")))
-    lines = sorted({x[2] for x in found})
-    hashes = dict(spark.createDataFrame([(w,) for w in sorted({w for x in lines for w in x.split(" ")})], "w string").select("w", F.xxhash64("w")).collect())
-    bits = {}
-    for x in lines:
-        own = [hashes[w] & ((1 << 64) - 1) for w in x.split(" ")]
-        bits[x] = sum(1 << b for b in range(line_dups.BITS) if 2 * sum((h >> b) & 1 for h in own) > len(own))
-    head = {x: x for x in lines}
+def test_op9_against_every_pair_of_lines(spark, sf, con):
+    """Links are edit similarity >= 0.9; all pairs by DuckDB's levenshtein."""
+    con.execute("""create table shown as select doc_id, generate_subscripts(l, 1) - 1 as line_no, unnest(l) as line from (
+        select doc_id, string_split(trim(regexp_replace(lower(text), '[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', ' ', 'g')), chr(10)) as l
+        from documents)""")
+    con.execute("create table spelled as select doc_id, line_no, trim(line) as line from shown where trim(line) <> ''")
+    near = con.execute("""with x as (select distinct line, length(line) as n from spelled where length(line) < 700)
+        select a.line, b.line from x a join x b on a.line < b.line and abs(a.n - b.n) <= 0.1 * greatest(a.n, b.n)
+        where levenshtein(a.line, b.line) <= 0.1 * greatest(a.n, b.n)""").fetchall()
+    got = {(r.doc_id, r.line_no): (r.first_doc, r.first_line, r.kept) for r in line_dups.op9_fuzzy_lines(spark, sf).collect()}
+    rows = con.execute("select doc_id, line_no, line from spelled").fetchall()
+    assert {r[:2] for r in rows} == set(got)
+    first = {line: got[(d, k)][:2] for d, k, line in rows}
+    assert all(first[line] == got[(d, k)][:2] for d, k, line in rows)
+    assert all(kept == ((d, k) == (a, b)) for (d, k), (a, b, kept) in got.items())
+    assert len(near) > 20 and sum(first[a] == first[b] for a, b in near) >= 0.97 * len(near)
+    head = {line: line for line in first}
 
     def top(x):
         while head[x] != x:
             x = head[x]
         return x
 
-    for a, b in combinations(lines, 2):
-        most = max(len(a), len(b))
-        if (bits[a] ^ bits[b]).bit_count() <= line_dups.DISTANCE and abs(len(a) - len(b)) <= 0.1 * most and distance(a, b) <= int(0.1 * most + 1e-9):
-            head[top(a)] = top(b)
-    first = {}
-    for doc_id, k, line in found:
-        first.setdefault(top(line), (doc_id, k))
-    want = sorted((d, k, *first[top(x)], (d, k) == first[top(x)]) for d, k, x in found)
-    got = line_dups.op9_fuzzy_lines(spark, sf).select("doc_id", "line_no", "first_doc", "first_line", "kept").collect()
-    assert sorted(map(tuple, got)) == want
+    for a, b in near:
+        head[top(a)] = top(b)
+    spelled = {(d, k): line for d, k, line in rows}
+    assert all(top(line) == top(spelled[f]) for line, f in first.items() if len(line) < 700 and len(spelled[f]) < 700)
+
+
+def test_op9_block_keys_meet_within_the_distance(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(300):
+        a = int(rng.integers(0, 1 << line_dups.BITS))
+        flips = rng.choice(line_dups.BITS, int(rng.integers(0, line_dups.DISTANCE + 1)), replace=False)
+        rows.append((a, a ^ sum(1 << int(x) for x in flips)))
+    df = spark.createDataFrame(rows, "a long, b long")
+    for lines in (10, 1 << 21, 1 << 36):
+        n = line_dups.blocks_for(lines)
+        assert (n - line_dups.DISTANCE) * line_dups.BITS // n >= np.log2(lines) + line_dups.SPARE
+        met = F.size(F.array_intersect(line_dups.block_keys(F.col("a"), n), line_dups.block_keys(F.col("b"), n))) > 0
+        assert df.where(~met).count() == 0
 
 
 def test_op10_law_and_slots(spark, sf, docs):
