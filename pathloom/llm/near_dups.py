@@ -2,8 +2,9 @@
 coordinates.
 
 1. One pass over the texts gives each document its shingle set's size, a
-   128-bit fingerprint of the set and a signature of COORDINATES minima.
-   Documents with equal sets become one representative.
+   128-bit fingerprint of the whole set and a signature of COORDINATES minima.
+   Documents with equal sizes and fingerprints become one representative (with
+   10**10 sets, the chance that any two unlike ones have one is 2e-19).
 2. Representatives are posted under each (coordinate, value) pair.  Pairs that
    occur once can't collide and fall away in the count; a representative with
    fewer than MATCHES pairs left can't match anyone.  Of the m left, in
@@ -20,7 +21,9 @@ coordinates.
    into blocks, and each pair of blocks is compared in a task of its own, which
    emits one link for two groups at most and no pairs.
 4. A candidate that agrees on MATCHES coordinates is confirmed on the full
-   sets of 64-bit shingle hashes, and confirmed links give the components.
+   sets of 64-bit shingle hashes, and confirmed links give the components.  The
+   same two tests decide in every round and in the blocks, so which links there
+   are doesn't depend on a cluster's size.
 
 MATCHES stands for ``matches(limit)``: of the pairs at the threshold itself no
 more than MISSED agree on fewer coordinates.  At 0.85 these are 40 of 64 (a
@@ -126,18 +129,19 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """rep, shingles (64-bit hashes) of docs(rep, text), of the texts whose
-    fingerprint is rep."""
+    """rep, shingles (64-bit hashes) of docs(rep, fp1, fp2, text), of the texts
+    with these fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = batch.column(0).to_pylist()
-            for w in tk.words(batch.column(1), lower=True):
+            asked, *prints = (batch.column(i).to_pylist() for i in range(3))
+            for w in tk.words(batch.column(3), lower=True):
                 reps, sets = [], []
                 for i in range(len(w)):
                     have = shingle_set(w.hashes[w.bounds[i] : w.bounds[i + 1]], size)
-                    if fingerprint(have)[0] == asked[w.first_row + i]:
-                        reps.append(asked[w.first_row + i])
+                    row = w.first_row + i
+                    if fingerprint(have) == [prints[0][row], prints[1][row]]:
+                        reps.append(asked[row])
                         sets.append(have)
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
@@ -233,9 +237,10 @@ def _all_pairs(lists: DataFrame, limit: tuple[int, int]) -> DataFrame:
 
 
 def _compare_blocks(limit: tuple[int, int]):
-    """An applyInArrow function over (side, rep, grp, shingles) of two blocks
+    """An applyInArrow function over (side, rep, grp, sig, shingles) of two blocks
     (sides 0 and 1, or one block of side 0): a link for two groups at most."""
     num, den = limit
+    least = matches(limit)
 
     def run(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
@@ -243,6 +248,7 @@ def _compare_blocks(limit: tuple[int, int]):
         table, side = table.take(pa.array(order)), side[order]
         reps, grps = table["rep"].to_numpy(), table["grp"].to_numpy()
         lists = table["shingles"].combine_chunks()
+        sigs = table["sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         _, column, seen = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(reps)), sizes)
@@ -260,6 +266,8 @@ def _compare_blocks(limit: tuple[int, int]):
         total = sizes[one][:, None] + sizes[two][None, :] - common
         linked = (den * common >= num * total) & (grps[one][:, None] != grps[two][None, :])
         i, j = np.nonzero(linked)
+        agree = np.concatenate([(sigs[one][i[k : k + 65536]] == sigs[two][j[k : k + 65536]]).sum(axis=1) for k in range(0, len(i), 65536)] or [i])
+        i, j = i[agree >= least], j[agree >= least]
         codes = np.stack([np.minimum(grps[one][i], grps[two][j]), np.maximum(grps[one][i], grps[two][j])])
         _, first = np.unique(codes, axis=1, return_index=True)
         return pa.table({"a": reps[one][i[first]], "b": reps[two][j[first]]})
@@ -303,10 +311,10 @@ def _block_links(members: DataFrame, full: DataFrame, limit: tuple[int, int]) ->
             lambda k: task(F.least(me, k), F.greatest(me, k), False, F.when(me > k, last).otherwise(zero)),
         ),
     )
-    dealt = placed.join(full.select("rep", "shingles"), "rep").select(
-        "cluster", "rep", "grp", "shingles", F.explode(F.when(F.col("of_main"), main_tasks).otherwise(other_tasks)).alias("t")
+    dealt = placed.join(full.select("rep", "sig", "shingles"), "rep").select(
+        "cluster", "rep", "grp", "sig", "shingles", F.explode(F.when(F.col("of_main"), main_tasks).otherwise(other_tasks)).alias("t")
     )
-    rows = dealt.select("cluster", "t.i", "t.j", "t.m", "t.side", "rep", "grp", "shingles")
+    rows = dealt.select("cluster", "t.i", "t.j", "t.m", "t.side", "rep", "grp", "sig", "shingles")
     return rows.groupBy("cluster", "i", "j", "m").applyInArrow(_compare_blocks(limit), "a bigint, b bigint")
 
 
@@ -339,24 +347,25 @@ def classes(
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), ref.alias("ref"), F.col(text).alias("text"))
     rows = materialize(_sketches(texts, size), "near-sketches")
     filled = rows.where("n_shingles > 0")
-    one = filled.groupBy(F.col("fp1").alias("rep")).agg(
+    one = filled.groupBy("fp1", "fp2").agg(
         F.min("doc_id").alias("first_id"),
         F.min("ref").alias("first_ref"),
         F.count(F.lit(1)).alias("copies"),
         F.any_value("n_shingles").alias("n_shingles"),
         F.any_value("sig").alias("sig"),
     )
-    reps = materialize(one, "near-representatives")
+    # A number each; the written table keeps them.
+    reps = materialize(one.withColumn("rep", F.monotonically_increasing_id()), "near-representatives")
     postings = materialize(_prefixes(reps, matches(limit)), "near-postings")
     shared = postings.groupBy("list_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("list_key")
     postings = materialize(postings.join(shared, "list_key"), "near-lists")
 
     # The full sets of the representatives in a list, from one of their texts.
-    asked = reps.join(postings.select("rep").distinct(), "rep", "left_semi").select("rep", "first_ref", "sig")
+    asked = reps.join(postings.select("rep").distinct(), "rep", "left_semi").select("rep", "fp1", "fp2", "first_ref", "sig")
     asked = materialize(asked, "near-asked")
-    refs = asked.select("rep", F.col("first_ref").alias("ref"))
+    refs = asked.select("rep", "fp1", "fp2", F.col("first_ref").alias("ref"))
     refs = F.broadcast(refs) if refs.count() <= BROADCAST_REFS else refs
-    found = _sets(texts.join(refs, "ref").select("rep", "text"), size).groupBy("rep").agg(
+    found = _sets(texts.join(refs, "ref").select("rep", "fp1", "fp2", "text"), size).groupBy("rep").agg(
         F.any_value("shingles").alias("shingles")
     )
     full = materialize(asked.join(found, "rep").select("rep", "sig", "shingles"), "near-sets")
@@ -383,27 +392,30 @@ def classes(
 
     # Names: the smallest doc_id of each class; lone representatives name themselves.
     rooted = reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "rep", "first_id", "copies", F.coalesce("root", "rep").alias("root")
+        "rep", "fp1", "fp2", "first_id", "copies", F.coalesce("root", "rep").alias("root")
     )
     joined = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("n")).where("n > 1")
-    names = rooted.join(joined, "root").select(F.col("rep").alias("fp1"), "component_id")
-    return rows.join(names.withColumn("in_class", F.lit(True)), "fp1", "left").select(
+    names = rooted.join(joined, "root").select("fp1", "fp2", "component_id", F.lit(True).alias("in_class"))
+    return rows.join(names, ["fp1", "fp2"], "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("in_class") & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.col("fp1").alias("set_id"),
+        F.xxhash64("fp1", "fp2").alias("set_id"),
     )
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, limit: tuple[int, int] = (80, 100)) -> DataFrame:
     """``docs`` with one document of each class, the one with the smallest id;
-    of repeated rows of it one stays, and rows with a null id stay if their
-    class has no other."""
-    mine = fresh("kept_id", docs)
+    of several rows of that id the one whose text and other columns have the
+    least hash stays, and rows with a null id stay if their class has no other."""
+    mine, least = fresh("kept_id", docs), fresh("kept_row", docs)
     found = classes(docs, key, text, size, limit)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(mine)).distinct()
     stay = docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col(mine)), "left_semi")
-    return stay.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(stay.where(F.col(key).isNull()))
+    hashed = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = stay.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(row, F.xxhash64(*[f"`{c}`" for c in hashed])).alias(least)).select(f"{least}.*")
+    return one.unionByName(stay.where(F.col(key).isNull()))
 
 
 def op2_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,6 @@ SLICE_BYTES = 1 << 20
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = (U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB))
 
 #: The six white-space bytes \x20 \x09-\x0D end a word.
@@ -33,17 +32,8 @@ MARKS = np.array([not (b > 127 or chr(b).isalnum()) for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    """Powers of the hash base (up) or of its inverse mod 2**64 (down)."""
-    have = _powers[kind]
-    if len(have) < n:
-        steps = np.full(max(n, 2 * SLICE_BYTES), U64(_BASE if kind == "up" else _INVERSE))
-        steps[0] = 1
-        _powers[kind] = have = np.multiply.accumulate(steps)
-    return have[:n]
+#: Keeps the first 0 ... 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -56,7 +46,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 @dataclass
 class Words:
     """Words of the texts first_row ... of one slice.  ``bounds[i]:bounds[i+1]``
-    are the words of text i; starts and ends are byte offsets in ``data``."""
+    are the words of text i; starts and ends are byte offsets in ``data``.
+    ``blocks`` are the words' bytes in eights, the last filled up with zeros;
+    ``n_blocks`` of them are a word."""
 
     first_row: int
     offsets: np.ndarray
@@ -65,6 +57,8 @@ class Words:
     ends: np.ndarray
     bounds: np.ndarray
     hashes: np.ndarray
+    blocks: np.ndarray
+    n_blocks: np.ndarray
 
     def __len__(self) -> int:
         return len(self.bounds) - 1
@@ -84,6 +78,28 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = stop
 
 
+def _in_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(blocks, number of each within its word, blocks of each word)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each one on
+    n_blocks = (ends - starts + 7) >> 3
+    owner = np.repeat(np.arange(len(starts)), n_blocks)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+    at = starts[owner] + 8 * inner
+    return eights[at] & _FIRST[np.minimum(ends[owner] - at, 8)], inner, n_blocks
+
+
+def _hash_blocks(blocks: np.ndarray, inner: np.ndarray, n_blocks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A word's hash: the sum of its blocks, each mixed with its number, and its
+    size, mixed again.  A sum of powers of one base wouldn't do: whatever the
+    base, some pairs of words (Thue and Morse's) have the same modulo 2**64."""
+    if not len(n_blocks):
+        return np.zeros(0, U64)
+    mixed = mix(blocks ^ mix((inner + 1).astype(U64) * U64(_BASE)))
+    return mix(np.add.reduceat(mixed, np.cumsum(n_blocks) - n_blocks) + sizes.astype(U64) * U64(_BASE))
+
+
 #: A full stop or comma, and letters of ASCII.
 STOP = np.array([chr(b) in ".," for b in range(256)])
 LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
@@ -111,13 +127,9 @@ def words(texts: pa.Array, lower: bool = False, between: np.ndarray = SPACE, sto
         ends = np.flatnonzero(last) + 1
         if stops and len(ends):
             ends = ends - (STOP[data[ends - 1]] & (ends - starts > 1) & LETTER[data[ends - 2]])
-        letters = (LOWER[data] if lower else data).astype(U64)
-        letters += U64(1)
-        letters *= _power("up", len(data))
-        sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(letters, out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * _power("down", len(data) + 1)[starts])
-        yield Words(row, offsets, data, starts, ends, np.searchsorted(starts, offsets), hashes)
+        blocks, inner, n_blocks = _in_blocks(LOWER[data] if lower else data, starts, ends)
+        hashes = _hash_blocks(blocks, inner, n_blocks, ends - starts)
+        yield Words(row, offsets, data, starts, ends, np.searchsorted(starts, offsets), hashes, blocks, n_blocks)
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:

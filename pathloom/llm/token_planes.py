@@ -15,8 +15,9 @@ plane its length u32; then the planes in that order.
 
 With a byte-level tokenizer no token spans a single space or newline between
 two other characters, or a letter and the stop that ends its word, so a text is
-cut there and pieces are encoded once and remembered; a text with any other white space is encoded whole.  Both ways give
-the ids of the whole text.
+cut there and pieces are encoded once and remembered, found again by a hash and
+compared byte by byte; a text with any other white space is encoded whole.  Both
+ways give the ids of the whole text.
 
 Defined cases: null text is encoded as empty, so it has the end id only; null
 ids come first; equal ids are ordered by a hash of the text, repeated rows are
@@ -116,6 +117,13 @@ def unpack(frame: bytes) -> np.ndarray:
     return out
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of runs of so many from each start, one after the other."""
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    at += np.arange(len(at))
+    return at
+
+
 class _Growing:
     """An array that is extended in place, with room to spare."""
 
@@ -191,6 +199,10 @@ class PieceEncoder:
         self.ids = _Growing(np.concatenate(fixed).astype(np.uint32))
         self.starts = _Growing(np.cumsum([0, *map(len, fixed)]))
         self.known = _Numbered(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        # The pieces themselves, from code 1 + len(FIXED) on: 2 * bytes (+ 1 after a space), and their bytes in eights.
+        self.marks = _Growing(np.zeros(0, np.int64))
+        self.eights = _Growing(np.zeros(0, np.uint64))
+        self.eights_at = _Growing(np.zeros(1, np.int64))
         self.uses = np.zeros(PIECES + 1 + len(FIXED), np.int32)
 
     def _marks(self) -> tuple[np.ndarray, np.ndarray]:
@@ -246,31 +258,52 @@ class PieceEncoder:
         room = np.cumsum(sizes[codes[order]]) <= PIECE_IDS // 2
         kept = order[room & (self.uses[codes[order]] > 1)]
         chosen = np.concatenate([np.arange(1 + len(FIXED)), codes[kept]])
-        at = np.repeat(starts[chosen] - np.concatenate([[0], np.cumsum(sizes[chosen])[:-1]]), sizes[chosen])
-        self.ids = _Growing(self.ids.all()[at + np.arange(len(at))])
+        self.ids = _Growing(self.ids.all()[_runs(starts[chosen], sizes[chosen])])
         self.starts = _Growing(np.concatenate([[0], np.cumsum(sizes[chosen])]))
         self.known = _Numbered(names[kept], 1 + len(FIXED) + np.arange(len(kept)))
+        own, bounds = codes[kept] - 1 - len(FIXED), self.eights_at.all()
+        blocks = self.eights.all()[_runs(bounds[own], np.diff(bounds)[own])]
+        self.eights, self.eights_at = _Growing(blocks), _Growing(np.concatenate([[0], np.cumsum(np.diff(bounds)[own])]))
+        self.marks = _Growing(self.marks.all()[own])
         self.uses[:] = 0
 
-    def _codes_of(self, names: np.ndarray, piece) -> np.ndarray:
-        """The codes of distinct hashes; ``piece(i)`` is the text of the i-th."""
+    def _codes_of(self, names: np.ndarray, piece, words: tk.Words, which: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """The codes of distinct hashes; ``piece(i)`` is the text of the i-th,
+        word which[i] of the slice."""
         codes = self.known.find(names)
         new = np.flatnonzero(codes < 0)
         if len(new):
             first = len(self.starts.all()) - 1
-            order = self.learn([piece(i) for i in new])
-            codes[new[order]] = first + np.arange(len(new))
+            order = new[self.learn([piece(i) for i in new])]
+            codes[order] = first + np.arange(len(new))
             self.known.add(names[new], codes[new])
+            sizes, begin = words.n_blocks[which[order]], (np.cumsum(words.n_blocks) - words.n_blocks)[which[order]]
+            self.eights.extend(words.blocks[_runs(begin, sizes)])
+            self.eights_at.extend(self.eights_at.all()[-1] + np.cumsum(sizes))
+            self.marks.extend(marks[order])
         return codes
 
+    def _others(self, codes: np.ndarray, marks: np.ndarray, w: tk.Words, cut: np.ndarray) -> np.ndarray:
+        """Which of the chosen words aren't the pieces that have their codes."""
+        own = codes - 1 - len(FIXED)
+        other = self.marks.all()[own] != marks
+        sizes = np.where(other, 0, w.n_blocks[cut])
+        owner = np.repeat(np.arange(len(own)), sizes)
+        mine = w.blocks[_runs((np.cumsum(w.n_blocks) - w.n_blocks)[cut], sizes)]
+        other[owner[mine != self.eights.all()[_runs(self.eights_at.all()[own], sizes)]]] = True
+        return other
+
     def encode(self, w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids with the end ids, number of ids of each text)."""
         # The next texts have fewer new pieces than bytes.
         if len(self.starts.all()) + len(w.starts) > PIECES or len(self.ids.all()) > PIECE_IDS:
             self.forget()
-        raw, n = w.data.tobytes(), len(w)
         filled = np.diff(w.offsets) > 0
-        whole = filled & _cut_badly(w.offsets, w.data) if self.by_piece else filled
+        return self._encode(w, filled & _cut_badly(w.offsets, w.data) if self.by_piece else filled)
+
+    def _encode(self, w: tk.Words, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode; texts in ``whole`` aren't cut."""
+        raw, n = w.data.tobytes(), len(w)
         doc = np.repeat(np.arange(n), np.diff(w.bounds))
         cut = ~whole[doc]
         starts, ends, doc = w.starts[cut], w.ends[cut], doc[cut]
@@ -280,7 +313,11 @@ class PieceEncoder:
             w.hashes[cut] ^ np.where(spaced, _SPACED, np.uint64(0)), return_index=True, return_inverse=True
         )
         begin = (starts - spaced)[first]
-        codes = self._codes_of(names, lambda i: raw[begin[i] : ends[first[i]]].decode())
+        marks = 2 * (ends - starts) + spaced
+        codes = self._codes_of(names, lambda i: raw[begin[i] : ends[first[i]]].decode(), w, np.flatnonzero(cut)[first], marks[first])
+        other = self._others(codes[which], marks, w, cut)
+        if other.any():  # another piece has this hash
+            return self._encode(w, whole | (np.bincount(doc[other], minlength=n) > 0))
         after = np.where(ends < w.offsets[doc + 1], w.data[np.minimum(ends, len(w.data) - 1)] if len(w.data) else 0, 0)
         stop = np.where(after == 46, 2, np.where(after == 44, 3, 0))
         # A text's pieces: its words, with a newline before or a stop after some; or itself.
@@ -306,9 +343,7 @@ class PieceEncoder:
         origin = starts[stream]
         sizes = starts[stream + 1] - origin
         ends = np.cumsum(sizes)
-        at = np.repeat(origin - (ends - sizes), sizes)
-        at += np.arange(len(at))
-        return got[at], np.diff(ends[last - 1], prepend=0)
+        return got[_runs(origin, sizes)], np.diff(ends[last - 1], prepend=0)
 
 
 #: Set apart the hash of a word with a space before it.
@@ -376,33 +411,34 @@ def write_chunks(
     return materialize(dealt.mapInArrow(run, CHUNKS), "token-chunks")
 
 
-def _with_bases(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with shard_base, the ids of all shards before; a row a shard
-    is broadcast."""
+def write_index(chunks: DataFrame) -> DataFrame:
+    """The index of a written CHUNKS table, written beside it and read back:
+    shard, chunk, start (ids before it), n_ids, n_docs, frame_bytes, first_doc,
+    last_doc.  A row a chunk; the window is over a row a shard."""
     shards = chunks.groupBy("shard").agg(F.sum("n_ids").alias("ids_of_shard"))
     before = F.sum("ids_of_shard").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
-    return chunks.join(F.broadcast(shards.select("shard", F.coalesce(before, F.lit(0)).alias("shard_base"))), "shard")
-
-
-def chunk_index(chunks: DataFrame) -> DataFrame:
-    """shard, chunk, start (ids before it), n_ids, n_docs, frame_bytes."""
-    return _with_bases(chunks).select(
+    bases = shards.select("shard", F.coalesce(before, F.lit(0)).alias("shard_base"))
+    rows = chunks.join(F.broadcast(bases), "shard").select(
         "shard",
         "chunk",
         (F.col("shard_base") + F.col("shard_start")).alias("start"),
         "n_ids",
         F.size("doc_ids").cast("long").alias("n_docs"),
         F.octet_length("frame").alias("frame_bytes"),
+        F.get("doc_ids", F.lit(0)).alias("first_doc"),
+        F.element_at("doc_ids", -1).alias("last_doc"),
     )
+    return materialize(rows, "token-index")
 
 
-def read_documents(chunks: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the frames."""
+def read_documents(chunks: DataFrame, index: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the frames and
+    the shards' starts in the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                doc_ids, sizes, frame, base, start = (batch.column(i)[row].as_py() for i in range(5))
+                doc_ids, sizes, frame, start = (batch.column(i)[row].as_py() for i in range(4))
                 ids = unpack(frame).tobytes()
                 ends = np.cumsum(sizes, dtype=np.int64)
                 starts = ends - np.array(sizes, np.int64)
@@ -410,14 +446,15 @@ def read_documents(chunks: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(doc_ids, pa.int64()),
-                        pa.array(starts + base + start, pa.int64()),
+                        pa.array(starts + start, pa.int64()),
                         pa.array(sizes, pa.int64()),
                         pa.array(sums, pa.int64()),
                     ],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    rows = _with_bases(chunks).select("doc_ids", "n_tokens", "frame", "shard_base", "shard_start")
+    bases = F.broadcast(index.groupBy("shard").agg(F.min("start").alias("base")))  # a row a shard: a partition of the writer
+    rows = chunks.join(bases, "shard").select("doc_ids", "n_tokens", "frame", (F.col("base") + F.col("shard_start")).alias("start"))
     return rows.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
@@ -430,4 +467,5 @@ def op3_token_planes(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     with open(tokenizer, encoding="utf-8") as file:
         spec = file.read()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return read_documents(write_chunks(docs, spec, end_id))
+    chunks = write_chunks(docs, spec, end_id)
+    return read_documents(chunks, write_index(chunks))

@@ -94,6 +94,13 @@ def test_near_dups(docs, empty, spark):
     assert near_dups.classes(empty).count() == 0 and near_dups.keep_first(empty).count() == 0
 
 
+def test_near_dups_of_one_id_with_several_texts(spark):
+    rows = [(1, "one text of some words here", "a"), (1, "quite another text with other words", "b"), (1, "one text of some words here", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_row string")
+    kept = {tuple(map(tuple, near_dups.keep_first(docs.repartition(n)).collect())) for n in (1, 3)}
+    assert len(kept) == 1 and len(kept.pop()) == 1
+
+
 def test_near_dups_dense_clusters_in_blocks(spark, monkeypatch):
     """Many copies with edits around the threshold, against all pairs."""
     rng = np.random.default_rng(5)
@@ -126,7 +133,8 @@ def test_token_planes(docs, empty, spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     spec = Path(path).read_text()
     chunks = token_planes.write_chunks(clash(docs, "chunk", "ids"), spec, 2)
-    got = token_planes.read_documents(chunks).orderBy("start").collect()
+    index = token_planes.write_index(chunks)
+    got = token_planes.read_documents(chunks, index).orderBy("start").collect()
     assert [r.doc_id for r in got][:3] == [None, None, None] and len(got) == len(ROWS)
     t = Tokenizer.from_file(path)
     for doc_id, text, *_ in ROWS:
@@ -134,8 +142,48 @@ def test_token_planes(docs, empty, spark):
         assert any((r.doc_id, r.n_tokens, r.ids_crc32) == (doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for r in got)
     ends = [r.start + r.n_tokens for r in got]
     assert [r.start for r in got] == [0, *ends[:-1]]
-    assert token_planes.chunk_index(chunks).agg(F.sum("n_ids")).first()[0] == ends[-1]
-    assert token_planes.read_documents(token_planes.write_chunks(empty, spec, 2)).count() == 0
+    assert index.agg(F.sum("n_ids"), F.sum("n_docs")).first()[:] == (ends[-1], len(ROWS))
+    none = token_planes.write_chunks(empty, spec, 2)
+    assert token_planes.read_documents(none, token_planes.write_index(none)).count() == 0
+
+
+def morse(first, other, rounds):
+    """Words that sums of powers modulo 2**64 can't tell apart: Thue and Morse's."""
+    a, b = first, other
+    for _ in range(rounds):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_morse_words_are_told_apart(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    pair = morse("a", "b", 10)
+    w = next(text_kernels.words(pa.array(pair)))
+    assert w.hashes[0] != w.hashes[1]
+    a, b = morse(["xa"], ["yb"], 10)
+    texts = [f"one {pair[0]} two", f"one {pair[1]} two", " ".join(a), " ".join(b)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.component_id for r in near_dups.classes(docs, size=3).orderBy("doc_id").collect()][:2] == [0, 1]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    chunks = token_planes.write_chunks(docs, Path(path).read_text(), 2)
+    got = {r.doc_id: r.ids_crc32 for r in token_planes.read_documents(chunks, token_planes.write_index(chunks)).collect()}
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        assert got[i] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(text_kernels, "_hash_blocks", lambda blocks, inner, n, sizes: np.full(len(n), 7, np.uint64))
+    encoder = token_planes.PieceEncoder(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(), 2)
+    texts = ["some words of which", "each has one hash", "", "some some"]
+    ids, counts = encoder.encode(next(text_kernels.words(pa.array(texts), stops=True)))
+    want = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
 
 
 @pytest.mark.parametrize("bits", [1, 8])

@@ -80,13 +80,17 @@ def test_op7_bands_are_independent(spark):
 
 
 def test_near_dups_at_the_default_threshold(spark):
-    """A pair at 0.8 whose signatures agree on 38 of 64 coordinates only."""
-    words = [f"s451w{i}" for i in range(104)]
-    texts = [" ".join(words), " ".join(words[:84])]
-    w = next(text_kernels.words(pa.array(texts), lower=True))
-    a, b = (near_dups.shingle_set(w.hashes[w.bounds[i] : w.bounds[i + 1]], 5) for i in (0, 1))
+    """A pair at 0.8 whose signatures agree on fewer than 40 of 64 coordinates."""
+    for seed in range(5000):
+        words = [f"s{seed}w{i}" for i in range(104)]
+        texts = [" ".join(words), " ".join(words[:84])]
+        w = next(text_kernels.words(pa.array(texts), lower=True))
+        a, b = (near_dups.shingle_set(w.hashes[w.bounds[i] : w.bounds[i + 1]], 5) for i in (0, 1))
+        if 35 <= (near_dups.signature(a) == near_dups.signature(b)).sum() < 40:
+            break
+    else:
+        raise AssertionError("no such pair")
     assert (len(a), len(b), len(np.intersect1d(a, b))) == (100, 80, 80)
-    assert (near_dups.signature(a) == near_dups.signature(b)).sum() == 38
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.component_id for r in near_dups.classes(docs).collect()] == [0, 0]
     assert near_dups.matches((85, 100)) == 40 and near_dups.matches((80, 100)) == 35
