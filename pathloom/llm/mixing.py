@@ -5,15 +5,22 @@ Time runs in slots; a slot takes one block of documents.  With units q of a
 total of Q, block j of a source may go out from slot floor(j Q / q) and has to
 before slot ceil((j + 1) Q / q); the earliest deadline among the released
 blocks goes first.  So after t slots a source has had t q / Q blocks, less or
-more than one block apart.  Units are whole numbers and the pattern repeats
-after Q slots, so the schedule is a table of Q entries whatever the corpus
-holds; each document finds its slot from its rank in its source.
+more than one block apart, as long as no source has run out.  Units are whole
+numbers and the pattern repeats after Q slots, so the schedule is a table of Q
+entries whatever the corpus holds; each document finds its slot from its rank in
+its source.  Against weights that aren't whole units a source drifts by as much
+as rounding to units does, at most a block in Q slots.
+
+Of more than MAX_SOURCES sources the largest have units of their own, and all
+others share the units that add up to theirs: documents of those are ranked
+together, in an order that doesn't depend on their source.
 
 No document is dropped or repeated: where a source has run out, its slots stay
 empty and the others go on.  Defined cases: a null source is a source of its
-own; a source without units isn't allowed when units are given; repeated rows
-are ranked one after the other; an empty table gives an empty result; extra
-columns pass through and columns named like a result are replaced.
+own; a source without units isn't allowed when units are given; texts of any
+length only count as a document; equal ids are ordered by a hash of the text,
+and repeated rows are ranked one after the other; an empty table gives an empty
+result; extra columns pass through and columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -27,10 +34,12 @@ from pathloom.llm.spark_tools import fresh, gapless_rank
 
 #: Documents of a block; a whole number of slots of training order.
 BLOCK = 16
-#: Slots that temperature units are spread over.
-QUANTUM = 1000
-#: The schedule and its broadcast stay below this many slots and sources.
-MAX_SLOTS = 200_000
+#: Slots that temperature units are spread over: so many, or A_SOURCE for each source.
+QUANTUM, A_SOURCE = 1000, 20
+#: Sources with units of their own; the schedule and its broadcast are bounded by it.
+MAX_SOURCES = 50_000
+#: Name of the units that all other sources share (keys begin with "=").
+OTHERS = "*"
 
 RESULTS = ("source_rank", "block", "slot", "offset")
 
@@ -40,10 +49,12 @@ def source_key(source: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
 
 
-def temperature_units(counts: dict[str, int], alpha: float = 0.5, quantum: int = QUANTUM) -> dict[str, int]:
-    """Units in proportion to count ** alpha, at least one each."""
-    weight = {s: n**alpha for s, n in counts.items()}
+def temperature_units(counts: dict[str, int], alpha: float = 0.5, others: float = 0.0) -> dict[str, int]:
+    """Units in proportion to count ** alpha, at least one each; ``others`` is
+    the weight of the sources that share units."""
+    weight = {s: n**alpha for s, n in counts.items()} | ({OTHERS: others} if others else {})
     total = sum(weight[s] for s in sorted(weight))
+    quantum = max(QUANTUM, A_SOURCE * len(weight))
     return {s: max(1, int(quantum * w / total)) for s, w in weight.items()}
 
 
@@ -79,29 +90,33 @@ def mix_sources(
     to whole units; without it they follow count ** alpha."""
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULTS])
-    name = fresh("source_key", docs)
+    name, plan_source, plan_slots, own = (fresh(x, docs) for x in ("source_key", "plan_source", "plan_slots", "plan_own"))
     rows = docs.withColumn(name, source_key(source))
-    counts = rows.groupBy(name).agg(F.count(F.lit(1)).alias("n")).limit(MAX_SLOTS + 1).collect()
-    found = {r[0]: r[1] for r in counts}
-    if len(found) > MAX_SLOTS:
-        raise ValueError(f"a mixture takes at most {MAX_SLOTS} sources")
-    units = units if units is not None else temperature_units(found, alpha)
-    if lacking := sorted(set(found) - set(units)):
-        raise ValueError(f"no units for the sources {lacking[:10]}")
-    if sum(units.values()) > MAX_SLOTS:
-        raise ValueError(f"the units add up to more than {MAX_SLOTS} slots")
-    plan = spark.createDataFrame(list(edf_slots(units).items()), "plan_source string, plan_slots array<int>")
+    counts = rows.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    found = {r[0]: r[1] for r in counts.orderBy(F.desc("n"), name).limit(MAX_SOURCES + 1).collect()}
+    others = 0.0
+    if len(found) > MAX_SOURCES and units is None:
+        del found[min(found, key=lambda s: (found[s], [-ord(c) for c in s]))]
+        large = spark.createDataFrame([(s,) for s in found], f"`{own}` string")
+        rows = rows.join(F.broadcast(large), F.col(name) == F.col(own), "left").withColumn(name, F.coalesce(own, F.lit(OTHERS))).drop(own)
+        weights = counts.join(F.broadcast(large), F.col(name) == F.col(own), "left_anti")
+        others = weights.agg(F.sum(F.pow("n", F.lit(alpha)))).first()[0]
+    units = units if units is not None else temperature_units(found, alpha, others)
+    known = spark.createDataFrame([(s,) for s in units], f"`{own}` string")
+    if lacking := [r[0] for r in counts.join(F.broadcast(known), F.col(name) == F.col(own), "left_anti").orderBy(name).limit(10).collect()] if not others else []:
+        raise ValueError(f"no units for the sources {lacking}")
+    plan = spark.createDataFrame(list(edf_slots(units).items()), f"`{plan_source}` string, `{plan_slots}` array<int>")
     order = [F.col(key).asc_nulls_first(), F.md5(F.coalesce(F.col(text), F.lit("")))]
     ranked = gapless_rank(rows, name, F.coalesce(F.col(key).cast("string"), F.col(text)), order, "source_rank")
-    per = F.size("plan_slots").cast("long")
-    placed = ranked.join(F.broadcast(plan), F.col(name) == F.col("plan_source")).withColumn(
+    per = F.size(plan_slots).cast("long")
+    placed = ranked.join(F.broadcast(plan), F.col(name) == F.col(plan_source)).withColumn(
         "block", F.floor(F.col("source_rank") / F.lit(block)).cast("long")
     )
-    place = F.element_at("plan_slots", (F.col("block") % per + 1).cast("int")).cast("long")
+    place = F.element_at(plan_slots, (F.col("block") % per + 1).cast("int")).cast("long")
     return (
         placed.withColumn("slot", F.floor(F.col("block") / per).cast("long") * sum(units.values()) + place)
         .withColumn("offset", F.col("source_rank") % F.lit(block))
-        .drop(name, "plan_source", "plan_slots")
+        .drop(name, plan_source, plan_slots)
     )
 
 
@@ -118,7 +133,7 @@ WITH RECURSIVE docs AS (
                               doc_id NULLS FIRST, md5(coalesce(md5(text), ''))) - 1 AS source_rank
     FROM documents),
 weights AS (SELECT k, sqrt(count(*)) AS w FROM docs GROUP BY k),
-units AS (SELECT k, greatest(1, CAST(floor(1000 * w / sum(w) OVER ()) AS BIGINT)) AS q FROM weights),
+units AS (SELECT k, greatest(1, CAST(floor(greatest(1000, 20 * count(*) OVER ()) * w / sum(w) OVER ()) AS BIGINT)) AS q FROM weights),
 shape AS (SELECT list(k ORDER BY k) AS ks, list(q ORDER BY k) AS qs, CAST(sum(q) AS BIGINT) AS total FROM units),
 edf(t, js, pick) AS (
     SELECT CAST(-1 AS BIGINT), list_transform(qs, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM shape

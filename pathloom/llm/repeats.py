@@ -1,16 +1,22 @@
-"""Operator 5: repeated passages by sparse suffix arrays.
+"""Operator 5: repeated passages from sparse suffixes, grouped by hash.
 
 Only suffixes at content-selected positions are retained: where, of the
 ANCHOR-word runs in MIN_WORDS words, one has the least hash (a minimiser).
 Which position that is depends on these words alone, so equal passages retain
 the same suffixes, about one in twenty words.
 
-1. A row a retained suffix: the hash of its first ANCHOR words (its place in
-   the sort), and the hash of its region, the words of all MIN_WORDS-word
-   windows whose minimiser it is.  Places that only one document has are in no
-   repeat and fall away in a count.
-2. Suffixes of a place are sorted by region.  Equal neighbours in two documents
-   are repeats as a whole, however many there are.
+Retained suffixes are brought together by hashes of their words rather than by
+sorting them and comparing neighbours.  Of the suffixes that share the words to
+their right, the neighbour in the order of those words isn't the one that goes
+on furthest to the left: a passage that begins before its minimiser would be
+lost whenever another text with longer common words on the right stands between.
+
+1. A row a retained suffix: the hash of its first ANCHOR words (its place), and
+   the hash of its region, the words of all MIN_WORDS-word windows whose
+   minimiser it is.  Places that only one document has are in no repeat and fall
+   away in a count.
+2. Suffixes of one place and region, in two documents, are repeats as a whole,
+   however many there are.
 3. A region without an equal is compared with the others of its place, one of
    each kind: its windows are all extensions of the anchor by i words to the
    left and the rest of MIN_WORDS to the right, and those which another
@@ -20,8 +26,9 @@ the same suffixes, about one in twenty words.
 So each run of MIN_WORDS or more words that occurs in two documents is found,
 whole, whatever stands around it, and nothing else is.
 
-Defined cases: texts with fewer words, null and empty texts have no passages;
-a passage that only repeats within one document isn't reported; rows that
+Defined cases: texts with fewer words, null and empty texts have no passages; a
+text of any length is read whole, a slice at a time; of equal minimisers the
+first counts; a passage that only repeats within one document isn't reported; rows that
 share a doc_id are one document, so repeated rows are no repeat; rows without
 an id are told apart by their text; words are runs of characters that aren't
 white space, compared with A-Z lower-cased; an empty table gives an empty
@@ -85,13 +92,13 @@ def _stack(parts: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
 
 
 def _suffixes(texts: DataFrame, min_words: int, anchor: int) -> DataFrame:
-    """A row a retained suffix of texts(doc, text)."""
-    names = ["place", "region", "doc", "at", "first", "last"]
+    """A row a retained suffix of texts(doc, named, text)."""
+    names = ["place", "region", "doc", "named", "at", "first", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column(0).to_numpy()
-            for w in tk.words(batch.column(1), lower=True):
+            docs, named = (batch.column(i).to_numpy() for i in range(2))
+            for w in tk.words(batch.column(2), lower=True):
                 parts = []
                 for i in range(len(w)):
                     hashes = w.hashes[w.bounds[i] : w.bounds[i + 1]]
@@ -100,8 +107,8 @@ def _suffixes(texts: DataFrame, min_words: int, anchor: int) -> DataFrame:
                     if len(at):
                         region = Ranges(hashes)(first, last + min_words)
                         region = tk.mix(region + (at - first).astype(U64))
-                        doc = np.full(len(at), docs[w.first_row + i])
-                        parts.append([anchors[at].view(np.int64), region.view(np.int64), doc, at, first, last])
+                        doc = [np.full(len(at), x[w.first_row + i]) for x in (docs, named)]
+                        parts.append([anchors[at].view(np.int64), region.view(np.int64), *doc, at, first, last])
                 if parts:
                     yield _stack(parts, names)
 
@@ -146,7 +153,7 @@ def _islands(starts: DataFrame, keys: list[str]) -> DataFrame:
 
 def doc_key(key: str, text: str) -> Column:
     """The id; for rows without one a number that their text gives."""
-    return F.coalesce(F.col(key).cast("long"), -F.shiftrightunsigned(F.xxhash64(text), 1) - 1)
+    return F.coalesce(F.col(key).cast("long"), F.xxhash64(text))
 
 
 def passages(
@@ -154,7 +161,7 @@ def passages(
 ) -> DataFrame:
     """doc_id, first_word, end_word (the one after the last): maximal passages
     that another document has too."""
-    texts = docs.select(doc_key(key, text).alias("doc"), F.col(text).alias("text"))
+    texts = docs.select(doc_key(key, text).alias("doc"), F.col(key).isNotNull().cast("long").alias("named"), F.col(text).alias("text"))
     every = materialize(_suffixes(texts, min_words, anchor), "repeat-suffixes")
     # Written tables on both sides of a join let Spark split a place that many documents have.
     shared = every.groupBy("place").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("place")
@@ -185,14 +192,14 @@ def passages(
     # Back to every suffix of these kinds, then merge what overlaps in a document.
     marks = materialize(whole.unionByName(parts), "repeat-marks")
     found = kept.join(marks, ["place", "region"]).select(
-        "doc", (F.col("at") + F.col("low")).alias("a"), (F.col("at") + F.col("high") + min_words).alias("b")
+        "doc", "named", (F.col("at") + F.col("low")).alias("a"), (F.col("at") + F.col("high") + min_words).alias("b")
     )
-    order = W.partitionBy("doc").orderBy("a", "b")
+    order = W.partitionBy("doc", "named").orderBy("a", "b")
     reach = F.max("b").over(order.rowsBetween(W.unboundedPreceding, -1))
     opened = found.distinct().withColumn("opens", F.coalesce(F.col("a") > reach, F.lit(True)).cast("int"))
     numbered = opened.withColumn("passage", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    merged = numbered.groupBy("doc", "passage").agg(F.min("a").alias("first_word"), F.max("b").alias("end_word"))
-    return merged.select(F.when(F.col("doc") >= 0, F.col("doc")).alias("doc_id"), "first_word", "end_word")
+    merged = numbered.groupBy("doc", "named", "passage").agg(F.min("a").alias("first_word"), F.max("b").alias("end_word"))
+    return merged.select(F.when(F.col("named") == 1, F.col("doc")).alias("doc_id"), "first_word", "end_word")
 
 
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ rows in proportion to its weight.
 
 Defined cases: a null key is replaced by the md5 of the text, so that rows
 without a key spread out; null text counts as empty; repeated rows share a
-shard and take slots of their own; an empty table gives an empty result; extra
+shard and take slots of their own, equal keys by size and checksum; a text of
+any length is only measured and summed; an empty table gives an empty result; extra
 columns pass through ``shard_documents``, where columns named like a result are
 replaced.
 """

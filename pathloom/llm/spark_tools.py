@@ -1,6 +1,7 @@
 """Spark helpers that the operators of this subpackage share.
 
 * ``materialize``   cuts lineage with a table in the cluster's shared folder
+* ``discard``       deletes such a table when nothing reads it any more
 * ``fresh``         picks a column name that the input doesn't use
 * ``gapless_rank``  a distributed ``row_number`` that survives hot groups
 * ``components``    connected components of an edge list, by star contraction
@@ -17,13 +18,17 @@ from pyspark.sql import functions as F
 
 #: Hash buckets a group is split into by gapless_rank.
 RANK_BUCKETS = 4096
+#: Offsets of buckets that are broadcast (some 50 MB); more are joined by a shuffle.
+BROADCAST_OFFSETS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
-    Only where the session names none (tests, one machine) a temporary folder
-    is made and kept for the session."""
+    Only where the session names none and runs on one machine (tests) a
+    temporary folder is made and kept for the session."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not path:
         path = spark.conf.get("pathloom.scratch.dir", None)
     if not path:
@@ -38,7 +43,16 @@ def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.pathloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialize``; nothing may be read from it later."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.pathloom_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(name: str, *frames: DataFrame) -> str:
@@ -64,17 +78,19 @@ def gapless_rank(df: DataFrame, group: str, key: Column, order: list[Column], ou
     bucket after the partial sums), their offsets are running sums, and the
     window only numbers the rows of one bucket.
     """
-    bucket, n, base = (fresh(x, df) for x in ("bucket", "bucket_n", "bucket_base"))
+    bucket, n, base, owner, part_ = (fresh(x, df) for x in ("bucket", "bucket_n", "bucket_base", "bucket_group", "bucket_of"))
     rows = df.withColumn(bucket, hash_digits(F.coalesce(key.cast("string"), F.lit("")), 3) if part is None else part)
     counts = rows.groupBy(group, bucket).agg(F.count(F.lit(1)).alias(n))
     before = W.partitionBy(group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
-        F.col(group).alias("g_"), F.col(bucket).alias("b_"), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base)
+        F.col(group).alias(owner), F.col(bucket).alias(part_), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base)
     )
+    offsets = materialize(offsets, "rank-offsets")
+    offsets = F.broadcast(offsets) if offsets.count() <= BROADCAST_OFFSETS else offsets
     within = F.row_number().over(W.partitionBy(group, bucket).orderBy(*order))
     ranked = rows.withColumn(out, within.cast("long") - 1)
-    joined = ranked.join(offsets, F.col(group).eqNullSafe(F.col("g_")) & (F.col(bucket) == F.col("b_")))
-    return joined.withColumn(out, F.col(out) + F.col(base)).drop(bucket, base, "g_", "b_")
+    joined = ranked.join(offsets, F.col(group).eqNullSafe(F.col(owner)) & F.col(bucket).eqNullSafe(F.col(part_)))
+    return joined.withColumn(out, F.col(out) + F.col(base)).drop(bucket, base, owner, part_)
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -93,7 +109,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = materialize(moved.union(root.select("u", F.col("m").alias("v"))).distinct(), label)
+        last, star = star, materialize(moved.union(root.select("u", F.col("m").alias("v"))).distinct(), label)
+        discard(last)
         now = star.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen or not now[0]:
             return star.select(F.col("u").alias("node"), F.col("v").alias("root"))

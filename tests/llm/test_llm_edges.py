@@ -228,6 +228,9 @@ def test_repeats(docs, empty, spark):
     got = sorted((r.doc_id, r.first_word, r.end_word) for r in repeats.passages(clash(docs, "place", "doc")).collect())
     assert got == [(5, 0, 30_000), (6, 0, 30_000)]
     assert repeats.passages(empty).count() == 0
+    signed = [(-5, LONG), (-6, LONG), (None, LONG + " b"), (None, LONG + " a")]
+    found = repeats.passages(spark.createDataFrame(signed, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in found) == [(False, -6), (False, -5), (True, 0), (True, 0)]
     own = [(1, " ".join(["again"] * 200)), (2, " ".join(f"u{i}" for i in range(49)))]
     assert repeats.passages(spark.createDataFrame(own, "doc_id long, text string")).count() == 0
 
@@ -241,7 +244,8 @@ def test_repeats_of_exactly_fifty_words_and_one_less(spark):
 
 
 def test_mixing(docs, empty):
-    got = mixing.mix_sources(clash(docs, "slot", "source_key")).collect()
+    names = ("slot", "source_key", "g_", "b_", "bucket", "plan_source", "plan_slots", "plan_own", "n")
+    got = mixing.mix_sources(clash(docs, *names)).collect()
     assert len(got) == len(ROWS) and {r.source_key for r in got} == {"mine"}
     assert len({(r.slot, r.offset) for r in got}) == len(ROWS)
     assert mixing.mix_sources(empty).count() == 0
@@ -249,6 +253,17 @@ def test_mixing(docs, empty):
         mixing.mix_sources(docs, {"=a": 1})
 
 
+def test_small_sources_share_units(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    rows = [(100 * k + i, "t", f"s{k}") for k in range(8) for i in range(4 * k + 1)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=1).collect()
+    assert len(got) == len(rows) and len({r.slot for r in got}) == len(rows)
+    units = mixing.temperature_units({f"=s{k}": 4 * k + 1 for k in (5, 6, 7)}, others=sum((4 * k + 1) ** 0.5 for k in range(5)))
+    slots = mixing.edf_slots(units)
+    small = sorted(r.slot for r in got if r.source in ("s0", "s1", "s2", "s3", "s4"))
+    assert small == slots[mixing.OTHERS][: len(small)]
+
+
 def test_licenses(docs, empty, spark):
     rows = spark.createDataFrame([(1, "x Released under the MIT License. y"), (1, "Released under the MIT License."), (2, "MIT License"), (3, None)], "doc_id long, text string")
     got = licenses.scan(clash(rows, "template", "doc_row")).collect()
@@ -324,7 +339,7 @@ def test_line_simhash(spark):
 
 
 def test_sharding(docs, empty, tmp_path, spark):
-    got = sharding.shard_documents(clash(docs, "shard", "bucket"), [1.0, 2.0, 1.0])
+    got = sharding.shard_documents(clash(docs, "shard", "bucket", "g_", "b_", "bucket_group"), [1.0, 2.0, 1.0])
     rows = got.collect()
     assert len(rows) == len(ROWS) and {r.bucket for r in rows} == {"mine"}
     for s in range(3):
