@@ -289,28 +289,77 @@ def test_toxicity(docs, empty, labels):
     assert {r.score for r in toxicity.score_documents(docs, toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
 
 
-def test_kneser_ney_probabilities_sum_to_one():
-    texts = pa.array(["aba abc cab bca", "bad bed bid"])
-    w = next(text_kernels.words(texts, lower=True, between=text_kernels.MARKS))
-    grams, _, owner = toxicity.letter_grams(w, np.arange(len(w.hashes)))
-    kept, at = np.unique(grams, return_inverse=True)
-    toxic = np.bincount(at, owner >= 4, len(kept)).astype(np.int64)
-    table = pa.table({"gram": kept.view(np.int64), "c0": np.bincount(at, minlength=len(kept)) - toxic, "c1": toxic})
-    models = toxicity.Models.build(table, np.bincount((grams & np.uint64(0xFFFF)).astype(np.int64), minlength=65536).astype(float))
-    for context in (int(g) for g in np.unique(grams >> np.uint64(8))[:20]):
-        p = np.repeat(models.base.reshape(-1, 256)[context & 255][:, None], 2, axis=1)
-        length = (context.bit_length() + 7) // 8
-        for k, (keys, part, contexts, back) in enumerate(models.orders, toxicity.SHARED + 1):
-            if length + 1 < k:
-                continue
-            tail = context & ((1 << 8 * (k - 1)) - 1)
-            i = np.searchsorted(contexts, np.uint64(tail))
-            p = p * (back[i] if i < len(contexts) and contexts[i] == tail else 1.0)
-            for byte in range(256):
-                j = np.searchsorted(keys, np.uint64((tail << 8) | byte))
-                if j < len(keys) and keys[j] == (tail << 8) | byte:
-                    p[byte] += part[j]
-        assert np.allclose(p.sum(axis=0), 1, atol=1e-4)
+def test_toxicity_never_learns_from_held_out_labels(spark):
+    rows = [(i, f"some ordinary words {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    scores = []
+    for value in (0, 1):
+        labels = spark.createDataFrame([(i, value if held(i) else 0) for i, _ in rows], "doc_id long, toxic int")
+        scores.append(sorted(r.score for r in toxicity.score_documents(docs, toxicity.fit(docs, labels)).collect()))
+    assert scores[0] == scores[1] and set(scores[0]) == {0.0}
+
+
+def test_kneser_ney_scores_equal_plain_python(spark):
+    """Evidence of words against dictionaries of counts, by the definition."""
+    texts = {0: "aba abc cab bca abcab", 1: "bad bed bid abd badbad"}
+    corpus = "aba abc cab bad bed other words badly aba bade"
+    docs = spark.createDataFrame([(corpus,), (None,), (texts[0],), (texts[1],)], "text string")
+    counted = toxicity._counted(spark.createDataFrame([(t, y) for y, t in texts.items()], "text string, label int"))
+    orders = toxicity.Models.class_orders(counted)
+    models = toxicity.Models.build(orders, toxicity._reached(toxicity.shared_grams(docs), [x[2] for x in orders[: toxicity.SHARED - 1]]))
+
+    def grams(words, longest):
+        out = {}
+        for word in words:
+            letters = "^" + word + "^"
+            for i in range(1, len(letters)):
+                g = letters[max(0, i - longest + 1) : i + 1]
+                out[g] = out.get(g, 0) + 1
+        return out
+
+    def by_order(full, longest, lowest):
+        tables, above = {}, {}
+        for k in range(longest, lowest - 1, -1):
+            now = {g: n for g, n in full.items() if len(g) == k}
+            for g in above:
+                now[g[1:]] = now.get(g[1:], 0) + 1
+            tables[k] = above = now
+        return tables
+
+    def mixed(table, g, below):
+        own = {x: n for x, n in table.items() if x[:-1] == g[:-1]}
+        once, twice = (sum(n == k for n in table.values()) for k in (1, 2))
+        d = min(0.95, once / (once + 2 * twice)) if once else 0.5
+        total = sum(own.values())
+        if not total:
+            return below
+        return max(own.get(g, 0) - d, 0) / total + sum(min(n, d) for n in own.values()) / total * below
+
+    words = " ".join([corpus, *texts.values()]).split()
+    shared = by_order(grams(words, toxicity.SHARED), toxicity.SHARED, 3)
+    pairs = {}
+    for g, n in grams(words, toxicity.SHARED).items():
+        pairs[g[-2:]] = pairs.get(g[-2:], 0) + n
+    classes = {y: by_order(grams(t.split(), toxicity.ORDER), toxicity.ORDER, 2) for y, t in texts.items()}
+
+    def loglik(word, y):
+        letters, total = "^" + word + "^", 0.0
+        for i in range(1, len(letters)):
+            g = letters[max(0, i - toxicity.ORDER + 1) : i + 1]
+            row = sum(n for x, n in pairs.items() if x[0] == g[-2])
+            both = p = (pairs.get(g[-2:], 0) + 0.01) / (row + 2.56)
+            for k in range(2, len(g) + 1):
+                if 2 < k <= toxicity.SHARED:
+                    both = mixed(shared[k], g[-k:], both)
+                p = mixed(classes[y][k], g[-k:], both if k <= toxicity.SHARED else p)
+            total += np.log(p)
+        return total
+
+    asked = ["aba", "abc", "bad", "bed", "badly", "cabbad", "ab", "b", "abdabc"]
+    w = next(text_kernels.words(pa.array([" ".join(asked)]), lower=True, between=text_kernels.MARKS))
+    got = models.evidence(w, np.arange(len(asked)))
+    assert np.allclose(got, [loglik(x, 1) - loglik(x, 0) for x in asked], atol=1e-4)
 
 
 def test_lines(docs, empty, spark):
