@@ -1,28 +1,26 @@
 """Operator 1: benchmark decontamination with one Aho-Corasick automaton.
 
-Item texts are normalised to lower-case words with single spaces between; each
-run of WINDOW words (an item of fewer words: all of it) is a pattern.  A text
-is normalised the same way and scanned once; where patterns end in the scan
-tells the words they cover, and these are mapped to offsets of the original
-text.  Patterns are matched with a space on both sides, so only whole words
-count.
-
-Normalised bytes are scanned one character each (latin-1), so a byte of a
-longer UTF-8 letter is never taken for a separator.
-
-The automaton's patterns are broadcast in blocks of at most MAX_BLOCK_BYTES of
-item text; more items take more blocks, each with its own scan, and the hits of
-a document are added up.
+Item texts are normalised to lower-case words; each run of WINDOW words (an item
+of fewer words: all of it) is a pattern.  A word of the items is one symbol of
+the automaton, so it has a node for a word of a window rather than for a letter.
+Texts are split the same way, many at once, into symbols with their offsets in
+the original; words that no item has are one more symbol.  Each text is scanned
+once, and where patterns end in the scan tells the words they cover and, by the
+offsets, their characters.  Words are recognised by a 64-bit hash.
+
+Patterns are broadcast in blocks of about MAX_BLOCK_BYTES of item text (some
+150 bytes of automaton each); more items take more blocks, each with its own
+scan, and the hits of a document are added up.
 
 Defined cases: null or empty text has no words and isn't contaminated; null
 item text has no windows; a null item_id is written "null"; items that share
 an id count once; repeated documents get a row each; an empty benchmark hits
-nothing; extra columns are ignored by ``find`` and kept by ``decontaminate``.
+nothing; of windows that overlap or contain each other each counts; texts of any
+length are read whole; extra columns are ignored by ``find`` and kept by ``decontaminate``.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -33,59 +31,74 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pathloom.llm import text_kernels as tk
+
 #: Words of a window.
 WINDOW = 13
 #: Bytes of item text in one automaton.
-MAX_BLOCK_BYTES = 16 << 20
-
-#: Bytes of words stay (A-Z as a-z); all others become a space.
-_FOLD = bytes(
-    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
-)
-#: The same words in a str, for their offsets.
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+MAX_BLOCK_BYTES = 2 << 20
 
 SPANS = "array<struct<item_id:string,first_word:bigint,last_word:bigint,start_char:bigint,end_char:bigint>>"
 FOUND = f"n_words bigint, hit_words array<bigint>, item_ids array<string>, spans {SPANS}"
 
 
-def fold(text: str | None) -> list[bytes]:
-    """The words of a text, lower-cased."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
-
-
-def windows(text: str | None, size: int = WINDOW) -> set[bytes]:
-    """The patterns of an item."""
-    w = fold(text)
-    return {b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
-
-
-def automaton(items: list[tuple[str, str | None]], size: int = WINDOW):
-    """The automaton of all windows; each carries (words, item ids)."""
-    owners: dict[bytes, set[str]] = {}
-    for item_id, text in items:
-        for pattern in windows(text, size):
-            owners.setdefault(pattern, set()).add(item_id)
-    found = ahocorasick.Automaton()
-    for pattern, ids in owners.items():
-        found.add_word(f" {pattern.decode('latin-1')} ", (pattern.count(b" ") + 1, tuple(sorted(ids))))
-    if owners:
-        found.make_automaton()
-    return found if owners else None
-
-
-def scan(text: str | None, machine) -> tuple[int, list[tuple[int, int, tuple[str, ...]]]]:
-    """(words of the text, [(first word, last word, item ids)])."""
-    w = fold(text)
-    if not w or machine is None:
-        return len(w), []
-    line = b" %b " % b" ".join(w)
-    hits = list(machine.iter(line.decode("latin-1")))
-    if not hits:
-        return len(w), []
-    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-    last = np.searchsorted(spaces, [end for end, _ in hits]) - 1
-    return len(w), [(int(k) - n + 1, int(k), ids) for k, (_, (n, ids)) in zip(last, hits, strict=True)]
+class Machine:
+    """The automaton of all windows of some items, over word symbols.  Symbol 0
+    stands for words of no item and for the end of a text."""
+
+    def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
+        texts = pa.array([text for _, text in items], pa.string())
+        slices = list(tk.words(texts, lower=True, between=tk.MARKS))
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w.hashes for w in slices)]))
+        owners: dict[str, set[str]] = {}
+        for w in slices:
+            line = self._symbols(w.hashes)
+            for i in range(len(w)):
+                own = line[w.bounds[i] : w.bounds[i + 1]]
+                for k in range(max(1, len(own) - size + 1) if own else 0):
+                    owners.setdefault(own[k : k + size], set()).add(items[w.first_row + i][0])
+        self.automaton = ahocorasick.Automaton() if owners else None
+        for pattern, ids in owners.items():
+            self.automaton.add_word(pattern, (len(pattern), tuple(sorted(ids))))
+        if owners:
+            self.automaton.make_automaton()
+
+    def _symbols(self, hashes: np.ndarray) -> str:
+        """A character a word; surrogates are left out of the numbering."""
+        at = np.searchsorted(self.vocabulary, hashes)
+        known = self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == hashes if len(self.vocabulary) else np.zeros(len(hashes), bool)
+        points = np.where(at + 1 < 0xD800, at + 1, at + 1 + 0x800)
+        return np.where(known, points, 0).astype("<u4").tobytes().decode("utf-32-le")
+
+    def scan(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, tuple[str, ...]]], tuple]]:
+        """For each text: its number of words, [(first word, last word, item
+        ids)], and what ``characters`` takes to place words in the original."""
+        for w in tk.words(texts, lower=True, between=tk.MARKS):
+            counts = np.diff(w.bounds)
+            hits: list[list] = [[] for _ in range(len(w))]
+            if self.automaton is not None:
+                # One text after the other, with a 0 between.
+                doc = np.repeat(np.arange(len(w)), counts)
+                ends = np.cumsum(counts + 1)
+                line = np.zeros(int(ends[-1]) if len(w) else 0, np.uint64)
+                line[np.arange(len(doc)) + doc] = w.hashes
+                joined = np.frombuffer(self._symbols(line).encode("utf-32-le"), "<u4").copy()
+                joined[ends - 1] = 0
+                found = list(self.automaton.iter(joined.tobytes().decode("utf-32-le")))
+                owner = np.searchsorted(ends, [end for end, _ in found], "right")
+                for (end, (n, ids)), i in zip(found, owner, strict=True):
+                    last = end - int(ends[i] - counts[i] - 1)
+                    hits[i].append((last - n + 1, last, ids))
+            for i in range(len(w)):
+                yield int(counts[i]), hits[i], (w, i)
+
+
+def characters(w: tk.Words, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the words of text i of a slice, in characters."""
+    low, high = w.offsets[i], w.offsets[i + 1]
+    letters = np.concatenate([[0], np.cumsum((w.data[low:high] & 0xC0) != 0x80)])
+    own = slice(w.bounds[i], w.bounds[i + 1])
+    return letters[w.starts[own] - low], letters[w.ends[own] - low]
 
 
 _machines: dict[str, object] = {}
@@ -100,16 +113,19 @@ _FIELDS = {
 }
 
 
-def _report(text: str | None, machine, spans: bool) -> tuple[int, list[int], list[str], list[dict]]:
+def _report(n: int, hits: list, place: tuple, spans: bool) -> tuple[int, list[int], list[str], list[dict]]:
     """The FOUND fields of one text."""
-    n, hits = scan(text, machine)
+    if not hits:
+        return n, [], [], []
     words = sorted({k for a, b, _ in hits for k in range(a, b + 1)})
-    at = [m.span() for m in WORD.finditer(text)] if hits and spans else []
-    places = [
-        {"item_id": i, "first_word": a, "last_word": b, "start_char": at[a][0], "end_char": at[b][1]}
-        for a, b, owners in (hits if spans else [])
-        for i in owners
-    ]
+    places = []
+    if spans:
+        starts, ends = characters(*place)
+        places = [
+            {"item_id": i, "first_word": a, "last_word": b, "start_char": int(starts[a]), "end_char": int(ends[b])}
+            for a, b, owners in hits
+            for i in owners
+        ]
     return n, words, sorted({i for *_, owners in hits for i in owners}), places
 
 
@@ -120,11 +136,10 @@ def _scanner(patterns, key: str, column: str, spans: bool, follows: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _machines:  # once for each Python worker
             _machines.clear()
-            _machines[key] = automaton(*patterns.value)
+            _machines[key] = Machine(*patterns.value)
         machine = _machines[key]
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-            rows = [_report(text, machine, spans) for text in texts]
+            rows = [_report(*found, spans) for found in machine.scan(batch.column(batch.schema.get_field_index(column)))]
             kept, names = batch.columns, batch.schema.names
             if follows:
                 old = zip(*(c.to_pylist() for c in kept[-4:]), strict=True)
@@ -141,12 +156,12 @@ def _scanner(patterns, key: str, column: str, spans: bool, follows: bool):
 
 
 def _item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks of bounded size, by hash of their id."""
+    """The items in blocks of bounded size, by hash of id and text."""
     rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(text).alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = 1 + total // MAX_BLOCK_BYTES
     for k in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k)
+        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
         yield [(r[0], r[1]) for r in part.collect()]
 
 

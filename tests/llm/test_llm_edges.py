@@ -76,6 +76,16 @@ def test_decontamination(docs, empty, items, spark):
     assert decontaminate.find(docs, items.limit(0)).where("size(item_ids) > 0").count() == 0
 
 
+def test_spans_are_the_words_of_the_original(spark):
+    text = "Çà et là — 'Ünï 13 CôTé', voilà 😀 the Ünï 13 CôTÉ"
+    docs = spark.createDataFrame([(1, text), (2, "ünï 13"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "Ünï, 13"), ("b", "13"), ("c", "ÜnÏ 13"), ("d", "ÜNï 13 côté"), ("e", "Ünï 13 CôTé")], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.find(docs, items).collect()}
+    shown = sorted((s.item_id, text[s.start_char : s.end_char]) for s in got[1].spans)
+    assert shown == [("a", "Ünï 13"), ("a", "Ünï 13"), ("b", "13"), ("b", "13"), ("d", "Ünï 13 CôTé"), ("e", "Ünï 13 CôTé")]
+    assert got[2].item_ids == ["b"] and got[3].item_ids == []
+
+
 def test_decontamination_in_blocks_is_the_same(docs, items, monkeypatch):
     want = sorted(map(str, decontaminate.find(docs, items, spans=False).collect()))
     monkeypatch.setattr(decontaminate, "MAX_BLOCK_BYTES", 20)
