@@ -12,6 +12,7 @@ from pathloom.operators.conformance import MODES
 from pathloom.schema import LOG, LogSchema, minutes, require_columns
 from pathloom.sources.logs import ignore_activities
 
+#: Tokens around a case and for rare activities; events of a preview.
 START, END, UNKNOWN = "__START__", "__END__", "__UNK__"
 PREVIEW = 12
 

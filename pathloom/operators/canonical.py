@@ -73,13 +73,15 @@ def tag(log: DataFrame, cfg: CanonicalConfig, s: LogSchema = LOG) -> DataFrame:
     require_columns(log, s.core)
     act, t = F.col(s.activity), F.col(s.time)
     steps = lambda test: [k for k, r in cfg.step_rules.items() if test(r)]
-    reason = F.when(F.col(s.case).isNull() | act.isNull() | t.isNull(), "essentials")
+    # Rows without essentials take no part in a case; those without a case would be one hot group.
+    lacking = F.col(s.case).isNull() | act.isNull() | t.isNull()
+    reason = F.when(F.lit(False), "")
     if midnight := steps(lambda r: r.drop_if_midnight):
         reason = reason.when(act.isin(midnight) & is_midnight(t), "midnight")
     covariate = steps(lambda r: r.drop_if_missing_covariate)
     if covariate and cfg.covariate in log.columns:
         reason = reason.when(act.isin(covariate) & F.col(cfg.covariate).isNull(), "covariate")
-    rows = log.withColumn("drop_reason", reason).repartition(s.case)
+    rows = log.where(~lacking).withColumn("drop_reason", reason).repartition(s.case)
     used = [c for c in cfg.unstable_columns if c in log.columns]
     if cfg.unstable_missing_mode not in ("none", "drop_rows", "drop_cases", "drop_rows_for_steps_only"):
         raise ValueError(f"unknown unstable_missing_mode {cfg.unstable_missing_mode!r}")
@@ -133,7 +135,9 @@ def tag(log: DataFrame, cfg: CanonicalConfig, s: LogSchema = LOG) -> DataFrame:
         rows = rows.withColumns({"repaired": F.lit(False), "repairs": F.lit(0), "flagged": F.lit(False)})
     if cfg.drop_low_quality_cases:
         rows = rows.withColumn("drop_reason", F.when(F.col("flagged"), "low_quality").otherwise(F.col("drop_reason")))
-    return rows
+    gone = log.where(lacking).withColumn("drop_reason", F.lit("essentials"))
+    gone = gone.withColumns({c: F.lit(False) for c in ("pushed", "repaired", "flagged")})
+    return rows.unionByName(gone, allowMissingColumns=True)
 
 
 def canonicalize(log: DataFrame, cfg: CanonicalConfig, s: LogSchema = LOG) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.functions import stats
 from pathloom.operators.anomaly import cut, vocabulary
 from pathloom.schema import LOG, LogSchema, minutes
 
+#: Keywords of dispositions.
 ADMISSION = ("admit", "admission", "inpatient")
 LWBS = ("lwbs", "left without being seen", "left after triage")
 
@@ -108,11 +110,27 @@ def build_target(log: DataFrame, name: str, s: LogSchema = LOG, **settings) -> D
 
 
 def prediction_dataset(
-    log: DataFrame, target: DataFrame, cutoff_type: str, cutoff_value: int, static: tuple[str, ...] = (), top_k: int = 50, s: LogSchema = LOG
+    log: DataFrame,
+    target: DataFrame,
+    cutoff_type: str,
+    cutoff_value: int,
+    static: tuple[str, ...] = (),
+    top_k: int = 50,
+    s: LogSchema = LOG,
+    include_activities: bool = True,
+    include_last: bool = True,
+    include_times: bool = True,
+    include_resources: bool = False,
 ) -> DataFrame:
-    """Features as of the cutoff, static values of the whole log, and y."""
+    """Features as of the cutoff, static values of the whole log, and y.  The
+    switches leave out counts of activities, flags of the last one, minutes,
+    hour and weekday, or add counts of the top_k resources."""
     early = cut(log, cutoff_type, cutoff_value, s)
-    out = case_features(early, vocabulary(early, top_k, s), s=s)
+    resources = top_values(early, s.resource, top_k) if include_resources and s.resource in log.columns else None
+    out = case_features(early, vocabulary(early, top_k, s), resources, s, include_last)
+    gone = [c for c in out.columns if not include_activities and c.startswith("act_count::")]
+    gone += [] if include_times else ["elapsed_minutes", "hour", "dayofweek"]
+    out = out.drop(*gone)
     if static:
         out = out.join(static_features(log, list(static), s), s.case, "left")
     return out.join(target, s.case)
@@ -145,6 +163,33 @@ def coerce_numeric(df: DataFrame, keys: list[str], share: float = 0.9, most: int
     return plan.select(*out)
 
 
-def target_summary(values: DataFrame, column: str = "y") -> DataFrame:
-    """n_cases, rate, mean and median of a target."""
-    return values.agg(F.count(column).alias("n_cases"), F.avg(F.col(column).cast("double")).alias("rate"), F.percentile(column, 0.5).alias("median"))
+def target_summary(values: DataFrame, name: str, task: str, column: str = "y", order: list[str] | None = None, n_boot: int = 2000) -> DataFrame:
+    """One row of a target: target, n_cases, rate, mean, median and p90 with
+    _ci_low and _ci_high each.  Two classes have a rate (Wilson), numbers the
+    others (bootstraps); what a task doesn't have is null."""
+    known = values.where(F.col(column).isNotNull())
+    names = [f"{x}{ci}" for x in ("rate", "mean", "median", "p90") for ci in ("", "_ci_low", "_ci_high")]
+    out = known.agg(F.lit(name).alias("target"), F.count(F.lit(1)).alias("n_cases"), F.sum(F.col(column).cast("long") if task == "binary" else F.lit(0)).alias("hits"))
+    if task == "binary":
+        low, high = stats.wilson(F.col("hits"), F.col("n_cases"))
+        out = out.withColumns({"rate": F.col("hits") / F.nullif(F.col("n_cases"), F.lit(0)), "rate_ci_low": low, "rate_ci_high": high})
+    elif task == "regression":
+        for x in ("mean", "median", "p90"):
+            ci = stats.bootstrap_ci(known, column, order or [column], x, n_boot)
+            out = out.crossJoin(F.broadcast(ci.toDF(x, f"{x}_ci_low", f"{x}_ci_high")))
+    else:
+        raise ValueError(f"unknown task {task!r}")
+    return out.select("target", "n_cases", *[F.col(c) if c in out.columns else F.lit(None).cast("double").alias(c) for c in names])
+
+
+def historical_baselines(log: DataFrame, disposition: str, event: str, cutoff_type: str, cutoff_value: int, s: LogSchema = LOG) -> DataFrame:
+    """One row: admission_rate, lwbs_rate, median_minutes to the event."""
+    rates = [keyword_target(log, disposition, words, s).agg(F.avg("y").alias(n)) for n, words in (("admission_rate", ADMISSION), ("lwbs_rate", LWBS))]
+    waits = time_to_event_target(log, event, cutoff_type, cutoff_value, s=s).agg(F.percentile("y", 0.5).alias("median_minutes"))
+    return rates[0].crossJoin(rates[1]).crossJoin(waits)
+
+
+def profile_row(spark: SparkSession, columns: list[str], values: dict[str, float]) -> DataFrame:
+    """One case to predict: zeros, and the values that are given (of columns
+    that the model has)."""
+    return spark.range(1).select(*[F.lit(float(values.get(c, 0.0))).alias(c) for c in columns])

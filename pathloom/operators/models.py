@@ -12,7 +12,6 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import stats
@@ -69,28 +68,36 @@ def predict(trained: Trained, df: DataFrame) -> DataFrame:
     return named.drop("raw_", "features", "rawPrediction", "probability", "prediction")
 
 
-def split(df: DataFrame, key: str, by_class: bool, share: float = 0.25, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and test: the rows of the smallest hashes, a quarter of each class."""
-    order = (W.partitionBy("y") if by_class else W.partitionBy(F.lit(0))).orderBy(hash32(F.lit(seed), F.col(key)), key)
-    rank = df.withColumn("rank_", F.percent_rank().over(order)).persist()
-    test = F.col("rank_") < share
-    return rank.where(~test).drop("rank_"), rank.where(test).drop("rank_")
+def split(df: DataFrame, key: str, share: float = 0.25, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Train and test: a row is for the test if its key's hash is among the least
+    quarter, so about a quarter of each class is."""
+    test = hash32(F.lit(seed), F.col(key)) < F.lit(int(share * 2**32))
+    return df.where(~test), df.where(test)
 
 
 def evaluate(df: DataFrame, columns: list[str], key: str, task: str = "binary", model_type: str = "logreg", trees: int | None = None) -> DataFrame:
     """Metrics of a model fitted on three quarters, on the rest."""
-    fit_on, test = split(df, key, task == "binary")
+    fit_on, test = split(df, key)
     got = predict(train(fit_on, columns, task, model_type, trees=trees), test).withColumnRenamed("y", "y_true")
     if task == "regression":
         return stats.regression_metrics(got)
     return stats.binary_metrics(got).crossJoin(stats.roc_auc(got)).crossJoin(stats.average_precision(got))
 
 
+def performance_table(df: DataFrame, columns: list[str], key: str, task: str = "binary", model_types: tuple[str, ...] = ("logreg", "rf"), trees: int | None = None) -> DataFrame:
+    """A row a model: model_type and its metrics on the same held-out rows."""
+    rows = [evaluate(df, columns, key, task, m, trees).withColumn("model_type", F.lit(m)) for m in model_types]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out.select("model_type", *[c for c in out.columns if c != "model_type"])
+
+
 def bootstrap_refit(df: DataFrame, columns: list[str], key: str, profile: dict[str, float], n_boot: int = 50, seed: int = 42, least: int = 50) -> DataFrame:
-    """Prediction of one profile by ridge models refitted on resampled cases:
-    estimate, ci_low, ci_high.
+    """Prediction of one profile by ridge models (scaled without centring, as in
+    train) refitted on resampled cases: estimate (of all cases), ci_low, ci_high.
 
-    Each draw gives each case a Poisson(1) weight from a hash; a draw's normal
+    Draw -1 has each case once; each other draw gives each case a Poisson(1) weight from a hash; a draw's normal
     equations are sums over cases (one aggregation), solved in one small task a
     draw."""
     import numpy as np
@@ -99,20 +106,24 @@ def bootstrap_refit(df: DataFrame, columns: list[str], key: str, profile: dict[s
     n = df.count()
     if n < least:
         raise ValueError(f"a refit bootstrap needs {least} cases; there are {n}")
-    x = [F.lit(1.0), *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns]]
+    plain = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns]
+    spread = df.agg(*[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(plain)]).first()
+    scale = [float(d) if d else 1.0 for d in spread]
+    x = [F.lit(1.0), *[c / d for c, d in zip(plain, scale, strict=True)]]
     k = len(x)
     rows = df.select(F.col(key).alias("key_"), F.array(*x).alias("x"), F.col("y").cast("double").alias("t"))
-    drawn = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+    drawn = rows.select("*", F.explode(F.sequence(F.lit(-1), F.lit(n_boot - 1))).alias("b"))
     u = (hash32(F.lit(seed), F.col("b"), F.col("key_")).cast("double") + 0.5) / F.lit(4294967296.0)
     below, weight, term = 0.0, F.lit(0.0), 1.0
     for count in range(8):
         term = term / count if count else 0.36787944117144233
         below += term
         weight = weight + (u > below).cast("double")
+    weight = F.when(F.col("b") < 0, 1.0).otherwise(weight)
     sums = [F.sum(F.col("w") * F.col("x")[i] * F.col("x")[j]).alias(f"a_{i}_{j}") for i in range(k) for j in range(i, k)]
     sums += [F.sum(F.col("w") * F.col("x")[i] * F.col("t")).alias(f"b_{i}") for i in range(k)]
     moments = drawn.withColumn("w", weight).groupBy("b").agg(*sums)
-    asked = np.array([1.0, *[float(profile.get(c, 0.0)) for c in columns]])
+    asked = np.array([1.0, *[float(profile.get(c, 0.0)) / d for c, d in zip(columns, scale, strict=True)]])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
@@ -121,11 +132,12 @@ def bootstrap_refit(df: DataFrame, columns: list[str], key: str, profile: dict[s
             for j in range(i, k):
                 a[i, j] = a[j, i] = row[f"a_{i}_{j}"]
         beta = np.linalg.solve(a + np.diag([1e-9] + [1.0] * (k - 1)), np.array([row[f"b_{i}"] for i in range(k)]))
-        return pd.DataFrame({"p": [float(asked @ beta)]})
+        return pd.DataFrame({"b": [int(row["b"])], "p": [float(asked @ beta)]})
 
-    each = moments.groupBy("b").applyInPandas(solve, "p double")
-    q = F.percentile("p", F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975)))
-    return each.agg(q.alias("q")).select(*[F.col("q")[i].alias(c) for i, c in enumerate(("estimate", "ci_low", "ci_high"))])
+    each = moments.groupBy("b").applyInPandas(solve, "b int, p double")
+    q = F.percentile(F.when(F.col("b") >= 0, F.col("p")), F.array(F.lit(0.025), F.lit(0.975)))
+    out = each.agg(F.max(F.when(F.col("b") < 0, F.col("p"))).alias("estimate"), q.alias("q"))
+    return out.select("estimate", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
 
 def coefficients(trained: Trained) -> dict[str, float]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pathloom.operators.canonical import CanonicalConfig, canonicalize
+from pathloom.operators.canonical import CanonicalConfig, canonicalize, report
 from pathloom.schema import LOG, LogSchema, require_columns
 
 #: Steps that the grid may have, as interval text.
@@ -91,7 +91,7 @@ def sampled(intervals: DataFrame, freq: str = "15min", start: str | None = None,
     at = lambda given, column: F.lit(given).cast("timestamp_ntz") if given else F.col(column)
     grid = span.select(F.explode(F.sequence(at(start, "lo"), at(end, "hi"), F.expr(f"INTERVAL {every}"))).alias("timestamp"))
     points = net.select("state").distinct().crossJoin(grid)
-    # Each level holds until the state's next one: the grid points in between are its own.
+    # Grid points and levels in one order: a point has the last level of its day, or else of the days before.
     day = F.to_date("timestamp")
     marked = levels.select("state", "timestamp", "queue_length", F.lit(0).alias("kind")).unionByName(
         points.select("state", "timestamp", F.lit(None).cast("long").alias("queue_length"), F.lit(1).alias("kind"))
@@ -128,12 +128,16 @@ def box_stats(intervals: DataFrame, by: str = "state", duration: str = "duration
 def run_queue_mining(
     log: DataFrame, cfg: QueueConfig = QueueConfig(), freq: str | None = "15min", canonical: CanonicalConfig | None = None, s: LogSchema = LOG
 ) -> dict[str, DataFrame]:
-    """intervals, change_points, sampled (with a freq) and summary; terminal
-    states are left out of the summary alone."""
+    """intervals, change_points, sampled (with a freq), summary and, with a
+    canonical config, report; terminal states of either config are left out of
+    the summary alone."""
     rows = canonicalize(log, canonical, s) if canonical is not None else log
     intervals = state_intervals(rows, cfg, s)
     waits = wait_summary(intervals)
-    if cfg.terminal_states:
-        waits = waits.where(~F.col("state").isin(list(cfg.terminal_states)))
+    terminal = {*cfg.terminal_states, *(canonical.terminals if canonical is not None else ())}
+    if terminal:
+        waits = waits.where(~F.col("state").isin(sorted(terminal)))
     out = {"intervals": intervals, "change_points": change_points(intervals), "summary": waits}
+    if canonical is not None:
+        out["report"] = report(log, canonical, s)
     return out | ({"sampled": sampled(intervals, freq)} if freq else {})

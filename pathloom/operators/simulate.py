@@ -46,6 +46,19 @@ class Grid:
     mus: int = 121
 
 
+@dataclass(frozen=True)
+class Priors:
+    """mu normal around the log of the median (or around ``mu_mean``), each beta
+    normal around 0; 1 / kappa exponential or, with ``kappa_gamma`` (shape,
+    rate), kappa gamma."""
+
+    mu_sd: float = 2.0
+    beta_sd: float = 1.0
+    sigma_rate: float = 1.0
+    kappa_gamma: tuple[float, float] | None = None
+    mu_mean: float | None = None
+
+
 def transition(key: str) -> tuple[str, str]:
     if key not in TRANSITIONS:
         raise KeyError(f"unknown transition {key!r}; there are {sorted(TRANSITIONS)}")
@@ -92,16 +105,19 @@ def _kappas(grid: Grid) -> list[float]:
     return [round(grid.kappa_low + grid.kappa_step * i, 10) for i in range(grid.kappas)]
 
 
-def posterior(data: DataFrame, grid: Grid = Grid()) -> DataFrame:
-    """mu, kappa, weight over the grid.  Priors: mu normal around the log of the
-    median with deviation 2, 1 / kappa exponential."""
+def posterior(data: DataFrame, grid: Grid = Grid(), priors: Priors = Priors()) -> DataFrame:
+    """mu, kappa, weight over the grid, which lies around the log of the median."""
     middle = data.agg(F.ln(F.percentile("duration_min", 0.5)).alias("m0"))
     step = 2 * grid.mu_reach / (grid.mus - 1)
     offsets = F.transform(F.sequence(F.lit(0), F.lit(grid.mus - 1)), lambda i: i * F.lit(step) - F.lit(grid.mu_reach))
     points = sufficient_statistics(data, grid).crossJoin(F.broadcast(middle)).select("*", F.explode(offsets).alias("offset"))
     k, mu = F.col("kappa"), F.col("m0") + F.col("offset")
     likelihood = F.col("d") * F.ln(k) + (k - 1) * F.col("sum_log") - F.col("d") * k * mu - F.exp(-k * mu) * F.col("s_kappa")
-    prior = -(F.col("offset") * F.col("offset")) / 8 - 1 / k - 2 * F.ln(k)
+    away = F.col("offset") if priors.mu_mean is None else mu - F.lit(priors.mu_mean)
+    shape = F.lit(-priors.sigma_rate) / k - 2 * F.ln(k)
+    if priors.kappa_gamma is not None:
+        shape = (priors.kappa_gamma[0] - 1) * F.ln(k) - F.lit(priors.kappa_gamma[1]) * k
+    prior = -(away * away) / (2 * priors.mu_sd**2) + shape
     rows = points.select(mu.alias("mu"), "kappa", (likelihood + prior).alias("lp"))
     best = rows.agg(F.max("lp").alias("best"))
     raw = rows.crossJoin(F.broadcast(best)).select("mu", "kappa", F.exp(F.col("lp") - F.col("best")).alias("w"))
@@ -134,6 +150,22 @@ def predictive_times(weights: DataFrame, n: int = 5000, seed: int = 123) -> Data
     return chosen.select("draw", "p.mu", "p.kappa", time.alias("minutes"))
 
 
+def predictive_times_at(samples: DataFrame, values: dict[str, float], n: int = 5000, seed: int = 123) -> DataFrame:
+    """draw, mu, kappa, minutes: n draws at given covariate values from the
+    samples of posterior_with_covariates (chain, draw, mu, kappa, beta_*), which
+    are drawn with replacement.  Covariates that aren't given count as 0."""
+    place = F.col("mu")
+    for name, value in values.items():
+        place = place + F.col(f"`beta_{name}`") * F.lit(float(value))
+    kept = samples.select("chain", "draw", place.alias("place"), "kappa").orderBy("chain", "draw").collect()  # chains x draws rows
+    table = F.array(*[F.struct(F.lit(r["place"]).alias("mu"), F.lit(r["kappa"]).alias("kappa")) for r in kept])
+    pick = F.floor(uniform(F.lit(seed), F.col("id"), F.lit("p")) * len(kept)).cast("int")
+    drawn = samples.sparkSession.range(n).select(F.col("id").alias("draw"), F.get(table, pick).alias("p"))
+    u = uniform(F.lit(seed), F.col("draw"), F.lit("t"))
+    time = F.greatest(F.exp(F.col("p.mu")) * F.pow(-F.ln(1 - u), 1 / F.col("p.kappa")), F.lit(LEAST_MINUTES))
+    return drawn.select("draw", "p.mu", "p.kappa", time.alias("minutes"))
+
+
 def scenario(times: DataFrame, multiplier: float) -> DataFrame:
     """draw, t_baseline, t_capacity: m times the capacity takes 1 / m of the time."""
     if multiplier <= 0:
@@ -176,24 +208,48 @@ def service_table(simulated: DataFrame, levels: tuple[int, ...]) -> DataFrame:
 
 
 def fingerprint(log: DataFrame, *settings: object) -> DataFrame:
-    """A key for kept fits: rows in any order, and every setting."""
-    rows = log.agg(F.bit_xor(F.xxhash64(*log.columns)).alias("x"), F.count(F.lit(1)).alias("n"))
-    return rows.select(F.substring(F.sha2(F.concat_ws("|", "x", "n", F.lit(repr(settings))), 256), 1, 16).alias("fingerprint"))
-
-
-def simulate(log: DataFrame, key: str, multiplier: float = 1.5, n: int = 5000, grid: Grid = Grid(), s: LogSchema = LOG) -> DataFrame:
-    """From a log with normalised activities to the summary of one transition."""
-    data = transition_dataset(log, *transition(key), s=s)
+    """A key for kept fits: rows in any order, each as often as it occurs, and
+    every setting."""
+    h = F.xxhash64(*log.columns)
+    total = F.sum(F.crc32(h.cast("string").cast("binary")).cast("decimal(38,0)"))
+    rows = log.agg(F.bit_xor(h).alias("x"), F.coalesce(total, F.lit(0)).cast("string").alias("s"), F.count(F.lit(1)).alias("n"))
+    return rows.select(F.substring(F.sha2(F.concat_ws("|", "x", "s", "n", F.lit(repr(settings))), 256), 1, 16).alias("fingerprint"))
+
+
+def simulate(
+    log: DataFrame,
+    key: str,
+    multiplier: float = 1.5,
+    n: int = 5000,
+    grid: Grid = Grid(),
+    s: LogSchema = LOG,
+    priors: Priors = Priors(),
+    covariates: dict[str, float] | None = None,
+    times: bool = False,
+) -> DataFrame:
+    """From a log with normalised activities to the summary of one transition,
+    at given covariate values if there are any; with ``times`` the simulated
+    times (draw, t_baseline, t_capacity) instead."""
+    names = tuple(covariates or ())
+    data = transition_dataset(log, *transition(key), names, s)
     cases = data.count()
     if cases < LEAST_CASES:
         raise ValueError(f"{key} needs {LEAST_CASES} cases; there are {cases}")
-    out = summarize(scenario(predictive_times(posterior(data, grid), n), multiplier))
+    if names:
+        drawn = predictive_times_at(posterior_with_covariates(data, list(names), priors=priors), covariates, n)
+    else:
+        drawn = predictive_times(posterior(data, grid, priors), n)
+    if times:
+        return scenario(drawn, multiplier)
+    out = summarize(scenario(drawn, multiplier))
     return out.select(
         F.lit(key).alias("transition_key"), F.lit(float(multiplier)).alias("capacity_multiplier"), F.lit(cases).cast("long").alias("n_cases_used"), "*"
     )
 
 
-def posterior_with_covariates(data: DataFrame, covariates: list[str], draws: int = 400, tune: int = 400, chains: int = 2, seed: int = 42) -> DataFrame:
+def posterior_with_covariates(
+    data: DataFrame, covariates: list[str], draws: int = 400, tune: int = 400, chains: int = 2, seed: int = 42, priors: Priors = Priors()
+) -> DataFrame:
     """chain, draw, mu, kappa, beta_*: random-walk Metropolis.  The data are
     grouped by covariate values first, so a chain's task holds a row for each
     distinct (duration, covariates), not the log."""
@@ -215,7 +271,12 @@ def posterior_with_covariates(data: DataFrame, covariates: list[str], draws: int
             k, place = np.exp(v[1]), v[0] + x @ v[2:]
             z = np.clip(k * (t - place), -700, 700)
             like = (n * (event * (v[1] + z - t) - np.exp(z))).sum()
-            return float(like - (v[0] - centre) ** 2 / 8 - 1 / k - v[1] - (v[2:] ** 2).sum() / 2)
+            # Of log kappa, which is what moves: each density with its Jacobian.
+            shape = -priors.sigma_rate / k - v[1]
+            if priors.kappa_gamma is not None:
+                shape = priors.kappa_gamma[0] * v[1] - priors.kappa_gamma[1] * k
+            middle = centre if priors.mu_mean is None else priors.mu_mean
+            return float(like - (v[0] - middle) ** 2 / (2 * priors.mu_sd**2) + shape - (v[2:] ** 2).sum() / (2 * priors.beta_sd**2))
 
         v = np.concatenate([[centre, 0.0], np.zeros(x.shape[1])])
         now, width, out, taken = density(v), np.full(len(v), 0.1), [], 0

@@ -227,24 +227,19 @@ def bootstrap_sql(statistic: str) -> str:
 
 def target_summary_binary(spark, sf):
     rows = features.keyword_target(views.dispositions(spark, sf), "disposition_desc", features.ADMISSION)
-    one = rows.agg(F.count("y").alias("n_cases"), F.sum("y").alias("k"))
-    low, high = stats.wilson(F.col("k"), F.col("n_cases"))
-    rate = F.col("k") / F.col("n_cases")
-    return one.select(F.lit("prob_admission").alias("target"), "n_cases", F.round(rate, 6).alias("rate"), F.round(low, 6).alias("rate_low"), F.round(high, 6).alias("rate_high"))
+    out = features.target_summary(rows, "prob_admission", "binary")
+    return _rounded(out.select("target", "n_cases", "rate", F.col("rate_ci_low").alias("rate_low"), F.col("rate_ci_high").alias("rate_high")), "rate", "rate_low", "rate_high")
 
 
 def target_summary_regression(spark, sf):
-    values = minutes_by_case(spark, sf)
-    out = values.agg(F.lit("minutes").alias("target"), F.count("y").alias("n_cases"))
-    for name in ("mean", "median", "p90"):
-        ci = stats.bootstrap_ci(values, "y", ["case_id"], name, 100)
-        out = out.crossJoin(F.broadcast(ci.select(*[F.round(F.col(c), 4).alias(f"{name}{x}") for c, x in (("estimate", ""), ("ci_low", "_low"), ("ci_high", "_high"))])))
-    return out
+    out = features.target_summary(minutes_by_case(spark, sf), "minutes", "regression", order=["case_id"], n_boot=100)
+    shown = {c: c.replace("_ci", "") for c in out.columns if c.startswith(("mean", "median", "p90"))}
+    return _rounded(out.select("target", "n_cases", *shown).withColumnsRenamed(shown), *shown.values(), places=4)
 
 
 def historical_baselines(spark, sf):
-    a = features.keyword_target(views.dispositions(spark, sf), "disposition_desc", features.ADMISSION).agg(F.avg("y").alias("admission_rate"))
-    b = features.keyword_target(views.dispositions(spark, sf), "disposition_desc", features.LWBS).agg(F.avg("y").alias("lwbs_rate"))
+    keyed = views.dispositions(spark, sf)
+    a, b = (features.keyword_target(keyed, "disposition_desc", w).agg(F.avg("y").alias(n)) for n, w in (("admission_rate", features.ADMISSION), ("lwbs_rate", features.LWBS)))
     c = features.time_to_event_target(views.log_day(spark, sf), "purchase", "n_events", 1).agg(F.percentile("y", 0.5).alias("median_minutes"))
     return _rounded(a.crossJoin(b).crossJoin(c), "admission_rate", "lwbs_rate", "median_minutes")
 

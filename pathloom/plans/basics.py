@@ -91,8 +91,7 @@ VIEW_MIDNIGHT = f"activity = 'view' AND {MIDNIGHT}"
 
 
 def canon_report(spark, sf):
-    out = canonical.report(views.log_dirty(spark, sf), FULL)
-    return out.drop("dropped_missing_covariate", "dropped_unstable_rows", "dropped_unstable_cases")
+    return canonical.report(views.log_dirty(spark, sf), FULL)
 
 
 def sort_events(spark, sf):
@@ -329,6 +328,7 @@ ORACLES = {
        (SELECT count(DISTINCT case_id) FROM dirty) AS n_cases_in, count(DISTINCT CASE WHEN repairs <= 1 THEN case_id END) AS n_cases_out,
        (SELECT count(*) FROM dirty) - count(*) FILTER (repairs <= 1) AS dropped_rows,
        (SELECT count(*) FROM dirty WHERE {VIEW_MIDNIGHT}) AS dropped_midnight,
+       CAST(0 AS BIGINT) AS dropped_missing_covariate, CAST(0 AS BIGINT) AS dropped_unstable_rows, CAST(0 AS BIGINT) AS dropped_unstable_cases,
        (SELECT count(*) FROM dirty WHERE activity IS NOT NULL AND NOT ({VIEW_MIDNIGHT})) - count(*) AS dropped_duplicates,
        count(DISTINCT CASE WHEN pushed THEN case_id END) AS terminal_reordered_cases,
        count(*) FILTER (repaired AND repairs <= 1) AS monotonic_repairs_applied,

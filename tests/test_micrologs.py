@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import anomaly, canonical, conformance, discovery, features, queues, simulate
+from pathloom.operators import anomaly, canonical, conformance, discovery, features, models, queues, simulate
 from pathloom.schema import require_columns
 from pathloom.sources import logs
 
@@ -168,3 +168,77 @@ def test_properties_of_a_log(spark, sf):
     assert {r[0] for r in points.groupBy("state").agg(F.sum("delta")).select("sum(delta)").collect()} == {0}
     shuffled = rows.repartition(7).orderBy(F.rand(1))
     assert sorted(map(tuple, discovery.dfg_edges(shuffled).collect())) == sorted(map(tuple, discovery.dfg_edges(rows).collect()))
+
+
+def test_rows_without_a_case_are_counted_apart(spark):
+    rows = log(spark, [("c", "A", 1), (None, "A", 2), ("c", None, 3), (None, None, None), ("c", "B", None)])
+    cfg = canonical.CanonicalConfig()
+    assert seconds(canonical.canonicalize(rows, cfg)) == [("A", 1)]
+    counts = canonical.report(rows, cfg).first()
+    assert (counts.n_rows_in, counts.n_rows_out, counts.n_cases_in, counts.dropped_rows) == (5, 1, 1, 4)
+
+
+def test_queue_pipeline_leaves_out_the_canonical_terminals(spark):
+    rows = log(spark, [("c", "A", 0), ("c", "T", 60), ("c", "B", 120), ("c", "C", 180)])
+    out = queues.run_queue_mining(rows, freq=None, canonical=canonical.CanonicalConfig(terminal_steps=("T",)))
+    assert "T" not in [r.state for r in out["summary"].collect()] and out["report"].first().n_rows_in == 4
+
+
+def test_fingerprints_count_repeated_rows(spark):
+    a, b, c = ("x", "A", 1), ("x", "B", 2), ("x", "C", 3)
+    table = lambda *rows: spark.createDataFrame(list(rows), "k string, a string, t int")
+    key = lambda df: simulate.fingerprint(df, "s").first()[0]
+    assert key(table(a, a, c)) != key(table(b, b, c)) and key(table(a, b, c)) == key(table(c, b, a))
+
+
+@pytest.fixture(scope="module")
+def cases(spark):
+    rows = [(i, float(i % 7), float(i % 3), float(2 * (i % 7) - (i % 3)), int(i % 7 > 3)) for i in range(400)]
+    return spark.createDataFrame(rows, "k long, u double, v double, t double, c int")
+
+
+def test_ridge_and_logistic_coefficients_follow_the_formulas(cases):
+    import numpy as np
+
+    x = np.array([(r.u, r.v) for r in cases.collect()])
+    t, c = (np.array([r[n] for r in cases.collect()], float) for n in ("t", "c"))
+    scale = x.std(axis=0, ddof=1)
+    z = np.column_stack([np.ones(len(x)), x / scale])
+    ridge = np.linalg.solve(z.T @ z + np.diag([0.0, 1, 1]), z.T @ t)
+    got = models.coefficients(models.train(cases.withColumn("y", F.col("t")), ["u", "v"], "regression"))
+    assert np.allclose([got["u"], got["v"]], ridge[1:] / scale, rtol=1e-3)
+    refit = models.bootstrap_refit(cases.withColumn("y", F.col("t")), ["u", "v"], "k", {"u": 3.0, "v": 1.0}, n_boot=20).first()
+    assert refit.estimate == pytest.approx(float(ridge @ [1, 3 / scale[0], 1 / scale[1]]), abs=1e-4)
+    assert refit.ci_low <= refit.estimate + 0.1 and refit.estimate - 0.1 <= refit.ci_high
+    w = np.zeros(3)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-z @ w))
+        w += np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + np.diag([0.0, 1, 1]), z.T @ (c - p) - w * [0, 1, 1])
+    got = models.coefficients(models.train(cases.withColumn("y", F.col("c")), ["u", "v"]))
+    assert np.allclose([got["u"], got["v"]], w[1:] / scale, rtol=1e-2, atol=1e-4)
+
+
+def test_performance_table_and_profile(spark, cases):
+    rows = cases.withColumn("y", F.col("c"))
+    table = {r.model_type: r for r in models.performance_table(rows, ["u", "v"], "k", trees=5).collect()}
+    assert set(table) == {"logreg", "rf"} and table["rf"].roc_auc > 0.9
+    one = features.profile_row(spark, ["u", "v"], {"u": 6.0, "else": 1.0})
+    assert one.columns == ["u", "v"] and one.first()[:] == (6.0, 0.0)
+    assert models.predict(models.train(rows, ["u", "v"]), one).first().y_pred == 1.0
+
+
+def test_target_summaries_have_all_columns(cases):
+    binary = features.target_summary(cases.withColumn("y", F.col("c")), "c", "binary").first()
+    number = features.target_summary(cases.withColumn("y", F.col("t")), "t", "regression", order=["k"], n_boot=20).first()
+    assert len(binary) == len(number) == 14 and binary.mean is None and number.rate is None
+    assert binary.rate_ci_low < binary.rate < binary.rate_ci_high and number.p90_ci_low <= number.p90 <= number.p90_ci_high
+
+
+def test_simulation_with_covariates_and_priors(spark):
+    samples = spark.createDataFrame([(0, 0, 1.0, 2.0, 0.5), (0, 1, 1.0, 2.0, 0.5)], "chain int, draw int, mu double, kappa double, beta_age double")
+    low, high = (simulate.predictive_times_at(samples, {"age": v}, 200).agg(F.avg("mu"), F.avg("minutes")).first() for v in (0.0, 2.0))
+    assert (low[0], high[0]) == (1.0, 2.0) and high[1] > 2 * low[1]
+    data = spark.createDataFrame([(i, 5.0 + i % 9, 1) for i in range(200)], "case_id int, duration_min double, observed int")
+    grid = simulate.Grid(kappa_low=0.5, kappa_step=0.25, kappas=20, mus=41)
+    means = [simulate.posterior_means(simulate.posterior(data, grid, p)).first() for p in (simulate.Priors(), simulate.Priors(kappa_gamma=(2.0, 50.0)), simulate.Priors(mu_mean=0.0, mu_sd=0.01))]
+    assert means[1].kappa_mean < means[0].kappa_mean and means[2].mu_mean < means[0].mu_mean
