@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the session names none and runs on one machine (tests) a
     temporary folder is made and kept for the session."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not spark.sparkContext.master.startswith("local["):
+    if not path and not (spark.sparkContext.master + "[").startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not path:
         path = spark.conf.get("pathloom.scratch.dir", None)
