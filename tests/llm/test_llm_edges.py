@@ -389,14 +389,30 @@ def test_lines_are_dropped_from_documents(spark, empty):
     assert line_dups.drop_repeated_lines(empty).count() == 0
 
 
-def test_line_simhash(spark):
+def test_line_simhash():
     words = [f"w{i}word" for i in range(12)]
-    df = spark.createDataFrame([(" ".join(words), " ".join(words[::-1] + words[:3]))], "a string, b string")
-    a, b = (line_dups.simhash(line_dups.word_hashes(F.col(c))) for c in "ab")
-    hashes, got, same = df.select(line_dups.word_hashes(F.col("a")), a, b).first()
+    lines = line_dups.Lines([" ".join(words), " ".join(words[::-1] + words[:3])])
+    hashes = [int(h) for h in lines.words[:12]]
+    got, same = (int(x) for x in lines.simhash())
     assert got == same == sum(1 << k for k in range(line_dups.BITS) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
 
 
+def test_line_spelling_and_distance():
+    texts = ["Same, LINE \u2014 here\n\n--\n\u00dcber  \u4e2d\u6587\U0001f600!", "", "\n", "x\ty"]
+    owner, line_no, lines = line_dups.spelled(texts)
+    assert list(zip(owner, line_no, lines.to_pylist())) == [(0, 0, "same line here"), (0, 3, "\u00fcber \u4e2d\u6587\U0001f600"), (3, 0, "x y")]
+    rng = np.random.default_rng(4)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice(list("ab"), rng.integers(0, 9))) for _ in "ab")
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        assert [line_dups.within(a, b, k) for k in range(9)] == [row[-1] <= k for k in range(9)]
+
+
 def test_sharding(docs, empty, tmp_path, spark):
     got = sharding.shard_documents(clash(docs, "shard", "bucket", "g_", "b_", "bucket_group"), [1.0, 2.0, 1.0])
     rows = got.collect()
