@@ -159,6 +159,11 @@ def plot_nodes(spark, sf):
     return _rounded(discovery.plot_nodes(discovery.dfg_nodes(views.log(spark, sf))), "size")
 
 
+def plot_edges(spark, sf):
+    log = views.log(spark, sf)
+    return discovery.plot_edges(discovery.dfg_edges(log), discovery.plot_nodes(discovery.dfg_nodes(log), 3))
+
+
 def edge_performance(spark, sf):
     return _rounded(discovery.edge_performance(views.log(spark, sf)), "mean_min", "median_min", "p90_min")
 
@@ -260,6 +265,7 @@ QUERIES = {
     "canon_monotonic": _canon(canonical.CanonicalConfig(terminal_steps=("purchase",))),
     "canon_full": _canon(FULL),
     "canon_report": canon_report,
+    "canon_dropped_by_step": lambda s, d: canonical.dropped_by_step(views.log_dirty(s, d), FULL),
     "sort_events": sort_events,
     "head_per_case": lambda s, d: anomaly.head(views.log(s, d), 3).select("case_id", "_seq"),
     "top_k_activities": lambda s, d: views.log_ship(s, d).groupBy("activity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "activity").limit(3),
@@ -285,6 +291,7 @@ QUERIES = {
     "dfg_ego_nodes": _dfg(1, top_k_edges=4, view_mode="ego", focus="click"),
     "dfg_view": _dfg(0, min_edge_count=2, drop_self_loops=True),
     "dfg_plot_nodes": plot_nodes,
+    "dfg_plot_edges": plot_edges,
     "dfg_edge_performance": edge_performance,
     "conformance_exact": _check("exact"),
     "conformance_prefix": _check("prefix"),
@@ -323,6 +330,7 @@ ORACLES = {
     "canon_terminal_rollday": canon_sql(monotone=False, roll=True, terminal=TERMINAL, ranks="CASE activity WHEN 'purchase' THEN 100 ELSE 50 END"),
     "canon_monotonic": canon_sql(terminal=TERMINAL, ranks="CASE activity WHEN 'purchase' THEN 100 ELSE 50 END"),
     "canon_full": canon_sql(VIEW_MIDNIGHT, terminal=TERMINAL, ranks=RANKS, most=1),
+    "canon_dropped_by_step": "WITH " + views.SQL["dirty"] + f" SELECT activity, 'midnight' AS drop_reason, count(*) AS count FROM dirty WHERE {VIEW_MIDNIGHT} GROUP BY activity",
     "canon_report": "WITH c AS (" + canon_sql(VIEW_MIDNIGHT, terminal=TERMINAL, ranks=RANKS, most=10**9, columns="case_id, repairs, pushed, repaired") + "), " + views.SQL["dirty"] + f"""
       SELECT (SELECT count(*) FROM dirty) AS n_rows_in, count(*) FILTER (repairs <= 1) AS n_rows_out,
        (SELECT count(DISTINCT case_id) FROM dirty) AS n_cases_in, count(DISTINCT CASE WHEN repairs <= 1 THEN case_id END) AS n_cases_out,
@@ -363,6 +371,8 @@ ORACLES = {
     "dfg_ego_nodes": with_views("log", EDGES + EGO + " SELECT * FROM nodes WHERE activity IN (SELECT a FROM seen) AND activity IN (SELECT source FROM k UNION SELECT target FROM k)"),
     "dfg_view": with_views("log", EDGES + " SELECT * FROM edges WHERE source <> target AND count >= 2"),
     "dfg_plot_nodes": with_views("log", EDGES + " SELECT activity, count, round(14.0::DOUBLE + 26.0::DOUBLE * count / (SELECT max(count) FROM nodes), 6) AS size, activity || chr(10) || '(' || count || ')' AS label FROM nodes"),
+    "dfg_plot_edges": with_views("log", EDGES + """, few AS (SELECT activity FROM nodes ORDER BY count DESC, activity LIMIT 3)
+        SELECT source, target, count, CAST(count AS VARCHAR) AS label FROM edges WHERE source IN (FROM few) AND target IN (FROM few)"""),
     "dfg_edge_performance": with_views("log", EDGES + """, m AS (SELECT source, target, date_diff('microsecond', timestamp, next_at) / 6e7 AS took FROM f WHERE target IS NOT NULL)
         SELECT source, target, count(*) AS count, round(avg(took), 6) AS mean_min, round(quantile_cont(took, 0.5), 6) AS median_min, round(quantile_cont(took, 0.9), 6) AS p90_min FROM m GROUP BY ALL"""),
     "conformance_exact": check_sql("exact"),
