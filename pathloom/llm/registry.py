@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathloom.llm import decontaminate, licenses, line_dups, mixing, near_dups, quality_rules, repeats, sharding, token_planes, toxicity
+from pathloom.llm import decontaminate, filter_audit, licenses, line_dups, mixing, near_dups, quality_rules, repeats, sharding, token_planes, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         toxicity.op8_kneser_ney_toxicity,
         line_dups.op9_fuzzy_lines,
         sharding.op10_rendezvous_shards,
+        filter_audit.op11_filter_audit,
     )
 }
 
@@ -26,4 +27,5 @@ ORACLES = {
     "op5_repeated_passages": repeats.OP5_SQL,
     "op6_pfair_mix": mixing.OP6_SQL,
     "op10_rendezvous_shards": sharding.OP10_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
 }
