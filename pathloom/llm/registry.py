@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathloom.llm import decontaminate, filter_audit, licenses, line_dups, mixing, near_dups, quality_rules, repeats, sharding, token_planes, toxicity
+from pathloom.llm import decontaminate, filter_audit, licenses, line_dups, mixing, near_dups, prefix_trie, quality_rules, repeats, sharding, token_planes, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,8 @@ QUERIES = {
         line_dups.op9_fuzzy_lines,
         sharding.op10_rendezvous_shards,
         filter_audit.op11_filter_audit,
+        warc.op12_arc_to_warc,
+        prefix_trie.op13_prefix_trie,
     )
 }
 
@@ -28,4 +30,6 @@ ORACLES = {
     "op6_pfair_mix": mixing.OP6_SQL,
     "op10_rendezvous_shards": sharding.OP10_SQL,
     "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_arc_to_warc": warc.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
