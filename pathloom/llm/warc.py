@@ -18,7 +18,7 @@ ends a gzip member of less than 16 MiB, which the row leaves out.
 Digests are grouped before records are joined with what they revisit; payloads
 that over a thousandth of all records share are broadcast, so no group of
 copies meets in one task.  Payloads themselves aren't shuffled, only archives
-and the list of a file's revisits.
+and the list of a file's revisits; where those are few, nothing is.
 
 Defined cases: a null text is an empty payload; a null URL is ``unknown:``, and
 white space and control characters of a URL are percent-encoded; a null id
@@ -51,6 +51,8 @@ from pathloom.llm.spark_tools import HOT, join_hot, materialize, shared_dir
 
 #: Bytes of records after which a volume is full.
 VOLUME_BYTES = 16 << 20
+#: Revisits whose lists are broadcast (some 50 MB).
+BROADCAST_REVISITS = 200_000
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 1000
 
@@ -202,7 +204,7 @@ def arc_records(stream: BinaryIO) -> Iterator[dict]:
             parts = line.split()  # version 2 has fields in between
             parts = [x.decode("utf-8", "replace") for x in (*parts[:4], parts[-1])]
             fields = [f.lower() for f in FIELDS[1].split()]
-        if len(parts) != len(fields) or not re.fullmatch(r"\d{1,18}", parts[-1]) or ":" not in parts[0]:
+        if len(parts) != len(fields) or not parts[0] or not re.fullmatch(r"\d+", parts[2]) or not re.fullmatch(r"\d{1,18}", parts[-1]):
             continue
         got = dict(zip(fields, parts, strict=True))
         length = int(got["archive-length"])
@@ -291,7 +293,10 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEA
     """Each ARC file in a folder as a WARC file in another one."""
     records = materialize(read_arc(spark, arc_path), "arc-records")
     fields = [c for c in ("number", "refers_to_id", "refers_to_url", "refers_to_date")]
-    lists = revisits(records, least).groupBy("file").agg(F.collect_list(F.struct(*fields)).alias("revisits"))  # of one file
+    again = materialize(revisits(records, least), "arc-revisits")
+    lists = again.groupBy("file").agg(F.collect_list(F.struct(*fields)).alias("revisits"))  # of one file
+    # Few enough are broadcast, so that archives aren't shuffled; with more, archives meet their lists in a shuffle.
+    lists = F.broadcast(lists) if again.count() <= BROADCAST_REVISITS else lists
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
