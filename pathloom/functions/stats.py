@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pathloom.functions.portable import hash32
+from pathloom.functions import resampling
+from pathloom.functions.ranks import quantiles, running
 
 Z95 = 1.959963984540054
 
@@ -20,30 +20,11 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     return F.when(low.isNotNull(), F.greatest(low, F.lit(0.0))), F.when(high.isNotNull(), F.least(high, F.lit(1.0)))
 
 
-#: Statistics that can be resampled.
-STATISTICS = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5), "p90": lambda c: F.percentile(c, 0.9)}
-
-
 def bootstrap_ci(values: DataFrame, column: str, order: list[str], statistic: str = "mean", n_boot: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """One row: estimate, ci_low, ci_high by the percentile bootstrap.
-
-    Draw b of position i is value number hash(seed, b, i) mod n, so that the
-    work is one join of n_boot * n drawn positions with n numbered values,
-    spread over draws; ``order`` numbers the values."""
-    if statistic not in STATISTICS:
-        raise ValueError(f"statistic is one of {sorted(STATISTICS)}")
-    stat = STATISTICS[statistic]
-    known = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("value"), *order)
-    numbered = known.select("value", (F.row_number().over(W.orderBy(*order)) - 1).cast("long").alias("i"))
-    size = numbered.agg(F.count(F.lit(1)).alias("n"))
-    positions = numbered.select(F.col("i").alias("position")).crossJoin(F.broadcast(size))
-    drawn = positions.select("n", "position", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).select(
-        "b", (hash32(F.lit(seed), F.col("b"), F.col("position")) % F.col("n")).alias("i")
-    )
-    each = drawn.join(numbered, "i").groupBy("b").agg(stat("value").alias("s"))
-    bounds = each.agg(F.percentile("s", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
-    estimate = numbered.agg(stat("value").alias("estimate"))
-    return estimate.crossJoin(F.broadcast(bounds)).select("estimate", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
+    """One row: estimate, ci_low, ci_high of one statistic; ``order`` names
+    columns that tell the values' rows apart."""
+    found = resampling.bootstrap_cis(values, column, order, [statistic], n_boot, alpha, seed)
+    return found.toDF("estimate", "ci_low", "ci_high")
 
 
 def binary_metrics(df: DataFrame, truth: str = "y_true", predicted: str = "y_pred") -> DataFrame:
@@ -69,19 +50,26 @@ def _by_score(df: DataFrame, truth: str, score: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, truth: str = "y_true", score: str = "y_score") -> DataFrame:
     """The chance that a positive scores higher than a negative; ties count half."""
-    levels = _by_score(df, truth, score)
-    below = F.coalesce(F.sum("neg").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    wins = levels.select("pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("wins"))
-    return wins.agg((F.sum("wins") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("roc_auc"))
+    levels = running(_by_score(df, truth, score), "score", {"below": "neg"}, inclusive=False)
+    wins = F.col("pos") * (F.col("below") + F.col("neg") / 2)
+    return levels.agg((F.sum(wins) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, truth: str = "y_true", score: str = "y_score") -> DataFrame:
     """Precision at each distinct score, weighted by the recall gained there."""
-    levels = _by_score(df, truth, score)
-    down = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    tp, seen = F.sum("pos").over(down), F.sum(F.col("pos") + F.col("neg")).over(down)
-    steps = levels.select("pos", (F.col("pos") * tp / seen).alias("gain"))
-    return steps.agg((F.sum("gain") / F.nullif(F.sum("pos"), F.lit(0.0))).alias("avg_precision"))
+    levels = _by_score(df, truth, score).withColumn("both", F.col("pos") + F.col("neg"))
+    above = running(levels, "score", {"tp": "pos", "seen": "both"}, descending=True)
+    gain = F.col("pos") * F.col("tp") / F.col("seen")
+    return above.agg((F.sum(gain) / F.nullif(F.sum("pos"), F.lit(0.0))).alias("avg_precision"))
+
+
+def curves(df: DataFrame, truth: str = "y_true", score: str = "y_score") -> DataFrame:
+    """score, fpr, tpr, precision at each distinct score as the threshold."""
+    levels = running(_by_score(df, truth, score), "score", {"tp": "pos", "fp": "neg"}, descending=True)
+    totals = levels.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    both = levels.crossJoin(F.broadcast(totals))
+    over = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0.0))
+    return both.select("score", over("fp", "n").alias("fpr"), over("tp", "p").alias("tpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
 def regression_metrics(df: DataFrame, truth: str = "y_true", predicted: str = "y_pred") -> DataFrame:
@@ -94,17 +82,18 @@ def regression_metrics(df: DataFrame, truth: str = "y_true", predicted: str = "y
 
 
 def ecdf(df: DataFrame, column: str, by: str) -> DataFrame:
-    """Share of a group's rows up to each value, by distinct value."""
-    counts = df.groupBy(by, column).agg(F.count(F.lit(1)).alias("n"))
-    up = W.partitionBy(by).orderBy(column).rowsBetween(W.unboundedPreceding, W.currentRow)
-    total = F.sum("n").over(W.partitionBy(by))
-    return counts.select(by, column, (F.sum("n").over(up) / total).alias("share"))
+    """Share of a group's rows up to each value, by distinct value; nulls have
+    no place."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(by, column).agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(F.col(by).alias("by_")).agg(F.sum("n").alias("of_"))
+    upto = running(counts, column, {"upto_": "n"}, by=[by]).join(totals, F.col(by).eqNullSafe(F.col("by_")))
+    return upto.select(by, column, (F.col("upto_") / F.col("of_")).alias("share"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50, top_quantile: float = 0.99) -> DataFrame:
     """bin (from 0), n: equal widths from the least value to a quantile; values
     beyond it aren't shown."""
-    ends = df.agg(F.min(column).alias("lo"), F.percentile(column, top_quantile).alias("hi"))
+    ends = quantiles(df, column, {"hi": top_quantile}, also=[F.min(column).cast("double").alias("lo")])
     both = df.crossJoin(F.broadcast(ends)).where(F.col(column) <= F.col("hi"))
     at = F.floor((F.col(column) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)
     return both.select(F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)).cast("long").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))

@@ -8,9 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.functions.ranks import quantile, quantiles
 from pathloom.operators.conformance import MODES
 from pathloom.schema import LOG, LogSchema, minutes, require_columns
 from pathloom.sources.logs import ignore_activities
+from pathloom.sources.tables import written
 
 #: Tokens around a case and for rare activities; events of a preview.
 START, END, UNKNOWN = "__START__", "__END__", "__UNK__"
@@ -84,35 +86,29 @@ def case_stats(log: DataFrame, s: LogSchema = LOG) -> DataFrame:
     return out.withColumn("case_total_minutes", minutes("start_time", "end_time")).withColumn("trace_preview", shown)
 
 
-def robust_z(df: DataFrame, column: str, out: str = "z") -> DataFrame:
-    """0.6745 (x - median) / MAD; all 0 where the MAD is."""
-    middle = df.agg(F.percentile(column, 0.5).alias("med_"))
-    spread = df.crossJoin(F.broadcast(middle)).agg(F.percentile(F.abs(F.col(column) - F.col("med_")), 0.5).alias("mad_"))
-    both = df.crossJoin(F.broadcast(middle)).crossJoin(F.broadcast(spread))
-    z = F.when(F.col("mad_") == 0, 0.0).otherwise(F.lit(0.6745) * (F.col(column) - F.col("med_")) / F.col("mad_"))
-    return both.withColumn(out, z).drop("med_", "mad_")
+def _z(value: Column, middle: Column, spread: Column) -> Column:
+    return F.when(spread == 0, 0.0).otherwise(F.lit(0.6745) * (value - middle) / spread)
 
 
-def at_least_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
-    """``threshold_``: the quantile of a column, on each row."""
-    return df.crossJoin(F.broadcast(df.agg(F.percentile(column, q).alias("threshold_"))))
+def robust_z(df: DataFrame, column: str, out: str = "z") -> DataFrame:
+    """0.6745 (x - median) / MAD; all 0 where the MAD is."""
+    middle = df.crossJoin(F.broadcast(quantile(df, column, 0.5, "med_")))
+    away = middle.select(F.abs(F.col(column) - F.col("med_")).alias("away_"))
+    both = middle.crossJoin(F.broadcast(quantile(away, "away_", 0.5, "mad_")))
+    return both.withColumn(out, _z(F.col(column), F.col("med_"), F.col("mad_"))).drop("med_", "mad_")
 
 
-def wait_scores(stats: DataFrame, cfg: AnomalyConfig, intervals: DataFrame | None = None, s: LogSchema = LOG) -> DataFrame:
-    """``stats`` with wait_value, wait_score and wait_flag; the dwell metric is
-    a case's longest interval, 0 without one."""
+def wait_values(stats: DataFrame, cfg: AnomalyConfig, intervals: DataFrame | None = None, s: LogSchema = LOG) -> DataFrame:
+    """``stats`` with wait_value: a case's minutes, or its longest interval (0
+    without one)."""
     if cfg.wait_metric == "case_total_minutes":
-        rows = stats.withColumn("wait_value", F.col("case_total_minutes"))
-    elif cfg.wait_metric == "activity_dwell_minutes_p95":
-        if intervals is None:
-            raise ValueError("the dwell metric needs state intervals")
-        most = intervals.groupBy(F.col("case_id").alias(s.case)).agg(F.max("duration_minutes").alias("wait_value"))
-        rows = stats.join(most, s.case, "left").withColumn("wait_value", F.coalesce("wait_value", F.lit(0.0)))
-    else:
+        return stats.withColumn("wait_value", F.col("case_total_minutes"))
+    if cfg.wait_metric != "activity_dwell_minutes_p95":
         raise ValueError(f"unknown wait_metric {cfg.wait_metric!r}")
-    scored = at_least_quantile(robust_z(rows, "wait_value", "wait_score"), "wait_value", cfg.wait_quantile)
-    flag = (F.col("wait_value") >= F.col("threshold_")) | (F.col("wait_score") >= cfg.wait_z)
-    return scored.withColumn("wait_flag", flag).drop("threshold_")
+    if intervals is None:
+        raise ValueError("the dwell metric needs state intervals")
+    most = intervals.groupBy(F.col("case_id").alias(s.case)).agg(F.max("duration_minutes").alias("wait_value"))
+    return stats.join(most, s.case, "left").withColumn("wait_value", F.coalesce("wait_value", F.lit(0.0)))
 
 
 def vocabulary(log: DataFrame, k: int, s: LogSchema = LOG) -> list[str]:
@@ -181,26 +177,44 @@ def protocol_deviation(trace: Column, protocol: list[str], mode: str) -> Column:
     return missing * 2.0 + extra * 0.5
 
 
-def sequence_scores(log: DataFrame, stats: DataFrame, cfg: AnomalyConfig, s: LogSchema = LOG) -> DataFrame:
-    """``stats`` with seq_score and seq_flag; a flag is given at the quantile
-    itself, so at least one case has one."""
+def sequence_values(log: DataFrame, stats: DataFrame, cfg: AnomalyConfig, s: LogSchema = LOG) -> DataFrame:
+    """``stats`` with seq_score."""
     if cfg.sequence_method == "bigram_nll":
-        rows = stats.join(bigram_nll(log, cfg, s), s.case, "left")
-    elif cfg.sequence_method == "protocol_deviation":
-        protocol = parse_protocol(cfg.protocol)
-        if not protocol:
-            raise ValueError("the protocol has no steps")
-        rows = stats.withColumn("seq_score", protocol_deviation(F.col("trace"), protocol, cfg.protocol_mode))
-    else:
+        return stats.join(bigram_nll(log, cfg, s), s.case, "left")
+    if cfg.sequence_method != "protocol_deviation":
         raise ValueError(f"unknown sequence_method {cfg.sequence_method!r}")
-    cutoff = at_least_quantile(rows, "seq_score", cfg.sequence_quantile)
-    return cutoff.withColumn("seq_flag", F.col("seq_score") >= F.col("threshold_")).drop("threshold_")
+    protocol = parse_protocol(cfg.protocol)
+    if not protocol:
+        raise ValueError("the protocol has no steps")
+    return stats.withColumn("seq_score", protocol_deviation(F.col("trace"), protocol, cfg.protocol_mode))
+
+
+def thresholds(cases: DataFrame, cfg: AnomalyConfig) -> dict[str, float | None]:
+    """The median and MAD of wait_value, its quantile and that of seq_score:
+    two selections over a table, of both columns and of the distances from the median."""
+    both = F.array(*[F.struct(F.lit(c).alias("score"), F.col(c).cast("double").alias("value")) for c in ("wait_value", "seq_score")])
+    wanted = {"median": 0.5, "wait": cfg.wait_quantile, "sequence": cfg.sequence_quantile}
+    found = {r["score"]: r for r in quantiles(cases.select(F.inline(both)), "value", wanted, ["score"], few=True).collect()}
+    if not found:
+        return dict.fromkeys(("median", "mad", "wait", "sequence"))
+    wait, sequence = found["wait_value"], found["seq_score"]
+    away = cases.select(F.abs(F.col("wait_value") - F.lit(wait["median"])).alias("away"))
+    mad = quantile(away, "away", 0.5, "mad").first()["mad"]
+    return {"median": wait["median"], "mad": mad, "wait": wait["wait"], "sequence": sequence["sequence"]}
 
 
 def detect(log: DataFrame, cfg: AnomalyConfig = AnomalyConfig(), intervals: DataFrame | None = None, s: LogSchema = LOG) -> DataFrame:
-    """One row a case: statistics, scores, flags and reasons."""
+    """One row a case: statistics, scores, flags and reasons.  A flag is given at
+    a quantile itself, so at least one case has one.
+
+    Cases with their values are written as a table first; the four numbers that
+    flags need come to the driver from it."""
     rows = prepare(log, cfg, s)
-    scored = sequence_scores(rows, wait_scores(case_stats(rows, s), cfg, intervals, s), cfg, s)
+    cases = written(sequence_values(rows, wait_values(case_stats(rows, s), cfg, intervals, s), cfg, s), "anomaly-cases")
+    limit = {k: F.lit(v).cast("double") for k, v in thresholds(cases, cfg).items()}
+    wait, sequence = F.col("wait_value"), F.col("seq_score")
+    scored = cases.withColumn("wait_score", _z(wait, limit["median"], limit["mad"]))
+    scored = scored.withColumn("wait_flag", (wait >= limit["wait"]) | (F.col("wait_score") >= cfg.wait_z)).withColumn("seq_flag", sequence >= limit["sequence"])
     flags = {"long_wait": "wait_flag", "unusual_sequence": "seq_flag"}
     reasons = F.concat_ws(",", *[F.when(F.col(f), F.lit(n)) for n, f in flags.items()])
     return scored.withColumns({

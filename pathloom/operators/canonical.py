@@ -147,7 +147,8 @@ def canonicalize(log: DataFrame, cfg: CanonicalConfig, s: LogSchema = LOG) -> Da
 
 
 def report(log: DataFrame, cfg: CanonicalConfig, s: LogSchema = LOG) -> DataFrame:
-    """One row of counts, in one pass over the tagged rows."""
+    """One row of counts, in one pass over the tagged rows, and the settings for
+    unstable columns."""
     rows = tag(log, cfg, s)
     why = F.col("drop_reason")
     n = lambda test: F.count_if(test)
@@ -166,7 +167,12 @@ def report(log: DataFrame, cfg: CanonicalConfig, s: LogSchema = LOG) -> DataFram
         F.count_distinct(F.when(F.col("pushed"), F.col(s.case))).alias("terminal_reordered_cases"),
         n(F.col("repaired") & ~F.col("flagged")).alias("monotonic_repairs_applied"),
         F.count_distinct(F.when(F.col("flagged"), F.col(s.case))).alias("backward_cases_flagged"),
-    ).withColumn("dropped_cases", F.col("n_cases_in") - F.col("n_cases_out"))
+    ).withColumns({
+        "dropped_cases": F.col("n_cases_in") - F.col("n_cases_out"),
+        "unstable_columns_used": F.lit(",".join(c for c in cfg.unstable_columns if c in log.columns)),
+        "unstable_missing_mode": F.lit(cfg.unstable_missing_mode),
+        "unstable_case_missing_threshold": F.lit(float(cfg.unstable_case_missing_threshold)),
+    })
 
 
 def dropped_by_step(log: DataFrame, cfg: CanonicalConfig, s: LogSchema = LOG) -> DataFrame:

@@ -163,7 +163,9 @@ def check(found: DataFrame, protocol: str | list[str], cfg: ConformanceConfig =
 
 
 def summary(per_case: DataFrame) -> DataFrame:
-    return per_case.groupBy("mode", "conforms", "deviation_type").agg(F.count(F.lit(1)).alias("n_cases"))
+    """Cases of each kind: by mode, conforming ones first, most first."""
+    counts = per_case.groupBy("mode", "conforms", "deviation_type").agg(F.count(F.lit(1)).alias("n_cases"))
+    return counts.orderBy("mode", F.desc("conforms"), F.desc("n_cases"), "deviation_type")
 
 
 def kpis(per_case: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.functions.ranks import quantiles
 from pathloom.schema import LOG, LogSchema, minutes, require_columns
 
 
@@ -37,9 +38,8 @@ def edge_performance(log: DataFrame, s: LogSchema = LOG) -> DataFrame:
     """Minutes from one activity to the next, by edge."""
     took = minutes("at", "next_at")
     pairs = _followed(log, s).where("source is not null and target is not null").withColumn("took", took)
-    q = F.percentile("took", F.array(F.lit(0.5), F.lit(0.9)))
-    out = pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("count"), F.avg("took").alias("mean_min"), q.alias("q"))
-    return out.select("source", "target", "count", "mean_min", F.col("q")[0].alias("median_min"), F.col("q")[1].alias("p90_min"))
+    also = [F.count(F.lit(1)).alias("count"), F.avg("took").alias("mean_min")]
+    return quantiles(pairs, "took", {"median_min": 0.5, "p90_min": 0.9}, ["source", "target"], also)
 
 
 def top_edges(edges: DataFrame, k: int) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.functions import stats
+from pathloom.functions import resampling, stats
+from pathloom.functions.ranks import quantile
 from pathloom.operators.anomaly import cut, vocabulary
 from pathloom.schema import LOG, LogSchema, minutes
 
@@ -174,9 +175,7 @@ def target_summary(values: DataFrame, name: str, task: str, column: str = "y", o
         low, high = stats.wilson(F.col("hits"), F.col("n_cases"))
         out = out.withColumns({"rate": F.col("hits") / F.nullif(F.col("n_cases"), F.lit(0)), "rate_ci_low": low, "rate_ci_high": high})
     elif task == "regression":
-        for x in ("mean", "median", "p90"):
-            ci = stats.bootstrap_ci(known, column, order or [column], x, n_boot)
-            out = out.crossJoin(F.broadcast(ci.toDF(x, f"{x}_ci_low", f"{x}_ci_high")))
+        out = out.crossJoin(F.broadcast(resampling.bootstrap_cis(known, column, order or [column], n_boot=n_boot)))
     else:
         raise ValueError(f"unknown task {task!r}")
     return out.select("target", "n_cases", *[F.col(c) if c in out.columns else F.lit(None).cast("double").alias(c) for c in names])
@@ -185,8 +184,8 @@ def target_summary(values: DataFrame, name: str, task: str, column: str = "y", o
 def historical_baselines(log: DataFrame, disposition: str, event: str, cutoff_type: str, cutoff_value: int, s: LogSchema = LOG) -> DataFrame:
     """One row: admission_rate, lwbs_rate, median_minutes to the event."""
     rates = [keyword_target(log, disposition, words, s).agg(F.avg("y").alias(n)) for n, words in (("admission_rate", ADMISSION), ("lwbs_rate", LWBS))]
-    waits = time_to_event_target(log, event, cutoff_type, cutoff_value, s=s).agg(F.percentile("y", 0.5).alias("median_minutes"))
-    return rates[0].crossJoin(rates[1]).crossJoin(waits)
+    waits = time_to_event_target(log, event, cutoff_type, cutoff_value, s=s)
+    return rates[0].crossJoin(rates[1]).crossJoin(quantile(waits, "y", 0.5, "median_minutes"))
 
 
 def profile_row(spark: SparkSession, columns: list[str], values: dict[str, float]) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import sqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -14,8 +17,9 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions import stats
-from pathloom.functions.portable import hash32
+from pathloom.functions import resampling, stats
+from pathloom.functions.ranks import quantiles
+from pathloom.sources.tables import written
 
 
 @dataclass(frozen=True)
@@ -26,17 +30,29 @@ class Trained:
     model_type: str
 
 
-def _weighted(df: DataFrame) -> DataFrame:
-    """Weights n / (2 n_class), so that both classes weigh the same."""
-    n = df.groupBy("y").count()
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    share = n.crossJoin(F.broadcast(total)).select("y", (F.col("total") / (2 * F.col("count"))).alias("weight_"))
-    return df.join(F.broadcast(share), "y")
+#: Levels of a tree at most: what Spark's forests allow.  Trees end where nodes are pure or small, as a rule far above.
+DEPTH = 30
 
 
-def train(df: DataFrame, columns: list[str], task: str = "binary", model_type: str = "logreg", seed: int = 42, trees: int | None = None) -> Trained:
+def _weighted(df: DataFrame, weight: str | None) -> DataFrame:
+    """Weights n / (2 n_class), so that both classes weigh the same, times the
+    rows' own ones."""
+    own = F.col(weight) if weight else F.lit(1.0)
+    sums = {r["y"]: r["w"] for r in df.where("y in (0, 1)").groupBy("y").agg(F.sum(own).alias("w")).collect()}  # two rows
+    total = sum(sums.values())
+    share = F.lit(0.0)
+    for y, w in sums.items():
+        share = F.when(F.col("y") == y, F.lit(total / (2 * w))).otherwise(share)
+    return df.withColumn("weight_", share * own)
+
+
+def train(
+    df: DataFrame, columns: list[str], task: str = "binary", model_type: str = "logreg", seed: int = 42, trees: int | None = None,
+    weight: str | None = None, depth: int = DEPTH,
+) -> Trained:
     """binary: logistic regression (L2, C = 1, scaled without centring) or a
-    balanced forest; regression: ridge (alpha = 1) or a forest."""
+    balanced forest; regression: ridge (alpha = 1) or a forest.  ``weight`` names
+    a column of rows' weights, for forests."""
     rows = df.withColumn("y", F.col("y").cast("double")).fillna(0.0, subset=list(columns))
     steps = [VectorAssembler(inputCols=list(columns), outputCol="raw_"), StandardScaler(inputCol="raw_", outputCol="features", withMean=False)]
     shape = rows.agg(F.count(F.lit(1)), F.stddev_pop("y")).first()
@@ -44,13 +60,14 @@ def train(df: DataFrame, columns: list[str], task: str = "binary", model_type: s
     if task == "binary" and model_type == "logreg":
         model = LogisticRegression(labelCol="y", maxIter=2000, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False)
     elif task == "binary" and model_type == "rf":
-        rows = _weighted(rows)
-        model = RandomForestClassifier(labelCol="y", numTrees=trees or 300, maxDepth=12, weightCol="weight_", seed=seed)
+        rows = _weighted(rows, weight)
+        model = RandomForestClassifier(labelCol="y", numTrees=trees or 300, maxDepth=depth, weightCol="weight_", seed=seed, maxMemoryInMB=512)
     elif task == "regression" and model_type == "logreg":
         penalty = max(spread, 1e-12) / max(n, 1)
         model = LinearRegression(labelCol="y", regParam=penalty, elasticNetParam=0.0, standardization=False, solver="normal")
     elif task == "regression" and model_type == "rf":
-        model = RandomForestRegressor(labelCol="y", numTrees=trees or 500, maxDepth=12, featureSubsetStrategy="all", seed=seed)
+        model = RandomForestRegressor(labelCol="y", numTrees=trees or 500, maxDepth=depth, featureSubsetStrategy="all", seed=seed, maxMemoryInMB=512)
+        model = model.setWeightCol(weight) if weight else model
     else:
         raise ValueError(f"unknown task or model: {task!r}, {model_type!r}")
     return Trained(Pipeline(stages=[*steps, model]).fit(rows), tuple(columns), task, model_type)
@@ -68,16 +85,25 @@ def predict(trained: Trained, df: DataFrame) -> DataFrame:
     return named.drop("raw_", "features", "rawPrediction", "probability", "prediction")
 
 
-def split(df: DataFrame, key: str, share: float = 0.25, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and test: a row is for the test if its key's hash is among the least
-    quarter, so about a quarter of each class is."""
-    test = hash32(F.lit(seed), F.col(key)) < F.lit(int(share * 2**32))
-    return df.where(~test), df.where(test)
+def split(df: DataFrame, key: str, share: float = 0.25, seed: int = 42, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Train and test: of all rows, or of each value of ``by``, those whose key's
+    hash is at most the hashes' quantile ``share`` are for the test, which is
+    that share to within a row.  A value of one row alone is for training."""
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 13)
+    rows = df.withColumn("hash_", F.conv(digits, 16, 10).cast("double"))  # 52 bits
+    limits = quantiles(rows, "hash_", {"limit_": share}, [by] if by else [], [F.count(F.lit(1)).alias("of_")])
+    if by:
+        limits = limits.withColumnRenamed(by, "by_")
+        rows = rows.join(limits, F.col(by).eqNullSafe(F.col("by_"))).drop("by_")
+    else:
+        rows = rows.crossJoin(F.broadcast(limits))
+    test = (F.col("hash_") <= F.col("limit_")) & (F.col("of_") > 1)
+    return rows.where(~test).select(*df.columns), rows.where(test).select(*df.columns)
 
 
 def evaluate(df: DataFrame, columns: list[str], key: str, task: str = "binary", model_type: str = "logreg", trees: int | None = None) -> DataFrame:
-    """Metrics of a model fitted on three quarters, on the rest."""
-    fit_on, test = split(df, key)
+    """Metrics of a model fitted on three quarters (of each class), on the rest."""
+    fit_on, test = split(df, key, by="y" if task == "binary" else None)
     got = predict(train(fit_on, columns, task, model_type, trees=trees), test).withColumnRenamed("y", "y_true")
     if task == "regression":
         return stats.regression_metrics(got)
@@ -93,51 +119,86 @@ def performance_table(df: DataFrame, columns: list[str], key: str, task: str = "
     return out.select("model_type", *[c for c in out.columns if c != "model_type"])
 
 
-def bootstrap_refit(df: DataFrame, columns: list[str], key: str, profile: dict[str, float], n_boot: int = 50, seed: int = 42, least: int = 50) -> DataFrame:
-    """Prediction of one profile by ridge models (scaled without centring, as in
-    train) refitted on resampled cases: estimate (of all cases), ci_low, ci_high.
-
-    Draw -1 has each case once; each other draw gives each case a Poisson(1) weight from a hash; a draw's normal
-    equations are sums over cases (one aggregation), solved in one small task a
-    draw."""
-    import numpy as np
-    import pandas as pd
-
-    n = df.count()
-    if n < least:
-        raise ValueError(f"a refit bootstrap needs {least} cases; there are {n}")
+def _newton(rows: DataFrame, betas: np.ndarray, logistic: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients (draws x k) and Hessians (draws x k x k) of the weighted losses
+    of all draws at their betas.  Each task adds up its rows in batches and sends
+    one number for each draw and entry; they are added by Spark."""
+    draws, k = betas.shape
+    upper = np.triu_indices(k)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g, h = np.zeros((draws, k)), np.zeros((draws, len(upper[0])))
+        for batch in batches:
+            x, t = np.stack(batch["x"].to_numpy()), batch["t"].to_numpy(float)
+            w = np.stack(batch["w"].to_numpy()).astype(float).T  # draws x rows
+            at = betas @ x.T
+            p = 1 / (1 + np.exp(-np.clip(at, -700, 700))) if logistic else at
+            g += (w * (p - t)) @ x
+            h += (w * (p * (1 - p) if logistic else 1.0)) @ (x[:, upper[0]] * x[:, upper[1]])
+        both = np.hstack([g, h])
+        yield pd.DataFrame({"b": np.repeat(np.arange(draws), both.shape[1]), "i": np.tile(np.arange(both.shape[1]), draws), "v": both.ravel()})
+
+    sums = rows.mapInPandas(add, "b int, i int, v double").groupBy("b", "i").agg(F.sum("v").alias("v")).toPandas()  # draws x k * (k + 3) / 2
+    both = np.zeros((draws, k + len(upper[0])))
+    both[sums["b"], sums["i"]] = sums["v"]
+    hessian = np.zeros((draws, k, k))
+    hessian[:, upper[0], upper[1]] = hessian[:, upper[1], upper[0]] = both[:, k:]
+    return both[:, :k], hessian
+
+
+def _refit_linear(rows: DataFrame, k: int, draws: int, logistic: bool, steps: int = 30) -> np.ndarray:
+    """Coefficients of all draws: penalised least squares or logistic losses
+    (L2, C = 1, the intercept free), by Newton's method; a pass over the rows a step."""
+    betas, penalty = np.zeros((draws, k)), np.diag([1e-9] + [1.0] * (k - 1))
+    for _ in range(steps if logistic else 1):
+        g, h = _newton(rows, betas, logistic)
+        move = np.linalg.solve(h + penalty, (g + betas @ penalty)[:, :, None])[:, :, 0]
+        betas = betas - move * np.minimum(1.0, 5.0 / np.maximum(np.abs(move).max(axis=1, keepdims=True), 1e-300))
+        if np.abs(move).max() < 1e-8:
+            break
+    return betas
+
+
+def bootstrap_refit(
+    df: DataFrame, columns: list[str], key: str, profile: dict[str, float], n_boot: int = 50, seed: int = 42, least: int = 50,
+    task: str = "regression", model_type: str = "logreg", alpha: float = 0.05, trees: int | None = None,
+) -> DataFrame:
+    """Prediction of one profile (a number, or the probability of 1) by models
+    refitted on resampled cases: estimate (of all cases), ci_low, ci_high.
+
+    A draw gives each case a Poisson(1) weight from a hash of its key.  Ridge
+    and logistic models (scaled without centring, as in train) of all draws are
+    fitted together: a pass over the cases a Newton step, and n_boot times
+    features squared numbers to the driver.  Forests are fitted one after the
+    other, with the weights as cases' weights."""
+    if (task, model_type) not in {(t, m) for t in ("binary", "regression") for m in ("logreg", "rf")}:
+        raise ValueError(f"unknown task or model: {task!r}, {model_type!r}")
     plain = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns]
-    spread = df.agg(*[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(plain)]).first()
-    scale = [float(d) if d else 1.0 for d in spread]
-    x = [F.lit(1.0), *[c / d for c, d in zip(plain, scale, strict=True)]]
-    k = len(x)
-    rows = df.select(F.col(key).alias("key_"), F.array(*x).alias("x"), F.col("y").cast("double").alias("t"))
-    drawn = rows.select("*", F.explode(F.sequence(F.lit(-1), F.lit(n_boot - 1))).alias("b"))
-    u = (hash32(F.lit(seed), F.col("b"), F.col("key_")).cast("double") + 0.5) / F.lit(4294967296.0)
-    below, weight, term = 0.0, F.lit(0.0), 1.0
-    for count in range(8):
-        term = term / count if count else 0.36787944117144233
-        below += term
-        weight = weight + (u > below).cast("double")
-    weight = F.when(F.col("b") < 0, 1.0).otherwise(weight)
-    sums = [F.sum(F.col("w") * F.col("x")[i] * F.col("x")[j]).alias(f"a_{i}_{j}") for i in range(k) for j in range(i, k)]
-    sums += [F.sum(F.col("w") * F.col("x")[i] * F.col("t")).alias(f"b_{i}") for i in range(k)]
-    moments = drawn.withColumn("w", weight).groupBy("b").agg(*sums)
-    asked = np.array([1.0, *[float(profile.get(c, 0.0)) / d for c, d in zip(columns, scale, strict=True)]])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-        a = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                a[i, j] = a[j, i] = row[f"a_{i}_{j}"]
-        beta = np.linalg.solve(a + np.diag([1e-9] + [1.0] * (k - 1)), np.array([row[f"b_{i}"] for i in range(k)]))
-        return pd.DataFrame({"b": [int(row["b"])], "p": [float(asked @ beta)]})
-
-    each = moments.groupBy("b").applyInPandas(solve, "b int, p double")
-    q = F.percentile(F.when(F.col("b") >= 0, F.col("p")), F.array(F.lit(0.025), F.lit(0.975)))
-    out = each.agg(F.max(F.when(F.col("b") < 0, F.col("p"))).alias("estimate"), q.alias("q"))
-    return out.select("estimate", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
+    shape = df.agg(F.count(F.lit(1)), *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(plain)]).first()
+    if shape[0] < least:
+        raise ValueError(f"a refit bootstrap needs {least} cases; there are {shape[0]}")
+    groups = range((n_boot + 3) // 4)
+    drawn = F.slice(F.array(*[w for g in groups for w in resampling.weights(seed, F.col(key), F.lit(g))]), 1, n_boot)
+    if model_type == "rf":
+        got = [predict(train(df, columns, task, "rf", seed, trees), _profile(df, columns, profile)).first()]
+        for b in range(n_boot):
+            weighed = df.withColumn("draw_", resampling.weights(seed, F.col(key), F.lit(b // 4))[b % 4].cast("double")).where("draw_ > 0")
+            got.append(predict(train(weighed, columns, task, "rf", seed + b + 1, trees, weight="draw_"), _profile(df, columns, profile)).first())
+        values = np.array([r["y_score"] if task == "binary" else r["y_pred"] for r in got])
+    else:
+        scale = np.array([1.0, *[float(d) if d else 1.0 for d in shape[1:]]])
+        x = F.array(F.lit(1.0), *[c / d for c, d in zip(plain, map(float, scale[1:]), strict=True)])
+        every = F.concat(F.array(F.lit(1)), drawn).cast("array<tinyint>")
+        rows = written(df.select(x.alias("x"), F.col("y").cast("double").alias("t"), every.alias("w")), "refit")
+        betas = _refit_linear(rows, len(scale), n_boot + 1, task == "binary")
+        at = betas @ (np.array([1.0, *[float(profile.get(c, 0.0)) for c in columns]]) / scale)
+        values = 1 / (1 + np.exp(-at)) if task == "binary" else at
+    low, high = np.quantile(values[1:], [alpha / 2, 1 - alpha / 2])
+    return df.sparkSession.createDataFrame([(float(values[0]), float(low), float(high))], "estimate double, ci_low double, ci_high double")
+
+
+def _profile(df: DataFrame, columns: list[str], profile: dict[str, float]) -> DataFrame:
+    return df.sparkSession.range(1).select(*[F.lit(float(profile.get(c, 0.0))).alias(c) for c in columns])
 
 
 def coefficients(trained: Trained) -> dict[str, float]:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pathloom.functions.ranks import quantiles
 from pathloom.operators.canonical import CanonicalConfig, canonicalize, report
 from pathloom.schema import LOG, LogSchema, require_columns
 
-#: Steps that the grid may have, as interval text.
-FREQUENCIES = {"5min": "5 minutes", "15min": "15 minutes", "30min": "30 minutes", "1h": "1 hour", "1H": "1 hour"}
+#: Minutes between points of the grid, by name.
+MINUTES = {"5min": 5, "15min": 15, "30min": 30, "1h": 60, "1H": 60}
+#: Names that stand in for each other.
+CASES = ("visit_id", "case_id")
 INTERVAL_COLUMNS = ("case_id", "state", "start_time", "end_time", "covariate_value", "duration_seconds", "duration_minutes", "date")
 
 
@@ -82,47 +85,58 @@ def change_points(intervals: DataFrame) -> DataFrame:
     return _running(_deltas(intervals), "delta")
 
 
+def _points(since: Column, every: int) -> Column:
+    """The number of the first grid point not before a time so many microseconds after the grid's start."""
+    return ((since + F.pmod(-since, F.lit(every))) / every).cast("long")
+
+
 def sampled(intervals: DataFrame, freq: str = "15min", start: str | None = None, end: str | None = None) -> DataFrame:
-    """Queue length of each state on a grid from the first change; as-of."""
-    every = FREQUENCIES[freq]
-    net = _deltas(intervals).groupBy("state", "timestamp").agg(F.sum("delta").alias("net"))
-    levels = _running(net, "net").select("state", "timestamp", "queue_length")
-    span = net.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).where("lo is not null")
+    """Queue length of each state on a grid from the first change (or ``start``)
+    to the last (or ``end``); as-of.
+
+    A level of a state makes the grid points from its time to the next level's,
+    and a state's first level those before it, which are 0, so no point is
+    looked up.  Levels are put in order within days, and days within a state."""
+    minute = MINUTES[freq]
+    changes = _deltas(intervals).withColumn("day_", F.to_date("timestamp")).repartition("state", "day_")
+    net = changes.groupBy("state", "day_", "timestamp").agg(F.sum("delta").alias("net"))
+    within = W.partitionBy("state", "day_").orderBy("timestamp")
+    upto = F.sum("net").over(within.rowsBetween(W.unboundedPreceding, W.currentRow))
+    levels = net.select("state", "day_", "timestamp", upto.alias("so_far"), F.lead("timestamp").over(within).alias("next_"))
+    totals = net.groupBy("state", "day_").agg(F.sum("net").alias("of_day"), F.min("timestamp").alias("first_"), F.max("timestamp").alias("last_"))
+    over_days = W.partitionBy("state").orderBy("day_")
+    base = F.coalesce(F.sum("of_day").over(over_days.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    opens = F.lag("day_").over(over_days).isNull()
+    days = totals.select("state", "day_", base.alias("base"), F.lead("first_").over(over_days).alias("next_day"), F.when(opens, F.col("first_")).alias("opens"))
     at = lambda given, column: F.lit(given).cast("timestamp_ntz") if given else F.col(column)
-    grid = span.select(F.explode(F.sequence(at(start, "lo"), at(end, "hi"), F.expr(f"INTERVAL {every}"))).alias("timestamp"))
-    points = net.select("state").distinct().crossJoin(grid)
-    # Grid points and levels in one order: a point has the last level of its day, or else of the days before.
-    day = F.to_date("timestamp")
-    marked = levels.select("state", "timestamp", "queue_length", F.lit(0).alias("kind")).unionByName(
-        points.select("state", "timestamp", F.lit(None).cast("long").alias("queue_length"), F.lit(1).alias("kind"))
-    )
-    order = W.partitionBy("state", "day_").orderBy("timestamp", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = levels.withColumn("day_", day).groupBy("state", "day_").agg(F.max_by("queue_length", "timestamp").alias("day_last"))
-    days = marked.select("state", day.alias("day_")).distinct().join(last, ["state", "day_"], "left")
-    before = W.partitionBy("state").orderBy("day_").rowsBetween(W.unboundedPreceding, -1)
-    carried = days.select("state", "day_", F.last("day_last", True).over(before).alias("carried"))
-    known = marked.withColumn("day_", day).withColumn("known", F.last("queue_length", True).over(order)).where("kind = 1")
-    level = F.coalesce("known", "carried", F.lit(0)).cast("double")
-    return known.join(carried, ["state", "day_"]).select("state", "timestamp", level.alias("queue_length"))
+    span = totals.agg(F.min("first_").alias("lo"), F.max("last_").alias("hi")).select(at(start, "lo").alias("lo"), at(end, "hi").alias("hi"))
+    known = levels.join(days, ["state", "day_"]).crossJoin(F.broadcast(span))
+    point = lambda c: _points(F.timestamp_diff("MICROSECOND", F.col("lo"), c), minute * 60_000_000)
+    here, following = point(F.col("timestamp")), point(F.coalesce("next_", "next_day"))
+    last = F.floor(F.timestamp_diff("MICROSECOND", F.col("lo"), F.col("hi")) / (minute * 60_000_000))
+    # Grid points a to b with a level; what is outside of the grid is cut off.
+    part = lambda a, b, level: F.struct(F.greatest(a, F.lit(0)).alias("a"), F.least(b, last).alias("b"), level.cast("double").alias("queue_length"))
+    own = part(here, F.coalesce(following - 1, last), F.col("base") + F.col("so_far"))
+    before = F.when(F.col("timestamp") == F.col("opens"), part(F.lit(0).cast("long"), here - 1, F.lit(0)))
+    parts = known.select("state", "lo", F.inline(F.array_compact(F.array(own, before)))).where("a <= b")
+    grid = parts.select("state", "lo", "queue_length", F.explode(F.sequence("a", "b")).alias("i"))
+    return grid.select("state", F.timestamp_add("MINUTE", (F.col("i") * minute).cast("int"), F.col("lo")).alias("timestamp"), "queue_length")
 
 
 def wait_summary(intervals: DataFrame, by: str = "state", duration: str = "duration_minutes") -> DataFrame:
     """Count, mean, exact quantiles and maximum; null groups stay."""
-    q = F.percentile(duration, F.array(*[F.lit(x) for x in (0.5, 0.75, 0.9, 0.95)]))
-    out = intervals.groupBy(by).agg(
-        F.count(duration).alias("n_intervals"), F.avg(duration).alias("mean_min"), q.alias("q"), F.max(duration).alias("max_min")
-    )
-    names = ("median_min", "p75_min", "p90_min", "p95_min")
-    return out.select(by, "n_intervals", "mean_min", *[F.col("q")[i].alias(n) for i, n in enumerate(names)], "max_min")
+    wanted = {"median_min": 0.5, "p75_min": 0.75, "p90_min": 0.9, "p95_min": 0.95}
+    also = [F.count(duration).alias("n_intervals"), F.avg(duration).alias("mean_min"), F.max(duration).alias("max_min")]
+    return quantiles(intervals, duration, wanted, [by], also).select(by, "n_intervals", "mean_min", *wanted, "max_min")
 
 
 def box_stats(intervals: DataFrame, by: str = "state", duration: str = "duration_minutes") -> DataFrame:
     """Five numbers, the spread and the fences of a box plot."""
-    q = F.percentile(duration, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
-    out = intervals.groupBy(by).agg(F.min(duration).alias("min"), q.alias("q"), F.max(duration).alias("max"))
-    out = out.select(by, "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
+    wanted = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    out = quantiles(intervals, duration, wanted, [by], [F.min(duration).alias("min"), F.max(duration).alias("max")])
     iqr: Column = F.col("q3") - F.col("q1")
-    return out.withColumn("iqr", iqr).withColumn("low_fence", F.col("q1") - 1.5 * iqr).withColumn("high_fence", F.col("q3") + 1.5 * iqr)
+    out = out.select(by, "min", *wanted, "max").withColumn("iqr", iqr)
+    return out.withColumn("low_fence", F.col("q1") - 1.5 * iqr).withColumn("high_fence", F.col("q3") + 1.5 * iqr)
 
 
 def run_queue_mining(
@@ -130,14 +144,17 @@ def run_queue_mining(
 ) -> dict[str, DataFrame]:
     """intervals, change_points, sampled (with a freq), summary and, with a
     canonical config, report; terminal states of either config are left out of
-    the summary alone."""
+    the summary alone, which is sorted by mean wait.  A log without the case
+    column that has visit_id or case_id instead goes by that."""
+    if s.case in CASES and s.case not in log.columns:
+        s = replace(s, case=next((c for c in CASES if c in log.columns), s.case))
     rows = canonicalize(log, canonical, s) if canonical is not None else log
     intervals = state_intervals(rows, cfg, s)
     waits = wait_summary(intervals)
     terminal = {*cfg.terminal_states, *(canonical.terminals if canonical is not None else ())}
     if terminal:
         waits = waits.where(~F.col("state").isin(sorted(terminal)))
-    out = {"intervals": intervals, "change_points": change_points(intervals), "summary": waits}
+    out = {"intervals": intervals, "change_points": change_points(intervals), "summary": waits.orderBy(F.desc("mean_min"), "state")}
     if canonical is not None:
         out["report"] = report(log, canonical, s)
     return out | ({"sampled": sampled(intervals, freq)} if freq else {})

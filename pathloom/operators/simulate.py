@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions.portable import uniform
+from pathloom.functions.ranks import quantiles
 from pathloom.operators.features import first_known
 from pathloom.schema import LOG, LogSchema, minutes
 
@@ -92,13 +93,23 @@ def transition_dataset(log: DataFrame, start: str, end: str, covariates: tuple[s
     return out.select(s.case, took.alias("duration_min"), F.col("t1").isNotNull().cast("int").alias("observed"), *covariates)
 
 
+def _sums(grid: Grid) -> Column:
+    """d, sum_log and the sums of powers, as one struct of aggregates."""
+    t = F.col("duration_min")
+    logs = F.coalesce(F.sum(F.when(F.col("observed") == 1, F.ln(t))), F.lit(0.0))
+    powers = F.array(*[F.sum(F.pow(t, F.lit(k))) for k in _kappas(grid)])
+    return F.struct(F.sum(F.col("observed").cast("long")).alias("d"), logs.alias("sum_log"), powers.alias("powers"))
+
+
+def _by_shape(grid: Grid) -> Column:
+    """kappa, s_kappa: a row a shape, of the sums."""
+    return F.inline(F.arrays_zip(F.array(*[F.lit(k) for k in _kappas(grid)]).alias("kappa"), F.col("sums.powers").alias("s_kappa")))
+
+
 def sufficient_statistics(data: DataFrame, grid: Grid = Grid()) -> DataFrame:
     """kappa, d, sum_log, s_kappa for each shape; one aggregation."""
-    t = F.col("duration_min")
-    powers = [F.sum(F.pow(t, F.lit(k))).alias(f"s{i}") for i, k in enumerate(_kappas(grid))]
-    one = data.agg(F.sum(F.col("observed").cast("long")).alias("d"), F.sum(F.when(F.col("observed") == 1, F.ln(t))).alias("sum_log"), *powers)
-    rows = F.array(*[F.struct(F.lit(k).alias("kappa"), F.col(f"s{i}").alias("s_kappa")) for i, k in enumerate(_kappas(grid))])
-    return one.select("d", F.coalesce("sum_log", F.lit(0.0)).alias("sum_log"), F.inline(rows)).select("kappa", "d", "sum_log", "s_kappa")
+    one = data.agg(_sums(grid).alias("sums"))
+    return one.select("sums.d", "sums.sum_log", _by_shape(grid).alias("kappa", "s_kappa")).select("kappa", "d", "sum_log", "s_kappa")
 
 
 def _kappas(grid: Grid) -> list[float]:
@@ -107,10 +118,11 @@ def _kappas(grid: Grid) -> list[float]:
 
 def posterior(data: DataFrame, grid: Grid = Grid(), priors: Priors = Priors()) -> DataFrame:
     """mu, kappa, weight over the grid, which lies around the log of the median."""
-    middle = data.agg(F.ln(F.percentile("duration_min", 0.5)).alias("m0"))
     step = 2 * grid.mu_reach / (grid.mus - 1)
     offsets = F.transform(F.sequence(F.lit(0), F.lit(grid.mus - 1)), lambda i: i * F.lit(step) - F.lit(grid.mu_reach))
-    points = sufficient_statistics(data, grid).crossJoin(F.broadcast(middle)).select("*", F.explode(offsets).alias("offset"))
+    one = quantiles(data, "duration_min", {"median": 0.5}, also=[_sums(grid).alias("sums")])
+    shapes = one.select("sums.d", "sums.sum_log", F.ln("median").alias("m0"), _by_shape(grid).alias("kappa", "s_kappa"))
+    points = shapes.select("*", F.explode(offsets).alias("offset"))
     k, mu = F.col("kappa"), F.col("m0") + F.col("offset")
     likelihood = F.col("d") * F.ln(k) + (k - 1) * F.col("sum_log") - F.col("d") * k * mu - F.exp(-k * mu) * F.col("s_kappa")
     away = F.col("offset") if priors.mu_mean is None else mu - F.lit(priors.mu_mean)
@@ -119,9 +131,9 @@ def posterior(data: DataFrame, grid: Grid = Grid(), priors: Priors = Priors()) -
         shape = (priors.kappa_gamma[0] - 1) * F.ln(k) - F.lit(priors.kappa_gamma[1]) * k
     prior = -(away * away) / (2 * priors.mu_sd**2) + shape
     rows = points.select(mu.alias("mu"), "kappa", (likelihood + prior).alias("lp"))
-    best = rows.agg(F.max("lp").alias("best"))
-    raw = rows.crossJoin(F.broadcast(best)).select("mu", "kappa", F.exp(F.col("lp") - F.col("best")).alias("w"))
-    return raw.crossJoin(F.broadcast(raw.agg(F.sum("w").alias("total")))).select("mu", "kappa", (F.col("w") / F.col("total")).alias("weight"))
+    whole = W.partitionBy(F.lit(0))  # the grid: kappas * mus rows
+    raw = rows.select("mu", "kappa", F.exp(F.col("lp") - F.max("lp").over(whole)).alias("w"))
+    return raw.select("mu", "kappa", (F.col("w") / F.sum("w").over(whole)).alias("weight"))
 
 
 def posterior_means(weights: DataFrame) -> DataFrame:
@@ -226,10 +238,12 @@ def simulate(
     priors: Priors = Priors(),
     covariates: dict[str, float] | None = None,
     times: bool = False,
+    levels: tuple[int, ...] | None = None,
 ) -> DataFrame:
     """From a log with normalised activities to the summary of one transition,
-    at given covariate values if there are any; with ``times`` the simulated
-    times (draw, t_baseline, t_capacity) instead."""
+    at given covariate values if there are any, with shares within its service
+    levels (or ``levels``); with ``times`` the simulated times (draw,
+    t_baseline, t_capacity) instead."""
     names = tuple(covariates or ())
     data = transition_dataset(log, *transition(key), names, s)
     cases = data.count()
@@ -241,7 +255,7 @@ def simulate(
         drawn = predictive_times(posterior(data, grid, priors), n)
     if times:
         return scenario(drawn, multiplier)
-    out = summarize(scenario(drawn, multiplier))
+    out = summarize(scenario(drawn, multiplier), levels=levels or SERVICE_LEVELS[key])
     return out.select(
         F.lit(key).alias("transition_key"), F.lit(float(multiplier)).alias("capacity_multiplier"), F.lit(cases).cast("long").alias("n_cases_used"), "*"
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pathloom.functions import stats
+from pathloom.functions import ranks, resampling, stats
 from pathloom.functions.portable import uniform
 from pathloom.operators import anomaly, canonical, features, models, queues, simulate
 from pathloom.plans import basics, views
@@ -216,13 +216,18 @@ def _bootstrap(statistic):
     return lambda s, d: _rounded(stats.bootstrap_ci(minutes_by_case(s, d), "y", ["case_id"], statistic, 100), "estimate", "ci_low", "ci_high", places=4)
 
 
+def poisson_sql(digits: str) -> str:
+    return " + ".join(f"CAST({digits} >= '{t}' AS INT)" for t in resampling.thresholds())
+
+
 def bootstrap_sql(statistic: str) -> str:
+    """Draws of Poisson weights; a value counts as often as its weight says."""
     f = {"mean": "avg({})", "median": "quantile_cont({}, 0.5)", "p90": "quantile_cont({}, 0.9)"}[statistic]
     return with_views("log", f"""+ v AS (SELECT case_id, date_diff('microsecond', min(timestamp), max(timestamp)) / 6e7 AS value FROM log GROUP BY case_id),
-      nb AS (SELECT value, row_number() OVER (ORDER BY case_id) - 1 AS i FROM v), sz AS (SELECT count(*) AS n FROM nb),
-      dr AS (SELECT b, ('0x' || substr(md5('42|' || b || '|' || nb.i), 1, 8))::BIGINT % n AS i FROM nb, sz, range(100) AS t(b)),
-      bs AS (SELECT b, {f.format('value')} AS s FROM dr JOIN nb USING (i) GROUP BY b)
-      SELECT (SELECT round({f.format('value')}, 4) FROM nb) AS estimate, round(quantile_cont(s, 0.025), 4) AS ci_low, round(quantile_cont(s, 0.975), 4) AS ci_high FROM bs""")
+      dr AS (SELECT value, b, substr(md5('42|' || b // 4 || '|' || case_id), 8 * (b % 4)::INT + 1, 8) AS h FROM v, range(100) AS t(b)),
+      ws AS (SELECT value, b, {poisson_sql("h")} AS w FROM dr),
+      bs AS (SELECT b, {f.format('value')} AS s FROM (SELECT value, b, unnest(range(w)) FROM ws) GROUP BY b)
+      SELECT (SELECT round({f.format('value')}, 4) FROM v) AS estimate, round(quantile_cont(s, 0.025), 4) AS ci_low, round(quantile_cont(s, 0.975), 4) AS ci_high FROM bs""")
 
 
 def target_summary_binary(spark, sf):
@@ -238,10 +243,8 @@ def target_summary_regression(spark, sf):
 
 
 def historical_baselines(spark, sf):
-    keyed = views.dispositions(spark, sf)
-    a, b = (features.keyword_target(keyed, "disposition_desc", w).agg(F.avg("y").alias(n)) for n, w in (("admission_rate", features.ADMISSION), ("lwbs_rate", features.LWBS)))
-    c = features.time_to_event_target(views.log_day(spark, sf), "purchase", "n_events", 1).agg(F.percentile("y", 0.5).alias("median_minutes"))
-    return _rounded(a.crossJoin(b).crossJoin(c), "admission_rate", "lwbs_rate", "median_minutes")
+    """Of days of users, whose disposition is their user's order's."""
+    return _rounded(features.historical_baselines(views.log_disposed(spark, sf), "disposition_desc", "purchase", "n_events", 1), "admission_rate", "lwbs_rate", "median_minutes")
 
 
 FEATURES = ["n_events", "elapsed_minutes", "hour", "dayofweek", "value"]
@@ -268,8 +271,7 @@ def bootstrap_refit(spark, sf):
 
 
 def profile_bounds(spark, sf):
-    q = F.percentile("value", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    return views.log(spark, sf).agg(q.alias("q")).select(*[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("low", "middle", "high"))])
+    return _rounded(ranks.quantiles(views.log(spark, sf), "value", {"low": 0.01, "middle": 0.5, "high": 0.99}), "low", "middle", "high")
 
 
 # -- simulation --------------------------------------------------------------
@@ -302,14 +304,11 @@ def mcmc(spark, sf):
 
 
 def drawn(spark, sf):
-    """Repeatable Weibull times for a fixed shape and location."""
-    u = uniform(F.lit(123), F.col("id"), F.lit("t"))
-    time = F.exp(F.lit(3.0)) * F.pow(-F.ln(1 - u), F.lit(1 / 1.5))
-    return simulate.scenario(spark.range(2000).select(F.col("id").alias("draw"), time.alias("minutes")), 1.5)
+    """Times from the posterior predictive of the transition, at both capacities."""
+    return simulate.scenario(simulate.predictive_times(simulate.posterior(transitions(spark, sf), GRID), 2000), 1.5)
 
 
-DRAWN = """sim AS (SELECT i AS draw, exp(3.0::DOUBLE) * pow(-ln(1 - (('0x' || substr(md5('123|' || i || '|t'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE), 1 / 1.5::DOUBLE) AS b FROM range(2000) AS t(i)),
-  sc AS (SELECT draw, b AS t_baseline, b / 1.5::DOUBLE AS t_capacity FROM sim)"""
+LEVELS = simulate.SERVICE_LEVELS["registration_to_assessment"]
 
 
 def predictive(spark, sf):
@@ -333,6 +332,16 @@ POSTERIOR = KAPPAS + """, m AS (SELECT ln(quantile_cont(duration_min, 0.5)) AS m
     FROM ss, m, (SELECT j * 0.1::DOUBLE - 3 AS o FROM range(61) AS t(j))),
   pw AS (SELECT mu, kappa, exp(lp - (SELECT max(lp) FROM pt)) AS w FROM pt)"""
 
+DRAWN = POSTERIOR + """, cu AS (SELECT mu, kappa, sum(w) OVER (ORDER BY kappa, mu ROWS UNBOUNDED PRECEDING) / (SELECT sum(w) FROM pw) AS at FROM pw WHERE w > 0),
+  un AS (SELECT i AS draw, (('0x' || substr(md5('123|' || i || '|p'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS p, (('0x' || substr(md5('123|' || i || '|t'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM range(2000) AS t(i)),
+  sim AS (SELECT draw, greatest(exp(mu) * pow(-ln(1 - u), 1 / kappa), 1e-6::DOUBLE) AS b FROM un ASOF JOIN cu ON un.p <= cu.at),
+  sc AS (SELECT draw, b AS t_baseline, b / 1.5::DOUBLE AS t_capacity FROM sim)"""
+
+
+def drawn_sql(body: str) -> str:
+    return with_views("stages", TRANSITION + DRAWN + body)
+
+
 QUERIES = {
     "state_intervals": _intervals(queues.QueueConfig(covariate="resource")),
     "state_intervals_collapsed": _intervals(queues.QueueConfig(covariate="resource", collapse_consecutive_same_state=True)),
@@ -389,10 +398,10 @@ QUERIES = {
     "weibull_posterior_grid": posterior_grid,
     "weibull_mcmc": mcmc,
     "posterior_predictive": predictive,
-    "capacity_scenario": lambda s, d: _all_rounded(drawn(s, d)),
-    "sim_summary": lambda s, d: _all_rounded(simulate.summarize(drawn(s, d))),
-    "sim_quantile_table": lambda s, d: _all_rounded(simulate.quantile_table(drawn(s, d))),
-    "sim_sla_table": lambda s, d: _all_rounded(simulate.service_table(drawn(s, d), (10, 30, 60))),
+    "capacity_scenario": lambda s, d: _all_rounded(drawn(s, d), 4),
+    "sim_summary": lambda s, d: _all_rounded(simulate.summarize(drawn(s, d)), 4),
+    "sim_quantile_table": lambda s, d: _all_rounded(simulate.quantile_table(drawn(s, d)), 4),
+    "sim_sla_table": lambda s, d: _all_rounded(simulate.service_table(drawn(s, d), LEVELS)),
     "ecdf": lambda s, d: _all_rounded(stats.ecdf(views.log_ship(s, d), "value", "activity")),
     "histogram": lambda s, d: stats.histogram(views.log_ship(s, d), "value", 10),
     "log_fingerprint": lambda s, d: simulate.fingerprint(views.log(s, d), "registration_to_assessment", GRID),
@@ -456,9 +465,10 @@ ORACLES = {
     "target_summary_binary": with_views("outcome", """+ x AS (SELECT count(*) AS n, avg(CAST(regexp_matches(lower(disposition_desc), 'admit|admission|inpatient') AS INT)) AS p, 1.959963984540054::DOUBLE AS z FROM outcome WHERE disposition_desc IS NOT NULL)
       SELECT 'prob_admission' AS target, n AS n_cases, round(p, 6) AS rate, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 6) AS rate_low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 6) AS rate_high FROM x"""),
     "target_summary_regression": "SELECT 'minutes' AS target, (SELECT count(DISTINCT user_id) FROM events) AS n_cases, " + ", ".join(f"{n}.estimate AS {n}, {n}.ci_low AS {n}_low, {n}.ci_high AS {n}_high" for n in ("mean", "median", "p90")) + " FROM " + ", ".join(f"({bootstrap_sql(n)}) {n}" for n in ("mean", "median", "p90")),
-    "historical_baselines": with_views("day outcome", """+ n AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY timestamp, _seq) AS no FROM day),
-      x AS (SELECT case_id, date_diff('microsecond', max(timestamp) FILTER (no = 1), min(timestamp) FILTER (activity = 'purchase')) / 6e7 AS y FROM n GROUP BY 1)
-      SELECT (SELECT round(avg(CAST(regexp_matches(lower(disposition_desc), 'admit|admission|inpatient') AS INT)), 6) FROM outcome) AS admission_rate, (SELECT round(avg(CAST(regexp_matches(lower(disposition_desc), 'lwbs|left without being seen|left after triage') AS INT)), 6) FROM outcome) AS lwbs_rate, (SELECT round(quantile_cont(y, 0.5), 6) FROM x WHERE y BETWEEN 0 AND 1440) AS median_minutes"""),
+    "historical_baselines": with_views("day outcome disposed", """+ n AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY timestamp, _seq) AS no FROM disposed),
+      x AS (SELECT case_id, date_diff('microsecond', max(timestamp) FILTER (no = 1), min(timestamp) FILTER (activity = 'purchase')) / 6e7 AS y, lower(any_value(disposition_desc)) AS d FROM n GROUP BY 1)
+      SELECT round(avg(CAST(regexp_matches(d, 'admit|admission|inpatient') AS INT)), 6) AS admission_rate, round(avg(CAST(regexp_matches(d, 'lwbs|left without being seen|left after triage') AS INT)), 6) AS lwbs_rate,
+        (SELECT round(quantile_cont(y, 0.5), 6) FROM x WHERE y BETWEEN 0 AND 1440) AS median_minutes FROM x WHERE d IS NOT NULL"""),
     "profile_numeric_bounds": "SELECT round(quantile_cont(value, 0.01), 6) AS low, round(quantile_cont(value, 0.5), 6) AS middle, round(quantile_cont(value, 0.99), 6) AS high FROM events",
     "transitions_available": with_views("stages", "+ a AS (SELECT DISTINCT activity FROM stages WHERE activity <> 'discharge') SELECT k AS transition_key, s AS start_activity, e AS end_activity, s IN (SELECT activity FROM a) AS start_present, e IN (SELECT activity FROM a) AS end_present FROM (VALUES "
       + ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in simulate.TRANSITIONS.items()) + ") AS t(k, s, e)"),
@@ -466,12 +476,12 @@ ORACLES = {
     "transition_dataset_covariates": with_views("stages", TRANSITION + " SELECT case_id, round(duration_min, 6) AS duration_min, observed, round(value, 6) AS value FROM du"),
     "weibull_suffstats": with_views("stages", TRANSITION + KAPPAS + " SELECT round(kappa, 4) AS kappa, d, round(sum_log, 4) AS sum_log, round(s_kappa / pow(10.0::DOUBLE, floor(log10(s_kappa))), 6) AS s_scaled FROM ss"),
     "weibull_posterior_grid": with_views("stages", TRANSITION + POSTERIOR + " SELECT round(sum(w * mu) / sum(w), 6) AS mu_mean, round(sum(w * kappa) / sum(w), 6) AS kappa_mean FROM pw"),
-    "capacity_scenario": f"WITH {DRAWN} SELECT draw, round(t_baseline, 6) AS t_baseline, round(t_capacity, 6) AS t_capacity FROM sc",
-    "sim_summary": f"WITH {DRAWN} SELECT count(*) AS n_mc_times, " + ", ".join(
-        f"round(avg(t_{n}), 6) AS {n}_mean, round(quantile_cont(t_{n}, 0.5), 6) AS {n}_median, " + ", ".join(f"round(quantile_cont(t_{n}, {p}), 6) AS {n}_{q}" for q, p in _Q) + ", "
-        + ", ".join(f"round(avg(CAST(t_{n} <= {x} AS INT)), 6) AS {n}_p_le_{x}m" for x in (30, 60, 120)) for n in ("baseline", "capacity")) + " FROM sc",
-    "sim_quantile_table": f"WITH {DRAWN} " + " UNION ALL ".join(f"SELECT 'q{round(p * 100):02d}' AS label, round(quantile_cont(t_baseline, {p}), 6) AS baseline, round(quantile_cont(t_capacity, {p}), 6) AS capacity FROM sc" for p in (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)),
-    "sim_sla_table": f"WITH {DRAWN} SELECT x AS threshold_min, round(avg(CAST(t_baseline <= x AS INT)), 6) AS baseline, round(avg(CAST(t_capacity <= x AS INT)), 6) AS capacity FROM sc, (VALUES (10), (30), (60)) AS t(x) GROUP BY x",
+    "capacity_scenario": drawn_sql(" SELECT draw, round(t_baseline, 4) AS t_baseline, round(t_capacity, 4) AS t_capacity FROM sc"),
+    "sim_summary": drawn_sql(" SELECT count(*) AS n_mc_times, " + ", ".join(
+        f"round(avg(t_{n}), 4) AS {n}_mean, round(quantile_cont(t_{n}, 0.5), 4) AS {n}_median, " + ", ".join(f"round(quantile_cont(t_{n}, {p}), 4) AS {n}_{q}" for q, p in _Q) + ", "
+        + ", ".join(f"round(avg(CAST(t_{n} <= {x} AS INT)), 4) AS {n}_p_le_{x}m" for x in (30, 60, 120)) for n in ("baseline", "capacity")) + " FROM sc"),
+    "sim_quantile_table": drawn_sql(" " + " UNION ALL ".join(f"SELECT 'q{round(p * 100):02d}' AS label, round(quantile_cont(t_baseline, {p}), 4) AS baseline, round(quantile_cont(t_capacity, {p}), 4) AS capacity FROM sc" for p in (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99))),
+    "sim_sla_table": drawn_sql(" SELECT x AS threshold_min, round(avg(CAST(t_baseline <= x AS INT)), 6) AS baseline, round(avg(CAST(t_capacity <= x AS INT)), 6) AS capacity FROM sc, (VALUES " + ", ".join(f"({x})" for x in LEVELS) + ") AS t(x) GROUP BY x"),
     "ecdf": with_views("ship", "+ c AS (SELECT activity, value, count(*) AS n FROM ship GROUP BY ALL) SELECT activity, value, round(sum(n) OVER (PARTITION BY activity ORDER BY value) / sum(n) OVER (PARTITION BY activity)::DOUBLE, 6) AS share FROM c"),
     "histogram": with_views("ship", "+ e AS (SELECT min(value) AS lo, quantile_cont(value, 0.99) AS hi FROM ship) SELECT CAST(least(floor((value - lo) / (hi - lo) * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM ship, e WHERE value <= hi GROUP BY 1"),
 }

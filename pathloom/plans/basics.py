@@ -341,7 +341,8 @@ ORACLES = {
        count(DISTINCT CASE WHEN pushed THEN case_id END) AS terminal_reordered_cases,
        count(*) FILTER (repaired AND repairs <= 1) AS monotonic_repairs_applied,
        count(DISTINCT CASE WHEN repairs > 1 THEN case_id END) AS backward_cases_flagged,
-       (SELECT count(DISTINCT case_id) FROM dirty) - count(DISTINCT CASE WHEN repairs <= 1 THEN case_id END) AS dropped_cases FROM c""",
+       (SELECT count(DISTINCT case_id) FROM dirty) - count(DISTINCT CASE WHEN repairs <= 1 THEN case_id END) AS dropped_cases,
+       '' AS unstable_columns_used, 'none' AS unstable_missing_mode, 0.3::DOUBLE AS unstable_case_missing_threshold FROM c""",
     "sort_events": with_views("ship", "SELECT case_id, activity, timestamp, _seq, row_number() OVER (PARTITION BY case_id ORDER BY timestamp, _seq, resource, value) AS rn FROM ship"),
     "head_per_case": with_views("log", f"SELECT case_id, _seq FROM log QUALIFY row_number() {_W} <= 3"),
     "top_k_activities": with_views("ship", "SELECT activity, count(*) AS n FROM ship GROUP BY ALL ORDER BY n DESC, activity LIMIT 3"),

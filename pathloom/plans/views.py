@@ -72,6 +72,14 @@ def dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def log_disposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short cases whose events carry an outcome: the status of the order that
+    has the user's number."""
+    outcome = dispositions(spark, sf_dir).select(F.col("case_id").alias("user"), "disposition_desc")
+    day = log_day(spark, sf_dir).withColumn("user", F.substring_index("case_id", "|", 1).cast("long"))
+    return day.join(outcome, "user", "left").drop("user")
+
+
 def log_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations: a turn a minute."""
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
@@ -96,6 +104,7 @@ SQL = {
         CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey AS _seq, CAST(l_suppkey AS VARCHAR) AS resource, l_quantity AS value FROM lineitem)""",
     "outcome": """outcome AS (SELECT o_orderkey AS case_id, CASE o_orderstatus WHEN 'F' THEN 'Admitted inpatient'
         WHEN 'P' THEN 'Left Without Being Seen' WHEN 'O' THEN 'Discharged home' END AS disposition_desc FROM orders)""",
+    "disposed": """disposed AS (SELECT day.*, disposition_desc FROM day LEFT JOIN outcome ON outcome.case_id = CAST(split_part(day.case_id, '|', 1) AS BIGINT))""",
     "conv": """conv AS (SELECT conv_id AS case_id, role AS activity, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(turn AS INT)) AS timestamp,
         turn AS _seq FROM conversations)""",
     "stages": f"""stages AS (SELECT user_id AS case_id, CASE event_type WHEN 'signup' THEN 'triage' WHEN 'view' THEN 'registration'
