@@ -13,14 +13,12 @@ standard errors wide each way, count as one gap a draw.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from math import exp, factorial
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions.ranks import quantiles
+from pathloom.functions.ranks import evenly, over, quantiles
 
 #: Quantiles among the statistics; the mean is the other one.
 QUANTILES = {"median": 0.5, "p90": 0.9}
@@ -41,22 +39,37 @@ def thresholds() -> list[str]:
     return out
 
 
-def weights(seed: int, key: Column, group: Column) -> list[Column]:
-    """Poisson(1) weights of a key in the four draws of a group of draws."""
-    digits = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), group.cast("string"), key.cast("string")))
-    out = []
-    for i in range(4):
-        part = F.substring(digits, 8 * i + 1, 8)
-        out.append(reduce(lambda a, b: a + b, [(part >= t).cast("int") for t in thresholds()]))
-    return out
+def digits(seed: int, key: str, group: str) -> str:
+    """32 hex digits for a key in a group of four draws, in SQL."""
+    return f"md5(concat_ws('|', '{seed}', CAST({group} AS STRING), CAST({key} AS STRING)))"
+
+
+def poisson(part: str) -> str:
+    """The Poisson(1) number of eight hex digits, in SQL."""
+    steps = thresholds()
+    return "CASE " + " ".join(f"WHEN {part} < '{t}' THEN {k}" for k, t in enumerate(steps)) + f" ELSE {len(steps)} END"
+
+
+def weight(seed: int, key: str, draw: int) -> str:
+    """The Poisson(1) weight of a key in one draw, in SQL."""
+    return poisson(f"substring({digits(seed, key, str(draw // 4))}, {8 * (draw % 4) + 1}, 8)")
 
 
-def draws(rows: DataFrame, key: Column, n_boot: int, seed: int) -> DataFrame:
+def all_weights(seed: int, key: str, n_boot: int) -> str:
+    """An array of a key's weights in all draws, in SQL: a hash for four of them."""
+    hashes = f"transform(sequence(0, {(n_boot - 1) // 4}), g -> {digits(seed, key, 'g')})"
+    parts = f"flatten(transform({hashes}, h -> transform(sequence(0, 3), i -> substring(h, 8 * i + 1, 8))))"
+    return f"slice(transform({parts}, p -> {poisson('p')}), 1, {n_boot})"
+
+
+def draws(rows: DataFrame, key: str, n_boot: int, seed: int) -> DataFrame:
     """``rows`` for each draw b that they are in, with their weight w; the key
     should be a row's own."""
-    groups = rows.withColumn("key_", key).select("*", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // 4))).alias("g_"))
-    pairs = [F.struct((F.col("g_") * 4 + i).alias("b"), w.alias("w")) for i, w in enumerate(weights(seed, F.col("key_"), F.col("g_")))]
-    return groups.select(*rows.columns, F.inline(F.array(*pairs))).where(F.col("w") > 0).where(F.col("b") < n_boot)
+    columns = rows.columns
+    hashed = rows.selectExpr(*columns, f"explode(sequence(0, {(n_boot - 1) // 4})) AS g_").selectExpr(*columns, "g_", f"{digits(seed, key, 'g_')} AS h_")
+    each = hashed.selectExpr(*columns, "g_", "h_", "explode(sequence(0, 3)) AS i_")
+    part = each.selectExpr(*columns, "g_ * 4 + i_ AS b", "substring(h_, 8 * i_ + 1, 8) AS h_").where(f"b < {n_boot}")
+    return part.selectExpr(*columns, "b", f"{poisson('h_')} AS w").where("w > 0")
 
 
 def bootstrap_cis(values: DataFrame, column: str, key: Sequence[str], statistics: Sequence[str] = STATISTICS, n_boot: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
@@ -68,37 +81,33 @@ def bootstrap_cis(values: DataFrame, column: str, key: Sequence[str], statistics
     if unknown := set(statistics) - set(STATISTICS):
         raise ValueError(f"statistics are among {STATISTICS}, not {sorted(unknown)}")
     qs = [s for s in statistics if s in QUANTILES]
-    known = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"), F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("k"))
-    around = known.agg(F.count("x").alias("n"), F.percentile_approx("x", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]), 5 * GRID).alias("grid"))
-    cuts = []
-    for s in qs:
-        q = QUANTILES[s]
-        wide = F.lit(REACH) * F.sqrt(F.lit(q * (1 - q)) / F.col("n")) + 2 / F.col("n") + F.lit(2.0 / GRID)
-        for at in (F.floor((q - wide) * GRID), F.ceil((q + wide) * GRID)):
-            cuts.append(F.col("grid")[F.least(F.greatest(at, F.lit(0)), F.lit(GRID)).cast("int")])
-    marked = known.crossJoin(F.broadcast(around.select(*[c.alias(f"cut_{i}") for i, c in enumerate(cuts)]))) if qs else known
+    named = ", ".join(f"CAST(`{k}` AS STRING)" for k in key)
+    known = values.where(f"`{column}` IS NOT NULL").selectExpr(f"CAST(`{column}` AS DOUBLE) AS x", f"concat_ws('|', {named}) AS k")
+    estimates = quantiles(known, "x", {s: QUANTILES[s] for s in qs}, also={"mean": "avg(x)"}) if qs else known.selectExpr("avg(x) AS mean")
+    marked = known.selectExpr("x", "k", "CAST(NULL AS DOUBLE) AS v", "true AS gap")
     if qs:
-        bounds = [F.col(f"cut_{i}") for i in range(len(cuts))]
-        inside = reduce(lambda a, b: a | b, [F.col("x").between(bounds[2 * i], bounds[2 * i + 1]) for i in range(len(qs))])
-        gap = F.greatest(*[F.when(c < F.col("x"), c) for c in bounds])
-        marked = marked.select("x", "k", F.when(inside, F.col("x")).otherwise(gap).alias("v"), (~inside).alias("gap"))
-    else:
-        marked = marked.select("x", "k", F.lit(None).cast("double").alias("v"), F.lit(True).alias("gap"))
-    counts = draws(marked, F.col("k"), n_boot, seed).groupBy("b", "v", "gap").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("x")).alias("wx"))
-    order, whole = W.partitionBy("b").orderBy(F.col("v").asc_nulls_first(), "gap").rowsBetween(W.unboundedPreceding, W.currentRow), W.partitionBy("b")
-    ranked = counts.withColumns({"upto": F.sum("w").over(order), "n": F.sum("w").over(whole)})
-    picks = [(F.sum("wx") / F.sum("w")).alias("mean"), F.first("n").alias("n")]
-    for s in qs:
-        place = (F.col("n") - 1) * F.lit(QUANTILES[s])
-        for name, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            picks.append(F.max(F.when((F.col("upto") - F.col("w") <= rank) & (rank < F.col("upto")) & ~F.col("gap"), F.col("v"))).alias(f"{name}_{s}"))
-    each = ranked.groupBy("b").agg(*picks)
+        around = known.selectExpr("count(x) AS n", f"percentile_approx(x, {evenly(GRID)}, {5 * GRID}) AS grid")
+        cuts = []
+        for s in qs:
+            q = QUANTILES[s]
+            wide = f"({REACH} * sqrt({q * (1 - q)!r}D / n) + 2 / n + {2.0 / GRID!r}D)"
+            cuts += [f"grid[CAST(least(greatest({at}, 0), {GRID}) AS INT)]" for at in (f"floor(({q}D - {wide}) * {GRID})", f"ceil(({q}D + {wide}) * {GRID})")]
+        bounds = [f"cut_{i}" for i in range(len(cuts))]
+        inside = " OR ".join(f"x BETWEEN cut_{2 * i} AND cut_{2 * i + 1}" for i in range(len(qs)))
+        gap = "greatest(" + ", ".join(f"CASE WHEN {c} < x THEN {c} END" for c in bounds) + ")"
+        both = known.crossJoin(F.broadcast(around.selectExpr(*[f"{c} AS {b}" for c, b in zip(cuts, bounds, strict=True)])))
+        marked = both.selectExpr("x", "k", f"if({inside}, x, {gap}) AS v", f"NOT ({inside}) AS gap")
+    counts = draws(marked, "k", n_boot, seed).groupBy("b", "v", "gap").agg(F.expr("sum(w) AS w"), F.expr("sum(w * x) AS wx"))
+    ranked = counts.selectExpr("*", f"sum(w) {over(['b'], 'v NULLS FIRST, gap')} AS upto", "sum(w) OVER (PARTITION BY b) AS n")
+    picks, out = ["sum(wx) / sum(w) AS mean"], {"mean": "mean"}
     for s in qs:
-        place, lo, hi = (F.col("n") - 1) * F.lit(QUANTILES[s]), F.col(f"lo_{s}"), F.col(f"hi_{s}")
-        between = F.when(lo == hi, lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi)
-        each = each.withColumn(s, F.when(lo.isNull() | hi.isNull(), F.raise_error(F.lit("a draw's rank isn't within its bracket")).cast("double")).otherwise(between))
-    ends = F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))
-    bounds = each.agg(*[F.percentile(s, ends).alias(f"q_{s}") for s in statistics])  # of n_boot rows
-    estimates = quantiles(known, "x", {s: QUANTILES[s] for s in qs}, also=[F.avg("x").alias("mean")]) if qs else known.agg(F.avg("x").alias("mean"))
-    out = estimates.crossJoin(F.broadcast(bounds))
-    return out.select(*[c for s in statistics for c in (F.col(s), F.col(f"q_{s}")[0].alias(f"{s}_ci_low"), F.col(f"q_{s}")[1].alias(f"{s}_ci_high"))])
+        place = f"(n - 1) * {QUANTILES[s]}D"
+        for name, whole in (("lo", "floor"), ("hi", "ceil")):
+            picks.append(f"max(CASE WHEN upto - w <= {whole}({place}) AND {whole}({place}) < upto AND NOT gap THEN v END) AS {name}_{s}")
+        out[s] = f"""CASE WHEN lo_{s} IS NULL OR hi_{s} IS NULL THEN CAST(raise_error('the rank of a draw isn\\'t within its bracket') AS DOUBLE)
+            WHEN lo_{s} = hi_{s} THEN lo_{s} ELSE (ceil({place}) - {place}) * lo_{s} + ({place} - floor({place})) * hi_{s} END"""
+    each = ranked.groupBy("b", "n").agg(*map(F.expr, picks))
+    ends = f"array({alpha / 2!r}D, {1 - alpha / 2!r}D)"
+    bounds = each.selectExpr(*[f"{out[s]} AS {s}" for s in statistics]).selectExpr(*[f"percentile({s}, {ends}) AS q_{s}" for s in statistics])  # of n_boot rows
+    shown = [c for s in statistics for c in (s, f"q_{s}[0] AS {s}_ci_low", f"q_{s}[1] AS {s}_ci_high")]
+    return estimates.crossJoin(F.broadcast(bounds)).selectExpr(*shown)

@@ -93,7 +93,7 @@ def ecdf(df: DataFrame, column: str, by: str) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 50, top_quantile: float = 0.99) -> DataFrame:
     """bin (from 0), n: equal widths from the least value to a quantile; values
     beyond it aren't shown."""
-    ends = quantiles(df, column, {"hi": top_quantile}, also=[F.min(column).cast("double").alias("lo")])
+    ends = quantiles(df, column, {"hi": top_quantile}, also={"lo": f"CAST(min(`{column}`) AS DOUBLE)"})
     both = df.crossJoin(F.broadcast(ends)).where(F.col(column) <= F.col("hi"))
     at = F.floor((F.col(column) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)
     return both.select(F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)).cast("long").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))

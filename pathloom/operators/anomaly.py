@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from math import log as ln
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions.ranks import quantile, quantiles
+from pathloom.functions.ranks import numbers, quantile, quantiles
 from pathloom.operators.conformance import MODES
-from pathloom.schema import LOG, LogSchema, minutes, require_columns
+from pathloom.schema import LOG, LogSchema, minutes, require_columns, traces
 from pathloom.sources.logs import ignore_activities
 from pathloom.sources.tables import written
 
@@ -134,17 +135,39 @@ def bigram_counts(log: DataFrame, words: list[str], s: LogSchema = LOG) -> DataF
     return bigrams(log, words, s).groupBy("before", "after").count()
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _steps(words: list[str]) -> str:
+    """Numbers of a trace's steps in SQL, before * (k + 2) + after: an activity
+    is its place among the k words or 0, and start and end are k + 1."""
+    k = len(words)
+    known = f"array({', '.join(map(_quoted, words))})" if words else "cast(array() AS array<string>)"
+    codes = f"transform(trace, x -> CAST(array_position({known}, x) AS INT))"
+    ahead, behind = f"concat(array({k + 1}), {codes})", f"concat({codes}, array({k + 1}))"
+    return f"zip_with({ahead}, {behind}, (a, b) -> a * {k + 2} + b)"
+
+
+def with_bigram_nll(cases: DataFrame, cfg: AnomalyConfig = AnomalyConfig()) -> DataFrame:
+    """``cases`` (with trace) and seq_score: the mean negative log-probability
+    of a case's steps, with add-alpha smoothing, under counts of all cases.
+
+    The k most common activities and the counts of their pairs, at most
+    (k + 2) ** 2, come to the driver; a case is scored from its trace alone."""
+    counts = cases.selectExpr("explode(trace) AS activity").groupBy("activity").count()
+    words = [r[0] for r in counts.orderBy(F.desc("count"), "activity").limit(cfg.vocabulary).collect()]
+    steps, size, alpha = _steps(words), len(words) + 2, cfg.smoothing
+    seen = {r[0]: r[1] for r in cases.selectExpr(f"explode({steps}) AS step").groupBy("step").count().collect()}
+    totals = [sum(n for step, n in seen.items() if step // size == before) for before in range(size)]
+    costs = [-ln((seen[i] + alpha) / (totals[i // size] + alpha * size)) if i in seen else 0.0 for i in range(size * size)]
+    total = f"aggregate({steps}, 0.0D, (s, i) -> s + {numbers(costs)}[i])"
+    return cases.withColumn("seq_score", F.expr(f"{total} / (size(trace) + 1)"))
+
+
 def bigram_nll(log: DataFrame, cfg: AnomalyConfig = AnomalyConfig(), s: LogSchema = LOG) -> DataFrame:
-    """case, seq_score: the mean negative log-probability of a case's steps,
-    with add-alpha smoothing, under counts of the same log."""
-    words = vocabulary(log, cfg.vocabulary, s)
-    pairs = bigrams(log, words, s)
-    counts = pairs.groupBy("before", "after").count()  # at most (k + 2) ** 2 rows
-    context = counts.groupBy("before").agg(F.sum("count").alias("total"))
-    size, alpha = len(words) + 2, cfg.smoothing
-    p = (F.col("count") + alpha) / (F.col("total") + alpha * size)
-    table = counts.join(F.broadcast(context), "before").select("before", "after", (-F.ln(p)).alias("cost"))
-    return pairs.join(F.broadcast(table), ["before", "after"]).groupBy(s.case).agg(F.avg("cost").alias("seq_score"))
+    """case, seq_score of a log's cases."""
+    return with_bigram_nll(traces(log, s), cfg).select(s.case, "seq_score")
 
 
 def parse_protocol(protocol: str) -> list[str]:
@@ -177,44 +200,45 @@ def protocol_deviation(trace: Column, protocol: list[str], mode: str) -> Column:
     return missing * 2.0 + extra * 0.5
 
 
-def sequence_values(log: DataFrame, stats: DataFrame, cfg: AnomalyConfig, s: LogSchema = LOG) -> DataFrame:
-    """``stats`` with seq_score."""
+def sequence_values(cases: DataFrame, cfg: AnomalyConfig) -> DataFrame:
+    """``cases`` with seq_score, from their traces."""
     if cfg.sequence_method == "bigram_nll":
-        return stats.join(bigram_nll(log, cfg, s), s.case, "left")
+        return with_bigram_nll(cases, cfg)
     if cfg.sequence_method != "protocol_deviation":
         raise ValueError(f"unknown sequence_method {cfg.sequence_method!r}")
     protocol = parse_protocol(cfg.protocol)
     if not protocol:
         raise ValueError("the protocol has no steps")
-    return stats.withColumn("seq_score", protocol_deviation(F.col("trace"), protocol, cfg.protocol_mode))
+    return cases.withColumn("seq_score", protocol_deviation(F.col("trace"), protocol, cfg.protocol_mode))
 
 
-def thresholds(cases: DataFrame, cfg: AnomalyConfig) -> dict[str, float | None]:
+def thresholds(scores: DataFrame, cfg: AnomalyConfig) -> dict[str, float | None]:
     """The median and MAD of wait_value, its quantile and that of seq_score:
-    two selections over a table, of both columns and of the distances from the median."""
-    both = F.array(*[F.struct(F.lit(c).alias("score"), F.col(c).cast("double").alias("value")) for c in ("wait_value", "seq_score")])
+    two selections, of both columns and of the distances from the median."""
+    both = scores.selectExpr("inline(array(struct('wait' AS score, wait_value AS value), struct('sequence' AS score, CAST(seq_score AS DOUBLE) AS value)))")
     wanted = {"median": 0.5, "wait": cfg.wait_quantile, "sequence": cfg.sequence_quantile}
-    found = {r["score"]: r for r in quantiles(cases.select(F.inline(both)), "value", wanted, ["score"], few=True).collect()}
+    found = {r["score"]: r for r in quantiles(both, "value", wanted, ["score"], few=True).collect()}
     if not found:
         return dict.fromkeys(("median", "mad", "wait", "sequence"))
-    wait, sequence = found["wait_value"], found["seq_score"]
-    away = cases.select(F.abs(F.col("wait_value") - F.lit(wait["median"])).alias("away"))
-    mad = quantile(away, "away", 0.5, "mad").first()["mad"]
-    return {"median": wait["median"], "mad": mad, "wait": wait["wait"], "sequence": sequence["sequence"]}
+    median = found["wait"]["median"]
+    mad = quantile(scores.selectExpr(f"abs(wait_value - {median!r}D) AS away"), "away", 0.5, "mad").first()["mad"]
+    return {"median": median, "mad": mad, "wait": found["wait"]["wait"], "sequence": found["sequence"]["sequence"]}
 
 
 def detect(log: DataFrame, cfg: AnomalyConfig = AnomalyConfig(), intervals: DataFrame | None = None, s: LogSchema = LOG) -> DataFrame:
     """One row a case: statistics, scores, flags and reasons.  A flag is given at
     a quantile itself, so at least one case has one.
 
-    Cases with their values are written as a table first; the four numbers that
-    flags need come to the driver from it."""
-    rows = prepare(log, cfg, s)
-    cases = written(sequence_values(rows, wait_values(case_stats(rows, s), cfg, intervals, s), cfg, s), "anomaly-cases")
-    limit = {k: F.lit(v).cast("double") for k, v in thresholds(cases, cfg).items()}
+    Cases with their traces are written as a table first, which is the only
+    exchange of events, and then the two values of each case; vocabulary, counts
+    of pairs and the four numbers that flags need come to the driver from them."""
+    cases = written(wait_values(case_stats(prepare(log, cfg, s), s), cfg, intervals, s), "anomaly-cases")
+    valued = sequence_values(cases, cfg)
+    limits = thresholds(written(valued.select("wait_value", "seq_score"), "anomaly-scores"), cfg)
+    limit = {k: F.lit(v).cast("double") for k, v in limits.items()}
     wait, sequence = F.col("wait_value"), F.col("seq_score")
-    scored = cases.withColumn("wait_score", _z(wait, limit["median"], limit["mad"]))
-    scored = scored.withColumn("wait_flag", (wait >= limit["wait"]) | (F.col("wait_score") >= cfg.wait_z)).withColumn("seq_flag", sequence >= limit["sequence"])
+    scored = valued.withColumn("wait_score", _z(wait, limit["median"], limit["mad"]))
+    scored = scored.withColumns({"wait_flag": (wait >= limit["wait"]) | (F.col("wait_score") >= cfg.wait_z), "seq_flag": sequence >= limit["sequence"]})
     flags = {"long_wait": "wait_flag", "unusual_sequence": "seq_flag"}
     reasons = F.concat_ws(",", *[F.when(F.col(f), F.lit(n)) for n, f in flags.items()])
     return scored.withColumns({

@@ -38,7 +38,7 @@ def edge_performance(log: DataFrame, s: LogSchema = LOG) -> DataFrame:
     """Minutes from one activity to the next, by edge."""
     took = minutes("at", "next_at")
     pairs = _followed(log, s).where("source is not null and target is not null").withColumn("took", took)
-    also = [F.count(F.lit(1)).alias("count"), F.avg("took").alias("mean_min")]
+    also = {"count": "count(1)", "mean_min": "avg(took)"}
     return quantiles(pairs, "took", {"median_min": 0.5, "p90_min": 0.9}, ["source", "target"], also)
 
 

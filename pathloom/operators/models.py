@@ -91,7 +91,7 @@ def split(df: DataFrame, key: str, share: float = 0.25, seed: int = 42, by: str
     that share to within a row.  A value of one row alone is for training."""
     digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 13)
     rows = df.withColumn("hash_", F.conv(digits, 16, 10).cast("double"))  # 52 bits
-    limits = quantiles(rows, "hash_", {"limit_": share}, [by] if by else [], [F.count(F.lit(1)).alias("of_")])
+    limits = quantiles(rows, "hash_", {"limit_": share}, [by] if by else [], {"of_": "count(1)"})
     if by:
         limits = limits.withColumnRenamed(by, "by_")
         rows = rows.join(limits, F.col(by).eqNullSafe(F.col("by_"))).drop("by_")
@@ -177,18 +177,17 @@ def bootstrap_refit(
     shape = df.agg(F.count(F.lit(1)), *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(plain)]).first()
     if shape[0] < least:
         raise ValueError(f"a refit bootstrap needs {least} cases; there are {shape[0]}")
-    groups = range((n_boot + 3) // 4)
-    drawn = F.slice(F.array(*[w for g in groups for w in resampling.weights(seed, F.col(key), F.lit(g))]), 1, n_boot)
+    named = f"`{key}`"
     if model_type == "rf":
         got = [predict(train(df, columns, task, "rf", seed, trees), _profile(df, columns, profile)).first()]
         for b in range(n_boot):
-            weighed = df.withColumn("draw_", resampling.weights(seed, F.col(key), F.lit(b // 4))[b % 4].cast("double")).where("draw_ > 0")
+            weighed = df.withColumn("draw_", F.expr(resampling.weight(seed, named, b)).cast("double")).where("draw_ > 0")
             got.append(predict(train(weighed, columns, task, "rf", seed + b + 1, trees, weight="draw_"), _profile(df, columns, profile)).first())
         values = np.array([r["y_score"] if task == "binary" else r["y_pred"] for r in got])
     else:
         scale = np.array([1.0, *[float(d) if d else 1.0 for d in shape[1:]]])
         x = F.array(F.lit(1.0), *[c / d for c, d in zip(plain, map(float, scale[1:]), strict=True)])
-        every = F.concat(F.array(F.lit(1)), drawn).cast("array<tinyint>")
+        every = F.expr(f"concat(array(1), {resampling.all_weights(seed, named, n_boot)})").cast("array<tinyint>")
         rows = written(df.select(x.alias("x"), F.col("y").cast("double").alias("t"), every.alias("w")), "refit")
         betas = _refit_linear(rows, len(scale), n_boot + 1, task == "binary")
         at = betas @ (np.array([1.0, *[float(profile.get(c, 0.0)) for c in columns]]) / scale)

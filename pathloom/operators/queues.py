@@ -85,11 +85,6 @@ def change_points(intervals: DataFrame) -> DataFrame:
     return _running(_deltas(intervals), "delta")
 
 
-def _points(since: Column, every: int) -> Column:
-    """The number of the first grid point not before a time so many microseconds after the grid's start."""
-    return ((since + F.pmod(-since, F.lit(every))) / every).cast("long")
-
-
 def sampled(intervals: DataFrame, freq: str = "15min", start: str | None = None, end: str | None = None) -> DataFrame:
     """Queue length of each state on a grid from the first change (or ``start``)
     to the last (or ``end``); as-of.
@@ -97,43 +92,49 @@ def sampled(intervals: DataFrame, freq: str = "15min", start: str | None = None,
     A level of a state makes the grid points from its time to the next level's,
     and a state's first level those before it, which are 0, so no point is
     looked up.  Levels are put in order within days, and days within a state."""
-    minute = MINUTES[freq]
-    changes = _deltas(intervals).withColumn("day_", F.to_date("timestamp")).repartition("state", "day_")
-    net = changes.groupBy("state", "day_", "timestamp").agg(F.sum("delta").alias("net"))
-    within = W.partitionBy("state", "day_").orderBy("timestamp")
-    upto = F.sum("net").over(within.rowsBetween(W.unboundedPreceding, W.currentRow))
-    levels = net.select("state", "day_", "timestamp", upto.alias("so_far"), F.lead("timestamp").over(within).alias("next_"))
-    totals = net.groupBy("state", "day_").agg(F.sum("net").alias("of_day"), F.min("timestamp").alias("first_"), F.max("timestamp").alias("last_"))
-    over_days = W.partitionBy("state").orderBy("day_")
-    base = F.coalesce(F.sum("of_day").over(over_days.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    opens = F.lag("day_").over(over_days).isNull()
-    days = totals.select("state", "day_", base.alias("base"), F.lead("first_").over(over_days).alias("next_day"), F.when(opens, F.col("first_")).alias("opens"))
-    at = lambda given, column: F.lit(given).cast("timestamp_ntz") if given else F.col(column)
-    span = totals.agg(F.min("first_").alias("lo"), F.max("last_").alias("hi")).select(at(start, "lo").alias("lo"), at(end, "hi").alias("hi"))
-    known = levels.join(days, ["state", "day_"]).crossJoin(F.broadcast(span))
-    point = lambda c: _points(F.timestamp_diff("MICROSECOND", F.col("lo"), c), minute * 60_000_000)
-    here, following = point(F.col("timestamp")), point(F.coalesce("next_", "next_day"))
-    last = F.floor(F.timestamp_diff("MICROSECOND", F.col("lo"), F.col("hi")) / (minute * 60_000_000))
-    # Grid points a to b with a level; what is outside of the grid is cut off.
-    part = lambda a, b, level: F.struct(F.greatest(a, F.lit(0)).alias("a"), F.least(b, last).alias("b"), level.cast("double").alias("queue_length"))
-    own = part(here, F.coalesce(following - 1, last), F.col("base") + F.col("so_far"))
-    before = F.when(F.col("timestamp") == F.col("opens"), part(F.lit(0).cast("long"), here - 1, F.lit(0)))
-    parts = known.select("state", "lo", F.inline(F.array_compact(F.array(own, before)))).where("a <= b")
-    grid = parts.select("state", "lo", "queue_length", F.explode(F.sequence("a", "b")).alias("i"))
-    return grid.select("state", F.timestamp_add("MINUTE", (F.col("i") * minute).cast("int"), F.col("lo")).alias("timestamp"), "queue_length")
+    epoch, minute = "timestamp_ntz'1970-01-01 00:00:00'", MINUTES[freq]
+    step = minute * 60_000_000
+    micros = lambda t: f"timestampdiff(MICROSECOND, {epoch}, {t})"
+    ends = f"inline(array(struct({micros('start_time')} AS at, 1 AS delta), struct({micros('end_time')} AS at, -1 AS delta)))"
+    changes = intervals.where("state IS NOT NULL").selectExpr("state", ends).where("at IS NOT NULL").selectExpr("*", "floor(at / 86400000000) AS day_").where("day_ IS NOT NULL")
+    # Nulls went before the exchange, and the span asks for deltas too: so all uses of the exchange are one.
+    net = changes.repartition("state", "day_").groupBy("state", "day_", "at").agg(F.sum("delta").alias("net"))
+    in_day, by_day = "PARTITION BY state, day_ ORDER BY at", "PARTITION BY state ORDER BY day_"
+    levels = net.selectExpr("state", "day_", "at", f"sum(net) OVER ({in_day} ROWS UNBOUNDED PRECEDING) AS so_far", f"lead(at) OVER ({in_day}) AS next_at")
+    totals = net.groupBy("state", "day_").agg(F.sum("net").alias("of_day"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    days = totals.selectExpr(
+        "state", "day_",
+        f"coalesce(sum(of_day) OVER ({by_day} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base",
+        f"lead(first_at) OVER ({by_day}) AS next_day",
+        f"if(lag(day_) OVER ({by_day}) IS NULL, first_at, NULL) AS opens",
+    )
+    edge = lambda given, found: micros(f"CAST('{given}' AS TIMESTAMP_NTZ)") if given else f"{found}(if(of_day IS NOT NULL, {found}_at, NULL))"
+    low, high = edge(start, "first").replace("first(", "min("), edge(end, "last").replace("last(", "max(")
+    span = totals.selectExpr(f"{low} AS lo", f"{high} AS hi") if not (start and end) else totals.limit(1).selectExpr(f"{low} AS lo", f"{high} AS hi")
+    # The number of the first grid point that isn't before a time.
+    point = lambda t: f"-floor((lo - {t}) / {step}D)"
+    known = levels.join(days, ["state", "day_"]).crossJoin(F.broadcast(span)).selectExpr(
+        "state", "lo", "base + so_far AS level", "at = opens AS opening", f"{point('at')} AS a", f"{point('coalesce(next_at, next_day)')} AS b", f"floor((hi - lo) / {step}D) AS most"
+    )
+    # Points a to b, as far as the grid goes, at a level.
+    own = "struct(greatest(a, 0L) AS a, least(coalesce(b - 1, most), most) AS b, CAST(level AS DOUBLE) AS queue_length)"
+    before = "struct(0L AS a, least(a - 1, most) AS b, 0.0D AS queue_length)"
+    parts = known.selectExpr("state", "lo", f"inline(if(opening, array({before}, {own}), array({own})))").where("a <= b")
+    grid = parts.selectExpr("state", "lo", "queue_length", "explode(sequence(a, b)) AS i")
+    return grid.selectExpr("state", f"timestampadd(MICROSECOND, lo + i * {step}, {epoch}) AS timestamp", "queue_length")
 
 
 def wait_summary(intervals: DataFrame, by: str = "state", duration: str = "duration_minutes") -> DataFrame:
     """Count, mean, exact quantiles and maximum; null groups stay."""
     wanted = {"median_min": 0.5, "p75_min": 0.75, "p90_min": 0.9, "p95_min": 0.95}
-    also = [F.count(duration).alias("n_intervals"), F.avg(duration).alias("mean_min"), F.max(duration).alias("max_min")]
+    also = {"n_intervals": f"count(`{duration}`)", "mean_min": f"avg(`{duration}`)", "max_min": f"max(`{duration}`)"}
     return quantiles(intervals, duration, wanted, [by], also).select(by, "n_intervals", "mean_min", *wanted, "max_min")
 
 
 def box_stats(intervals: DataFrame, by: str = "state", duration: str = "duration_minutes") -> DataFrame:
     """Five numbers, the spread and the fences of a box plot."""
     wanted = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    out = quantiles(intervals, duration, wanted, [by], [F.min(duration).alias("min"), F.max(duration).alias("max")])
+    out = quantiles(intervals, duration, wanted, [by], {"min": f"min(`{duration}`)", "max": f"max(`{duration}`)"})
     iqr: Column = F.col("q3") - F.col("q1")
     out = out.select(by, "min", *wanted, "max").withColumn("iqr", iqr)
     return out.withColumn("low_fence", F.col("q1") - 1.5 * iqr).withColumn("high_fence", F.col("q3") + 1.5 * iqr)

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions.portable import uniform
-from pathloom.functions.ranks import quantiles
+from pathloom.functions.ranks import numbers, quantiles
 from pathloom.operators.features import first_known
 from pathloom.schema import LOG, LogSchema, minutes
 
@@ -93,22 +93,21 @@ def transition_dataset(log: DataFrame, start: str, end: str, covariates: tuple[s
     return out.select(s.case, took.alias("duration_min"), F.col("t1").isNotNull().cast("int").alias("observed"), *covariates)
 
 
-def _sums(grid: Grid) -> Column:
-    """d, sum_log and the sums of powers, as one struct of aggregates."""
-    t = F.col("duration_min")
-    logs = F.coalesce(F.sum(F.when(F.col("observed") == 1, F.ln(t))), F.lit(0.0))
-    powers = F.array(*[F.sum(F.pow(t, F.lit(k))) for k in _kappas(grid)])
-    return F.struct(F.sum(F.col("observed").cast("long")).alias("d"), logs.alias("sum_log"), powers.alias("powers"))
+def _sums(grid: Grid) -> str:
+    """d, sum_log and the sums of powers, as one struct of aggregates, in SQL."""
+    logs = "coalesce(sum(CASE WHEN observed = 1 THEN ln(duration_min) END), 0.0D)"
+    powers = ", ".join(f"sum(power(duration_min, {k!r}D))" for k in _kappas(grid))
+    return f"named_struct('d', sum(CAST(observed AS BIGINT)), 'sum_log', {logs}, 'powers', array({powers}))"
 
 
 def _by_shape(grid: Grid) -> Column:
     """kappa, s_kappa: a row a shape, of the sums."""
-    return F.inline(F.arrays_zip(F.array(*[F.lit(k) for k in _kappas(grid)]).alias("kappa"), F.col("sums.powers").alias("s_kappa")))
+    return F.expr(f"inline(arrays_zip({numbers(_kappas(grid))}, sums.powers))")
 
 
 def sufficient_statistics(data: DataFrame, grid: Grid = Grid()) -> DataFrame:
     """kappa, d, sum_log, s_kappa for each shape; one aggregation."""
-    one = data.agg(_sums(grid).alias("sums"))
+    one = data.agg(F.expr(_sums(grid)).alias("sums"))
     return one.select("sums.d", "sums.sum_log", _by_shape(grid).alias("kappa", "s_kappa")).select("kappa", "d", "sum_log", "s_kappa")
 
 
@@ -120,7 +119,7 @@ def posterior(data: DataFrame, grid: Grid = Grid(), priors: Priors = Priors()) -
     """mu, kappa, weight over the grid, which lies around the log of the median."""
     step = 2 * grid.mu_reach / (grid.mus - 1)
     offsets = F.transform(F.sequence(F.lit(0), F.lit(grid.mus - 1)), lambda i: i * F.lit(step) - F.lit(grid.mu_reach))
-    one = quantiles(data, "duration_min", {"median": 0.5}, also=[_sums(grid).alias("sums")])
+    one = quantiles(data, "duration_min", {"median": 0.5}, also={"sums": _sums(grid)})
     shapes = one.select("sums.d", "sums.sum_log", F.ln("median").alias("m0"), _by_shape(grid).alias("kappa", "s_kappa"))
     points = shapes.select("*", F.explode(offsets).alias("offset"))
     k, mu = F.col("kappa"), F.col("m0") + F.col("offset")
