@@ -8,16 +8,20 @@ table over a grid of (mu, kappa), exact up to the grid and repeatable."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions.portable import uniform
-from pathloom.functions.ranks import numbers, quantiles
+from pathloom.functions.ranks import numbers, quantile, quantiles
 from pathloom.operators.features import first_known
 from pathloom.schema import LOG, LogSchema, minutes
+from pathloom.sources.tables import written
 
 #: The transitions between stages that are offered, and their service levels in minutes.
 TRANSITIONS = {
@@ -33,6 +37,8 @@ SERVICE_LEVELS = {
     "assessment_to_discharge": (60, 120, 240),
 }
 LEAST_MINUTES = 1e-6
+#: Proposals whose densities one pass works out.
+PROPOSALS = 2000
 LEAST_CASES = 10
 
 
@@ -260,53 +266,108 @@ def simulate(
     )
 
 
+def _passes(cells: DataFrame, covariates: list[str], thetas: np.ndarray, derivatives: bool = False) -> np.ndarray:
+    """Sums over all cells, a row of numbers for each of ``thetas`` (mu, log
+    kappa, beta...): the log-likelihood and, if asked for, its gradient and
+    Hessian.  Each task adds up its cells in batches and sends one number for
+    each sum."""
+    p, k = thetas.shape[1], len(covariates)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(thetas), 1 + (p + p * p) * derivatives))
+        for batch in batches:
+            t, n, event = np.log(batch["duration_min"].to_numpy()), batch["n"].to_numpy(float), batch["observed"].to_numpy(float)
+            x = batch[covariates].fillna(0.0).to_numpy(float) if k else np.zeros((len(t), 0))
+            for row, (mu, eta, *beta) in zip(sums, thetas, strict=True):
+                shape = np.exp(eta)
+                z = np.clip(shape * (t - mu - x @ np.array(beta)), -700, 700)
+                e = np.exp(z)
+                row[0] += (n * (event * (eta + z - t) - e)).sum()
+                if derivatives:
+                    away = np.column_stack([np.full(len(t), -shape), z, -shape * x])  # of z
+                    r = event - e
+                    g = away * r[:, None]
+                    g[:, 1] += event
+                    h = -(away * (n * e)[:, None]).T @ away
+                    bend = (away * (n * r)[:, None]).sum(axis=0)  # of z twice, where log kappa is one
+                    h[1] += bend
+                    h[:, 1] += bend
+                    h[1, 1] -= bend[1]
+                    row[1:] += np.concatenate([n @ g, h.ravel()])
+        yield pd.DataFrame({"m": np.repeat(np.arange(len(sums)), sums.shape[1]), "i": np.tile(np.arange(sums.shape[1]), len(sums)), "v": sums.ravel()})
+
+    found = cells.mapInPandas(add, "m int, i int, v double").groupBy("m", "i").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros((len(thetas), 1 + (p + p * p) * derivatives))
+    out[found["m"], found["i"]] = found["v"]
+    return out
+
+
+def _log_prior(theta: np.ndarray, centre: float, priors: Priors) -> np.ndarray:
+    """Of (mu, log kappa, beta...), with the Jacobian of log kappa; a row a theta."""
+    mu, eta, beta = theta[:, 0], theta[:, 1], theta[:, 2:]
+    if priors.kappa_gamma is None:
+        shape = -priors.sigma_rate * np.exp(-eta) - eta
+    else:
+        shape = priors.kappa_gamma[0] * eta - priors.kappa_gamma[1] * np.exp(eta)
+    middle = centre if priors.mu_mean is None else priors.mu_mean
+    return -((mu - middle) ** 2) / (2 * priors.mu_sd**2) + shape - (beta**2).sum(axis=1) / (2 * priors.beta_sd**2)
+
+
+def _prior_slopes(theta: np.ndarray, centre: float, priors: Priors) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and (diagonal) Hessian of the log prior."""
+    eta = theta[1]
+    middle = centre if priors.mu_mean is None else priors.mu_mean
+    g, h = -theta / priors.beta_sd**2, np.full(len(theta), -1 / priors.beta_sd**2)
+    g[0], h[0] = -(theta[0] - middle) / priors.mu_sd**2, -1 / priors.mu_sd**2
+    if priors.kappa_gamma is None:
+        g[1], h[1] = priors.sigma_rate * np.exp(-eta) - 1, -priors.sigma_rate * np.exp(-eta)
+    else:
+        g[1], h[1] = priors.kappa_gamma[0] - priors.kappa_gamma[1] * np.exp(eta), -priors.kappa_gamma[1] * np.exp(eta)
+    return g, h
+
+
 def posterior_with_covariates(
     data: DataFrame, covariates: list[str], draws: int = 400, tune: int = 400, chains: int = 2, seed: int = 42, priors: Priors = Priors()
 ) -> DataFrame:
-    """chain, draw, mu, kappa, beta_*: random-walk Metropolis.  The data are
-    grouped by covariate values first, so a chain's task holds a row for each
-    distinct (duration, covariates), not the log."""
-    import numpy as np
-    import pandas as pd
-
-    cells = data.groupBy("duration_min", "observed", *covariates).agg(F.count(F.lit(1)).alias("n"))
-    copies = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"))
-    names = ["mu", "kappa", *[f"beta_{c}" for c in covariates]]
-
-    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed + int(pdf["chain"].iloc[0]))
-        pdf = pdf.sort_values(["duration_min", "observed", *covariates])
-        t, n, event = np.log(pdf["duration_min"].to_numpy()), pdf["n"].to_numpy(), pdf["observed"].to_numpy()
-        x = pdf[covariates].fillna(0.0).to_numpy(float)
-        centre = float(np.median(np.repeat(t, n)))
-
-        def density(v: np.ndarray) -> float:
-            k, place = np.exp(v[1]), v[0] + x @ v[2:]
-            z = np.clip(k * (t - place), -700, 700)
-            like = (n * (event * (v[1] + z - t) - np.exp(z))).sum()
-            # Of log kappa, which is what moves: each density with its Jacobian.
-            shape = -priors.sigma_rate / k - v[1]
-            if priors.kappa_gamma is not None:
-                shape = priors.kappa_gamma[0] * v[1] - priors.kappa_gamma[1] * k
-            middle = centre if priors.mu_mean is None else priors.mu_mean
-            return float(like - (v[0] - middle) ** 2 / (2 * priors.mu_sd**2) + shape - (v[2:] ** 2).sum() / (2 * priors.beta_sd**2))
-
-        v = np.concatenate([[centre, 0.0], np.zeros(x.shape[1])])
-        now, width, out, taken = density(v), np.full(len(v), 0.1), [], 0
+    """chain, draw, mu, kappa, beta_*: independence Metropolis around the mode.
+
+    Newton steps find the mode, each a pass over the data that sums gradient and
+    Hessian (and one that tries several step lengths at once).  All proposals of
+    all chains are then drawn from a t distribution there, and one more pass
+    gives their densities; accepting or not needs those numbers alone.  ``tune``
+    proposals of each chain come before its draws.  No task holds the data."""
+    counted = data.groupBy("duration_min", "observed", *covariates).agg(F.count(F.lit(1)).alias("n"))
+    cells = written(counted, "weibull-cells")
+    middle = quantile(data, "duration_min", 0.5, "m").first()["m"]
+    if middle is None:
+        raise ValueError("there are no durations")
+    centre, theta, lengths = float(np.log(middle)), np.zeros(2 + len(covariates)), 0.5 ** np.arange(8)
+    theta[0], p = centre, 2 + len(covariates)
+    for _ in range(50):
+        sums = _passes(cells, covariates, theta[None], True)[0]
+        slope, bend = _prior_slopes(theta, centre, priors)
+        g, h = sums[1 : 1 + p] + slope, sums[1 + p :].reshape(p, p) + np.diag(bend)
+        values, vectors = np.linalg.eigh(-h)
+        move = vectors @ ((vectors.T @ g) / np.maximum(np.abs(values), 1e-9))  # uphill, whatever the Hessian's signs
+        tried = theta + lengths[:, None] * move
+        heights = _passes(cells, covariates, tried)[:, 0] + _log_prior(tried, centre, priors)
+        theta = tried[int(np.argmax(heights))]
+        if np.abs(move).max() < 1e-6:
+            break
+    rng, freedom = np.random.default_rng(seed), 5.0
+    root = vectors / np.sqrt(np.maximum(np.abs(values), 1e-9))
+    size = chains * (tune + draws)
+    noise = rng.normal(size=(size, p)) / np.sqrt(rng.chisquare(freedom, size=(size, 1)) / freedom)
+    proposed = theta + noise @ root.T
+    density = np.concatenate([_passes(cells, covariates, some)[:, 0] for some in np.array_split(proposed, -(-size // PROPOSALS))])
+    weight = density + _log_prior(proposed, centre, priors) + (freedom + p) / 2 * np.log1p((noise**2).sum(axis=1) / freedom)
+    dice, out = np.log(rng.uniform(size=size)), []
+    for chain in range(chains):
+        at = chain * (tune + draws)
         for i in range(tune + draws):
-            new = v + rng.normal(size=len(v)) * width
-            p = density(new)
-            if np.log(rng.uniform()) < p - now:
-                v, now, taken = new, p, taken + 1
-            if i < tune and i % 50 == 49:
-                width, taken = width * (1.5 if taken > 15 else 0.6), 0
+            j = chain * (tune + draws) + i
+            at = j if dice[j] < weight[j] - weight[at] else at
             if i >= tune:
-                out.append([v[0], np.exp(v[1]), *v[2:]])
-        frame = pd.DataFrame(out, columns=names)
-        frame.insert(0, "draw", range(len(out)))
-        frame.insert(0, "chain", int(pdf["chain"].iloc[0]))
-        return frame
-
-    schema = "chain int, draw int, " + ", ".join(f"`{c}` double" for c in names)
-    return copies.groupBy("chain").applyInPandas(sample, schema)
-
+                out.append((chain, i - tune, float(proposed[at, 0]), float(np.exp(proposed[at, 1])), *map(float, proposed[at, 2:])))
+    names = ["mu", "kappa", *[f"beta_{c}" for c in covariates]]
+    return data.sparkSession.createDataFrame(out, "chain int, draw int, " + ", ".join(f"`{c}` double" for c in names))
