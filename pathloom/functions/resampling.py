@@ -86,7 +86,7 @@ def bootstrap_cis(values: DataFrame, column: str, key: Sequence[str], statistics
     estimates = quantiles(known, "x", {s: QUANTILES[s] for s in qs}, also={"mean": "avg(x)"}) if qs else known.selectExpr("avg(x) AS mean")
     marked = known.selectExpr("x", "k", "CAST(NULL AS DOUBLE) AS v", "true AS gap")
     if qs:
-        around = known.selectExpr("count(x) AS n", f"percentile_approx(x, {evenly(GRID)}, {5 * GRID}) AS grid")
+        around = known.selectExpr("nullif(count(x), 0) AS n", f"percentile_approx(x, {evenly(GRID)}, {5 * GRID}) AS grid")
         cuts = []
         for s in qs:
             q = QUANTILES[s]

@@ -32,6 +32,8 @@ class Trained:
 
 #: Levels of a tree at most: what Spark's forests allow.  Trees end where nodes are pure or small, as a rule far above.
 DEPTH = 30
+#: Values of a feature that trees tell apart.
+BINS = 256
 
 
 def _weighted(df: DataFrame, weight: str | None) -> DataFrame:
@@ -61,12 +63,12 @@ def train(
         model = LogisticRegression(labelCol="y", maxIter=2000, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False)
     elif task == "binary" and model_type == "rf":
         rows = _weighted(rows, weight)
-        model = RandomForestClassifier(labelCol="y", numTrees=trees or 300, maxDepth=depth, weightCol="weight_", seed=seed, maxMemoryInMB=512)
+        model = RandomForestClassifier(labelCol="y", numTrees=trees or 300, maxDepth=depth, weightCol="weight_", seed=seed, maxBins=BINS, maxMemoryInMB=512)
     elif task == "regression" and model_type == "logreg":
         penalty = max(spread, 1e-12) / max(n, 1)
         model = LinearRegression(labelCol="y", regParam=penalty, elasticNetParam=0.0, standardization=False, solver="normal")
     elif task == "regression" and model_type == "rf":
-        model = RandomForestRegressor(labelCol="y", numTrees=trees or 500, maxDepth=depth, featureSubsetStrategy="all", seed=seed, maxMemoryInMB=512)
+        model = RandomForestRegressor(labelCol="y", numTrees=trees or 500, maxDepth=depth, featureSubsetStrategy="all", seed=seed, maxBins=BINS, maxMemoryInMB=512)
         model = model.setWeightCol(weight) if weight else model
     else:
         raise ValueError(f"unknown task or model: {task!r}, {model_type!r}")
