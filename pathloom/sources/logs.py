@@ -134,7 +134,7 @@ def build_event_log(
     if errors not in ("coerce", "raise"):
         raise ValueError("errors is 'coerce' or 'raise'")
     if errors == "raise" and (bad := bad_timestamps(df, mapping.timestamp, dayfirst, utc)):
-        raise ValueError(f"values of {mapping.timestamp} that aren't timestamps: {bad}")
+        raise ValueError(f"not a timestamp, in {mapping.timestamp}: {bad}")
     standard = {k: (standard_names or {}).get(k, k) for k in STANDARD[:4]}
     names = named if keep_original_names else list(standard.values())[: len(named)]
     parsed = [F.col(c) if c != mapping.timestamp else parse_timestamp(F.col(c), dayfirst, utc=utc) for c in named]

@@ -147,7 +147,7 @@ def test_settings_are_checked(spark):
 def test_csv_round_trip_and_mapping(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", "2024-01-01 10:00:00"), (2, "b", "not a time")], "id int, what string, at string")
     back = logs.read_csv(spark, logs.write_csv(rows, str(tmp_path / "x")))
-    log_, meta = logs.build_event_log(back, logs.ColumnMapping("id", "what", "at", attributes=("what",)))
+    log_, meta = logs.build_event_log(back, logs.ColumnMapping("id", "what", "at", attributes=("what",)), errors="coerce")
     assert [r.activity for r in log_.collect()] == ["a"] and meta["attributes"] == []
     assert logs.mapping_template(back)["available_columns"] == ["id", "what", "at"]
     assert logs.preview(back, 1).count() == 1
