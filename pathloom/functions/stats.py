@@ -63,15 +63,6 @@ def average_precision(df: DataFrame, truth: str = "y_true", score: str = "y_scor
     return above.agg((F.sum(gain) / F.nullif(F.sum("pos"), F.lit(0.0))).alias("avg_precision"))
 
 
-def curves(df: DataFrame, truth: str = "y_true", score: str = "y_score") -> DataFrame:
-    """score, fpr, tpr, precision at each distinct score as the threshold."""
-    levels = running(_by_score(df, truth, score), "score", {"tp": "pos", "fp": "neg"}, descending=True)
-    totals = levels.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    both = levels.crossJoin(F.broadcast(totals))
-    over = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0.0))
-    return both.select("score", over("fp", "n").alias("fpr"), over("tp", "p").alias("tpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
-
-
 def regression_metrics(df: DataFrame, truth: str = "y_true", predicted: str = "y_pred") -> DataFrame:
     y, e = F.col(truth).cast("double"), F.col(truth).cast("double") - F.col(predicted).cast("double")
     return df.agg(

@@ -193,13 +193,15 @@ def scenario(times: DataFrame, multiplier: float) -> DataFrame:
 def summarize(simulated: DataFrame, quantiles: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95), levels: tuple[int, ...] = (30, 60, 120)) -> DataFrame:
     """One row: mean, median, quantiles and shares within service levels, of
     both scenarios."""
-    out: list[Column] = [F.count(F.lit(1)).alias("n_mc_times")]
+    asked, out = ", ".join(f"{q!r}D" for q in (0.5, *quantiles)), ["n_mc_times"]
+    sums = ["count(1) AS n_mc_times"]
     for name in ("baseline", "capacity"):
-        t = F.col(f"t_{name}")
-        out += [F.avg(t).alias(f"{name}_mean"), F.percentile(t, 0.5).alias(f"{name}_median")]
-        out += [F.percentile(t, q).alias(f"{name}_q{round(q * 100):02d}") for q in quantiles]
-        out += [F.avg((t <= x).cast("double")).alias(f"{name}_p_le_{x}m") for x in levels]
-    return simulated.agg(*out)
+        t = f"t_{name}"
+        sums += [f"avg({t}) AS {name}_mean", f"percentile({t}, array({asked})) AS {name}_q"]  # of n draws
+        sums += [f"avg(CAST({t} <= {x} AS DOUBLE)) AS {name}_p_le_{x}m" for x in levels]
+        out += [f"{name}_mean", f"{name}_q[0] AS {name}_median", *[f"{name}_q[{i}] AS {name}_q{round(q * 100):02d}" for i, q in enumerate(quantiles, 1)]]
+        out += [f"{name}_p_le_{x}m" for x in levels]
+    return simulated.selectExpr(*sums).selectExpr(*out)
 
 
 def _long(simulated: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import ranks, resampling, stats
@@ -11,6 +12,7 @@ from pathloom.plans import basics, views
 from pathloom.plans.basics import PROTOCOL, STEPS, _rounded, stages
 from pathloom.plans.views import with_views
 from pathloom.sources import logs
+from pathloom.sources.tables import shared
 
 CANON = canonical.CanonicalConfig(terminal_steps=("purchase",))
 GRID = simulate.Grid(kappa_low=0.3, kappa_step=0.1, kappas=30, mu_reach=3.0, mus=61)
@@ -63,6 +65,18 @@ def queue_pipeline(spark, sf):
     return _rounded(queues.run_queue_mining(views.log_dirty(spark, sf), cfg, None, CANON)["summary"], *WAITS, places=4)
 
 
+def queue_summary_sorted(spark, sf):
+    """The summary in its order, a row a state."""
+    found = queues.run_queue_mining(views.log(spark, sf), freq=None)["summary"]
+    return _rounded(found.withColumn("place", F.row_number().over(W.orderBy(F.desc("mean_min"))).cast("long")), *WAITS, places=4)
+
+
+def csv_export(spark, sf):
+    """The summary, written as one CSV file to the shared folder and read back."""
+    found = _rounded(queues.wait_summary(intervals(spark, sf)), *WAITS, places=4)
+    return logs.read_csv(spark, logs.write_csv(found, shared(spark, "summary"), single=True)).withColumn("n_intervals", F.col("n_intervals").cast("long"))
+
+
 CANON_SQL = basics.canon_sql(terminal=basics.TERMINAL, ranks="CASE activity WHEN 'purchase' THEN 100 ELSE 50 END")
 
 
@@ -128,6 +142,14 @@ def _protocol(mode):
     return _scores(anomaly.AnomalyConfig(sequence_method="protocol_deviation", protocol=PROTOCOL, protocol_mode=mode), "seq_score", "seq_flag")
 
 
+def anomaly_by_severity(spark, sf):
+    cfg = anomaly.AnomalyConfig(sequence_method="protocol_deviation", protocol=PROTOCOL, protocol_mode="exact")
+    first = anomaly.by_severity(anomaly.detect(views.log_day(spark, sf), cfg)).limit(50)
+    keys = ("red_flag", "combined_score", "case_total_minutes", "trace_length")
+    place = F.row_number().over(W.orderBy(*[F.desc(k) for k in keys], "case_id")).cast("long")  # of 50 rows
+    return _rounded(first.select(place.alias("place"), "case_id", "red_flag", "combined_score"), "combined_score")
+
+
 def robust_zscore(spark, sf):
     return _rounded(anomaly.robust_z(views.log(spark, sf).select("_seq", "value"), "value"), "z").select("_seq", "z")
 
@@ -220,26 +242,43 @@ def poisson_sql(digits: str) -> str:
     return " + ".join(f"CAST({digits} >= '{t}' AS INT)" for t in resampling.thresholds())
 
 
-def bootstrap_sql(statistic: str) -> str:
-    """Draws of Poisson weights; a value counts as often as its weight says."""
-    f = {"mean": "avg({})", "median": "quantile_cont({}, 0.5)", "p90": "quantile_cont({}, 0.9)"}[statistic]
-    return with_views("log", f"""+ v AS (SELECT case_id, date_diff('microsecond', min(timestamp), max(timestamp)) / 6e7 AS value FROM log GROUP BY case_id),
-      dr AS (SELECT value, b, substr(md5('42|' || b // 4 || '|' || case_id), 8 * (b % 4)::INT + 1, 8) AS h FROM v, range(100) AS t(b)),
+_STATISTICS = {"mean": "avg({})", "median": "quantile_cont({}, 0.5)", "p90": "quantile_cont({}, 0.9)"}
+
+
+def draws_sql(n_boot: int) -> str:
+    """Up to ``bs``, the statistics of each draw of Poisson weights; a value
+    counts as often as its weight says."""
+    each = ", ".join(f"{f.format('value')} AS {n}" for n, f in _STATISTICS.items())
+    return f"""+ v AS (SELECT case_id, date_diff('microsecond', min(timestamp), max(timestamp)) / 6e7 AS value FROM log GROUP BY case_id),
+      dr AS (SELECT value, b, substr(md5('42|' || b // 4 || '|' || case_id), 8 * (b % 4)::INT + 1, 8) AS h FROM v, range({n_boot}) AS t(b)),
       ws AS (SELECT value, b, {poisson_sql("h")} AS w FROM dr),
-      bs AS (SELECT b, {f.format('value')} AS s FROM (SELECT value, b, unnest(range(w)) FROM ws) GROUP BY b)
-      SELECT (SELECT round({f.format('value')}, 4) FROM v) AS estimate, round(quantile_cont(s, 0.025), 4) AS ci_low, round(quantile_cont(s, 0.975), 4) AS ci_high FROM bs""")
+      bs AS (SELECT b, {each} FROM (SELECT value, b, unnest(range(w)) FROM ws) GROUP BY b)"""
+
+
+def bootstrap_sql(statistic: str) -> str:
+    f = _STATISTICS[statistic].format("value")
+    return with_views("log", draws_sql(100) + f"""
+      SELECT (SELECT round({f}, 4) FROM v) AS estimate, round(quantile_cont({statistic}, 0.025), 4) AS ci_low, round(quantile_cont({statistic}, 0.975), 4) AS ci_high FROM bs""")
 
 
 def target_summary_binary(spark, sf):
     rows = features.keyword_target(views.dispositions(spark, sf), "disposition_desc", features.ADMISSION)
-    out = features.target_summary(rows, "prob_admission", "binary")
-    return _rounded(out.select("target", "n_cases", "rate", F.col("rate_ci_low").alias("rate_low"), F.col("rate_ci_high").alias("rate_high")), "rate", "rate_low", "rate_high")
+    return _all_rounded(features.target_summary(rows, "prob_admission", "binary"))
 
 
 def target_summary_regression(spark, sf):
-    out = features.target_summary(minutes_by_case(spark, sf), "minutes", "regression", order=["case_id"], n_boot=100)
-    shown = {c: c.replace("_ci", "") for c in out.columns if c.startswith(("mean", "median", "p90"))}
-    return _rounded(out.select("target", "n_cases", *shown).withColumnsRenamed(shown), *shown.values(), places=4)
+    return _all_rounded(features.target_summary(minutes_by_case(spark, sf), "minutes", "regression", order=["case_id"]), 4)
+
+
+def _absent(*names: str) -> str:
+    return ", ".join(f"CAST(NULL AS DOUBLE) AS {n}{ci}" for n in names for ci in ("", "_ci_low", "_ci_high"))
+
+
+def split_stratified(spark, sf):
+    """Users, whether they buy more than twelve times, and whether they're for the test."""
+    rows = dataset(spark, sf).select("case_id", "y")
+    train, test = models.split(rows, "case_id", by="y")
+    return train.withColumn("test", F.lit(False)).unionByName(test.withColumn("test", F.lit(True)))
 
 
 def historical_baselines(spark, sf):
@@ -352,6 +391,12 @@ QUERIES = {
     "wait_summary_by_covariate": lambda s, d: _rounded(queues.wait_summary(intervals(s, d, view=views.log_dirty), "covariate_value"), *WAITS, places=4),
     "interval_duration_filter": lambda s, d: _rounded(logs.filter_duration(intervals(s, d), 60, 600).select("case_id", "state", "start_time", "duration_minutes"), "duration_minutes", places=4),
     "queue_pipeline": queue_pipeline,
+    "queue_sampled_hours": lambda s, d: queues.sampled(intervals(s, d), "1h", "2023-12-31 12:30:00", "2024-01-20 12:00:00"),
+    "queue_summary_sorted": queue_summary_sorted,
+    "csv_export": csv_export,
+    "file_order": lambda s, d: logs.file_order(views.table(s, d, "events")).select("event_id", "_seq"),
+    "anomaly_by_severity": anomaly_by_severity,
+    "split_stratified": split_stratified,
     "wait_box_stats": lambda s, d: _all_rounded(queues.box_stats(intervals(s, d)), 4),
     "case_stats": case_stats,
     "cutoff_minutes": lambda s, d: anomaly.cut(views.log(s, d), "minutes_since_first_event", 2880).select("case_id", "_seq"),
@@ -462,9 +507,20 @@ ORACLES = {
     "wilson_ci": """WITH x AS (SELECT event_type AS activity, count(*) FILTER (value > 50) AS k, count(*) AS n, count(*) FILTER (value > 50) / count(*)::DOUBLE AS p, 1.959963984540054::DOUBLE AS z FROM events GROUP BY 1)
       SELECT activity, k, n, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 6) AS ci_low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 6) AS ci_high FROM x""",
     **{f"bootstrap_ci_{n}": bootstrap_sql(n) for n in ("mean", "median", "p90")},
-    "target_summary_binary": with_views("outcome", """+ x AS (SELECT count(*) AS n, avg(CAST(regexp_matches(lower(disposition_desc), 'admit|admission|inpatient') AS INT)) AS p, 1.959963984540054::DOUBLE AS z FROM outcome WHERE disposition_desc IS NOT NULL)
-      SELECT 'prob_admission' AS target, n AS n_cases, round(p, 6) AS rate, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 6) AS rate_low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 6) AS rate_high FROM x"""),
-    "target_summary_regression": "SELECT 'minutes' AS target, (SELECT count(DISTINCT user_id) FROM events) AS n_cases, " + ", ".join(f"{n}.estimate AS {n}, {n}.ci_low AS {n}_low, {n}.ci_high AS {n}_high" for n in ("mean", "median", "p90")) + " FROM " + ", ".join(f"({bootstrap_sql(n)}) {n}" for n in ("mean", "median", "p90")),
+    "target_summary_binary": with_views("outcome", f"""+ x AS (SELECT count(*) AS n, avg(CAST(regexp_matches(lower(disposition_desc), 'admit|admission|inpatient') AS INT)) AS p, 1.959963984540054::DOUBLE AS z FROM outcome WHERE disposition_desc IS NOT NULL)
+      SELECT 'prob_admission' AS target, n AS n_cases, round(p, 6) AS rate, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 6) AS rate_ci_low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 6) AS rate_ci_high,
+        {_absent("mean", "median", "p90")} FROM x"""),
+    "target_summary_regression": with_views("log", draws_sql(2000) + f" SELECT 'minutes' AS target, (SELECT count(*) FROM v) AS n_cases, {_absent('rate')}, "
+      + ", ".join(f"(SELECT round({f.format('value')}, 4) FROM v) AS {n}, round(quantile_cont({n}, 0.025), 4) AS {n}_ci_low, round(quantile_cont({n}, 0.975), 4) AS {n}_ci_high" for n, f in _STATISTICS.items()) + " FROM bs"),
+    "split_stratified": with_views("log", """+ y AS (SELECT case_id, CAST(count(*) FILTER (activity = 'error') > 12 AS INT) AS y FROM log GROUP BY case_id),
+      h AS (SELECT *, CAST(('0x' || substr(md5('42|' || case_id), 1, 13))::BIGINT AS DOUBLE) AS h FROM y),
+      q AS (SELECT y, quantile_cont(h, 0.25) AS t, count(*) AS n FROM h GROUP BY y) SELECT case_id, h.y, h <= t AND n > 1 AS test FROM h JOIN q USING (y)"""),
+    "queue_sampled_hours": with_views("log", interval_sql() + SAMPLED.replace("(SELECT min(timestamp) FROM ch), (SELECT max(timestamp) FROM ch), INTERVAL 15 MINUTE", "TIMESTAMP '2023-12-31 12:30:00', TIMESTAMP '2024-01-20 12:00:00', INTERVAL 1 HOUR")),
+    "queue_summary_sorted": with_views("log", interval_sql() + summary_sql("state").replace("SELECT state,", "SELECT row_number() OVER (ORDER BY avg(duration_minutes) DESC) AS place, state,")),
+    "csv_export": with_views("log", interval_sql() + summary_sql("state")),
+    "file_order": "SELECT event_id, row_number() OVER () - 1 AS _seq FROM events",
+    "anomaly_by_severity": with_views("day", STATS + scores_sql(sequence=protocol_sql("exact")) + """, sv AS (SELECT row_number() OVER (ORDER BY wait_flag OR seq_flag DESC, wait_score + seq_score DESC, case_total_minutes DESC, trace_length DESC, case_id) AS place,
+      case_id, wait_flag OR seq_flag AS red_flag, round(wait_score + seq_score, 6) AS combined_score FROM de) SELECT * FROM sv WHERE place <= 50"""),
     "historical_baselines": with_views("day outcome disposed", """+ n AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY timestamp, _seq) AS no FROM disposed),
       x AS (SELECT case_id, date_diff('microsecond', max(timestamp) FILTER (no = 1), min(timestamp) FILTER (activity = 'purchase')) / 6e7 AS y, lower(any_value(disposition_desc)) AS d FROM n GROUP BY 1)
       SELECT round(avg(CAST(regexp_matches(d, 'admit|admission|inpatient') AS INT)), 6) AS admission_rate, round(avg(CAST(regexp_matches(d, 'lwbs|left without being seen|left after triage') AS INT)), 6) AS lwbs_rate,
