@@ -44,7 +44,6 @@ RUN_BITS = 12
 #: The conversation that one takes its first turns from, and how many at most.
 FAMILY, MOST_TAKEN = 5, 8
 
-ROOT = "0-0-0"
 NO_MEMBERS = hashlib.sha256().hexdigest()
 
 
@@ -103,8 +102,9 @@ def rebuild(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rest.unionByName(taken), convs.select("c", "length")
 
 
-def _key(depth: Column, a: Column, b: Column) -> Column:
-    return F.concat_ws("-", depth.cast("string"), F.hex(a), F.hex(b))
+def _key(a: Column, b: Column) -> Column:
+    """16 bytes of two longs."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(x), 16, "0") for x in (a, b)]))
 
 
 def memberships(turns: DataFrame, convs: DataFrame) -> DataFrame:
@@ -118,10 +118,9 @@ def memberships(turns: DataFrame, convs: DataFrame) -> DataFrame:
     summed = rows.select("*", *[F.bit_xor(f"x{i}").over(within).alias(f"p{i}") for i in (1, 2)]).join(bases, ["c", "block"], "left")
     at = [F.col(f"p{i}").bitwiseXOR(F.coalesce(f"b{i}", F.lit(0))) for i in (1, 2)]
     up = [a.bitwiseXOR(F.col(f"x{i}")) for i, a in enumerate(at, 1)]
-    parent = F.when(F.col("pos") == 1, F.lit(ROOT)).otherwise(_key(F.col("pos") - 1, *up))
-    below = summed.select("c", _key(F.col("pos"), *at).alias("id"), parent.alias("parent"), F.col("pos").alias("depth"), "bytes", (F.col("pos") == F.col("length")).alias("ends"))
+    below = summed.select("c", _key(*at).alias("id"), _key(*up).alias("parent"), F.col("pos").alias("depth"), "bytes", (F.col("pos") == F.col("length")).alias("ends"))
     nothing = F.lit(0).cast("long")
-    root = convs.select("c", F.lit(ROOT).alias("id"), F.lit(None).cast("string").alias("parent"), nothing.alias("depth"), nothing.alias("bytes"), (F.col("length") == 0).alias("ends"))
+    root = convs.select("c", _key(nothing, nothing).alias("id"), F.lit(None).cast("binary").alias("parent"), nothing.alias("depth"), nothing.alias("bytes"), (F.col("length") == 0).alias("ends"))
     return below.unionByName(root)
 
 
@@ -131,7 +130,7 @@ def member_hashes(ended: DataFrame) -> DataFrame:
     listed = runs.select("id", "run", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list[str] = []
+        names: list[bytes] = []
         found: list[str] = []
         now, sha = None, None
         for batch in batches:
@@ -145,31 +144,39 @@ def member_hashes(ended: DataFrame) -> DataFrame:
                     now, sha = name, hashlib.sha256()
                 sha.update(ids.encode())
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.string())], ["id", "ends_sha256"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(found, pa.string())], ["id", "ends_sha256"])
                 names, found = [], []
         if sha is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([sha.hexdigest()], pa.string())], ["id", "ends_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.binary()), pa.array([sha.hexdigest()], pa.string())], ["id", "ends_sha256"])
 
-    return listed.repartition("id").sortWithinPartitions("id", "run").mapInArrow(stream, "id string, ends_sha256 string")
+    return listed.repartition("id").sortWithinPartitions("id", "run").mapInArrow(stream, "id binary, ends_sha256 string")
 
 
 def roll_up(nodes: DataFrame, sums: list[str]) -> DataFrame:
-    """``nodes`` (id, parent, depth, conv_id, ...) with the columns ``sums``
-    added up over subtrees, and parent_conv_id."""
-    nodes = materialize(nodes.withColumns({"jump": F.col("parent"), "parent_conv_id": F.lit(None).cast("long")}), "trie-0")
+    """id and the columns ``sums`` of ``nodes`` (id, parent, depth, ...; a
+    table), added up over subtrees.  Rounds carry nothing else."""
     size, deepest = nodes.agg(F.count(F.lit(1)), F.max("depth")).first()
-    rounds = (deepest or 0).bit_length()
+    state, rounds = nodes.select("id", F.col("parent").alias("jump"), *sums), (deepest or 0).bit_length()
     for k in range(rounds):
-        brought = nodes.where("jump is not null").groupBy(F.col("jump").alias("target")).agg(*[F.sum(c).alias(f"more_{c}") for c in sums], F.count(F.lit(1)).alias("n"))
-        out = nodes.join(brought.withColumnRenamed("target", "id").drop("n"), "id", "left")
-        out = out.withColumns({c: F.col(c) + F.coalesce(f"more_{c}", F.lit(0)) for c in sums}).drop(*[f"more_{c}" for c in sums])
-        if k < rounds - 1 or k == 0:
-            targets = nodes.select("id", F.col("jump").alias("next_jump"), F.col("conv_id").alias("above"))
-            hot = brought.where(F.col("n") > size // HOT).select("target")
-            out = join_hot(out, "jump", targets, "id", hot, F.col("id")).withColumn("jump", F.col("next_jump"))
-            out = out.withColumn("parent_conv_id", F.col("above")) if k == 0 else out
-        nodes = materialize(out.select(*nodes.columns), f"trie-{k + 1}")
-    return nodes.drop("jump")
+        brought = state.where("jump is not null").groupBy("jump").agg(*[F.sum(c).alias(f"more_{c}") for c in sums], F.count(F.lit(1)).alias("n"))
+        out = state.join(brought.drop("n").withColumnRenamed("jump", "id"), "id", "left")
+        added = [(F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c) for c in sums]
+        if k == rounds - 1:
+            return out.select("id", *added)
+        hot = brought.where(F.col("n") > size // HOT).select("jump")
+        targets = state.where("jump is not null").select("id", F.col("jump").alias("next_jump"))
+        leapt = join_hot(out.select("id", "jump", *added), "jump", targets, "id", hot, F.col("id"))
+        state = materialize(leapt.select("id", F.col("next_jump").alias("jump"), *sums), f"trie-{k + 1}")
+    return state.drop("jump")
+
+
+def with_parents(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (a table) with parent_conv_id and n_children."""
+    children = nodes.where("parent is not null").groupBy("parent").agg(F.count(F.lit(1)).alias("n_children"))
+    hot = children.where(F.col("n_children") > nodes.count() // HOT).select("parent")
+    named = join_hot(nodes, "parent", nodes.select("id", F.col("conv_id").alias("parent_conv_id")), "id", hot, F.col("id"))
+    counted = named.join(children.withColumnRenamed("parent", "id"), "id", "left")
+    return counted.withColumn("n_children", F.coalesce("n_children", F.lit(0)))
 
 
 def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
@@ -177,11 +184,10 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     (c, length): id, parent, conv_id, depth, parent_conv_id, n_convs,
     n_children, n_leaves, saved_tokens, ends_sha256."""
     rows = materialize(memberships(turns, convs), "trie-rows")
-    nodes = rows.groupBy("id", "parent", "depth", "bytes").agg(F.min("c").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"))
-    children = nodes.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n_children"))
-    nodes = nodes.join(children, "id", "left").withColumns({"n_children": F.coalesce("n_children", F.lit(0))})
-    nodes = nodes.withColumns({"n_leaves": (F.col("n_children") == 0).cast("long"), "saved_tokens": (F.col("n_convs") - 1) * F.col("bytes")})
-    done = roll_up(nodes, ["n_leaves", "saved_tokens"]).join(member_hashes(rows.where("ends").select("id", "c")), "id", "left")
+    found = rows.groupBy("id", "parent", "depth", "bytes").agg(F.min("c").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"))
+    nodes = materialize(with_parents(materialize(found, "trie-nodes")), "trie-0")
+    counts = nodes.select("id", "parent", "depth", (F.col("n_children") == 0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("bytes")).alias("saved_tokens"))
+    done = nodes.join(roll_up(counts, ["n_leaves", "saved_tokens"]), "id").join(member_hashes(rows.where("ends").select("id", "c")), "id", "left")
     names = ["id", "parent", "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
     return done.select(*names, F.coalesce("ends_sha256", F.lit(NO_MEMBERS)).alias("ends_sha256"))
 

@@ -122,12 +122,12 @@ HOT = 1000
 
 
 def join_hot(rows: DataFrame, on: str, table: DataFrame, key: str, hot: DataFrame, spread: Column) -> DataFrame:
-    """``rows`` left-joined with ``table`` (unique by ``key``, a string) where
-    ``on`` is ``key``; the table's other columns are added.
+    """``rows`` left-joined with ``table`` (unique by ``key``, a string or binary)
+    where ``on`` is ``key``; the table's other columns are added.
 
     ``hot`` has one column, the keys that over 1 / HOT of the rows look for:
     what they find is broadcast, fewer than HOT rows.  Rows that have met it, or
-    look for null, go into the shuffled join under ``spread``, a string of their
+    look for null, go into the shuffled join under ``spread``, a key of their
     own, so that no key brings more than 1 / HOT of the rows together."""
     wanted = fresh("join_key", rows, table)
     names = [c for c in table.columns if c != key]
@@ -136,6 +136,6 @@ def join_hot(rows: DataFrame, on: str, table: DataFrame, key: str, hot: DataFram
     few = packed.join(F.broadcast(hot.toDF(wanted)), wanted, "left_semi").withColumnsRenamed({wanted: on, found: f"{found}_few"})
     met = rows.join(F.broadcast(few), on, "left")
     done = F.col(f"{found}_few").isNotNull() | F.col(on).isNull()
-    met = met.withColumn(wanted, F.when(done, F.concat(F.lit("none "), spread)).otherwise(F.col(on)))
+    met = met.withColumn(wanted, F.when(done, F.concat(F.lit("none ").cast(rows.schema[on].dataType), spread)).otherwise(F.col(on)))
     out = met.join(packed, wanted, "left").withColumn(found, F.coalesce(f"{found}_few", found))
     return out.select(*rows.columns, *[F.col(f"{found}.{c}").alias(c) for c in names])
