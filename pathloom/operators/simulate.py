@@ -175,12 +175,10 @@ def predictive_times_at(samples: DataFrame, values: dict[str, float], n: int = 5
     for name, value in values.items():
         place = place + F.col(f"`beta_{name}`") * F.lit(float(value))
     kept = samples.select("chain", "draw", place.alias("place"), "kappa").orderBy("chain", "draw").collect()  # chains x draws rows
-    table = F.array(*[F.struct(F.lit(r["place"]).alias("mu"), F.lit(r["kappa"]).alias("kappa")) for r in kept])
     pick = F.floor(uniform(F.lit(seed), F.col("id"), F.lit("p")) * len(kept)).cast("int")
-    drawn = samples.sparkSession.range(n).select(F.col("id").alias("draw"), F.get(table, pick).alias("p"))
-    u = uniform(F.lit(seed), F.col("draw"), F.lit("t"))
-    time = F.greatest(F.exp(F.col("p.mu")) * F.pow(-F.ln(1 - u), 1 / F.col("p.kappa")), F.lit(LEAST_MINUTES))
-    return drawn.select("draw", "p.mu", "p.kappa", time.alias("minutes"))
+    drawn = samples.sparkSession.range(n).select(F.col("id").alias("draw"), pick.alias("pick"), uniform(F.lit(seed), F.col("id"), F.lit("t")).alias("u"))
+    points = drawn.selectExpr("draw", "u", f"{numbers([r['place'] for r in kept])}[pick] AS mu", f"{numbers([r['kappa'] for r in kept])}[pick] AS kappa")
+    return points.selectExpr("draw", "mu", "kappa", f"greatest(exp(mu) * power(-ln(1 - u), 1 / kappa), {LEAST_MINUTES!r}D) AS minutes")
 
 
 def scenario(times: DataFrame, multiplier: float) -> DataFrame:

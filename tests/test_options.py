@@ -200,3 +200,33 @@ def test_posterior_with_covariates_agrees_with_the_grid_and_the_truth(spark):
     grid = simulate.posterior_means(simulate.posterior(df, simulate.Grid(mu_reach=1.0, kappa_step=0.02, kappas=150))).first()
     none = simulate.posterior_with_covariates(df, [], 600, 200).agg(F.avg("mu").alias("m"), F.avg("kappa").alias("k")).first()
     assert (none.m, none.k) == pytest.approx((grid.mu_mean, grid.kappa_mean), abs=0.02)
+
+
+# -- plans -------------------------------------------------------------------
+
+def test_plans_hold_few_exchanges_and_no_group_in_one_task(spark, sf):
+    from pathloom.plans import analytics, views
+
+    def planned(make):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            return make()._jdf.queryExecution().executedPlan().toString().split("\n")
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+
+    shuffles = lambda plan: [x for x in plan if "Exchange " in x and "Reused" not in x and "Broadcast" not in x]
+    sampled = planned(lambda: queues.sampled(analytics.intervals(spark, sf)))
+    assert len(shuffles(sampled)) <= 4
+    waits = planned(lambda: queues.wait_summary(analytics.intervals(spark, sf)))
+    assert not any(" percentile(" in x for x in waits) and len(shuffles(waits)) <= 5
+    scores = planned(lambda: anomaly.detect(views.log_day(spark, sf), analytics.ANOMALY))
+    assert not shuffles(scores) and not any("NestedLoop" in x for x in scores)
+
+
+@pytest.mark.parametrize("task", ["binary", "regression"])
+def test_linear_models_equal_a_plain_solver(spark, task):
+    df, x, z, y = cases(spark)
+    profile = spark.createDataFrame([(6.0, 0.5)], "x double, z double")
+    got = models.predict(models.train(df, ["x", "z"], task), profile).first()
+    want = solved(x, z, y, np.ones(len(x)), task == "binary")
+    assert (got.y_score if task == "binary" else got.y_pred) == pytest.approx(want, rel=2e-3)
