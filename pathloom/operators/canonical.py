@@ -113,7 +113,7 @@ def tag(log: DataFrame, cfg: CanonicalConfig, s: LogSchema = LOG) -> DataFrame:
     rows = rows.withColumn("new_seq", F.row_number().over(ordered).cast("long"))
     terminal = act.isin(cfg.terminals) if cfg.terminals else F.lit(False)
     rows = rows.withColumn("last_step", F.max(F.when(~terminal, t)).over(case))
-    rows = rows.withColumn("pushed", F.coalesce(terminal & (t <= F.col("last_step")), F.lit(False)))
+    rows = rows.withColumn("pushed", F.coalesce(~dead & terminal & (t <= F.col("last_step")), F.lit(False)))
     step_no = F.sum(F.col("pushed").cast("int")).over(so_far)
     fixed = F.col("last_step") + _seconds(step_no)
     if cfg.terminal_fix_mode == "roll_day_if_midnight_and_backwards":

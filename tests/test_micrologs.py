@@ -242,3 +242,10 @@ def test_simulation_with_covariates_and_priors(spark):
     grid = simulate.Grid(kappa_low=0.5, kappa_step=0.25, kappas=20, mus=41)
     means = [simulate.posterior_means(simulate.posterior(data, grid, p)).first() for p in (simulate.Priors(), simulate.Priors(kappa_gamma=(2.0, 50.0)), simulate.Priors(mu_mean=0.0, mu_sd=0.01))]
     assert means[1].kappa_mean < means[0].kappa_mean and means[2].mu_mean < means[0].mu_mean
+
+
+def test_dropped_terminals_are_not_reordered(spark):
+    rows = log(spark, [("c", "B", 0), ("c", "T", 1), ("c", "T", 1), ("c", "A", 16)], "hours")  # A is at midnight
+    cfg = canonical.CanonicalConfig(step_rules=canonical.rules_from_lists(midnight=("A",), terminal=("T",)))
+    counts = canonical.report(rows, cfg).first()
+    assert (counts.dropped_midnight, counts.dropped_duplicates, counts.terminal_reordered_cases) == (1, 1, 0)
