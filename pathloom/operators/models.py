@@ -54,8 +54,10 @@ def train(
 ) -> Trained:
     """binary: logistic regression (L2, C = 1, scaled without centring) or a
     balanced forest; regression: ridge (alpha = 1) or a forest.  ``weight`` names
-    a column of rows' weights, for forests."""
-    rows = df.withColumn("y", F.col("y").cast("double")).fillna(0.0, subset=list(columns))
+    a column of rows' weights, for forests.  What a fit reads is written once:
+    its passes don't work out the cases again."""
+    needed = df.select(*columns, F.col("y").cast("double").alias("y"), *([weight] if weight else []))
+    rows = written(needed.fillna(0.0, subset=list(columns)), "fit")
     steps = [VectorAssembler(inputCols=list(columns), outputCol="raw_"), StandardScaler(inputCol="raw_", outputCol="features", withMean=False)]
     shape = rows.agg(F.count(F.lit(1)), F.stddev_pop("y")).first()
     n, spread = shape[0], shape[1] or 0.0
@@ -105,8 +107,10 @@ def split(df: DataFrame, key: str, share: float = 0.25, seed: int = 42, by: str
 
 def evaluate(df: DataFrame, columns: list[str], key: str, task: str = "binary", model_type: str = "logreg", trees: int | None = None) -> DataFrame:
     """Metrics of a model fitted on three quarters (of each class), on the rest."""
-    fit_on, test = split(df, key, by="y" if task == "binary" else None)
-    got = predict(train(fit_on, columns, task, model_type, trees=trees), test).withColumnRenamed("y", "y_true")
+    cases = written(df.select(*dict.fromkeys([key, "y", *columns])), "cases")
+    fit_on, test = split(cases, key, by="y" if task == "binary" else None)
+    predicted = predict(train(fit_on, columns, task, model_type, trees=trees), test)
+    got = written(predicted.select(F.col("y").alias("y_true"), "y_pred", "y_score"), "predicted")
     if task == "regression":
         return stats.regression_metrics(got)
     return stats.binary_metrics(got).crossJoin(stats.roc_auc(got)).crossJoin(stats.average_precision(got))

@@ -230,3 +230,17 @@ def test_linear_models_equal_a_plain_solver(spark, task):
     got = models.predict(models.train(df, ["x", "z"], task), profile).first()
     want = solved(x, z, y, np.ones(len(x)), task == "binary")
     assert (got.y_score if task == "binary" else got.y_pred) == pytest.approx(want, rel=2e-3)
+
+
+def test_a_model_reads_its_cases_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    kind = "case_id long, x double, y int"
+    rows = spark.range(400).selectExpr("id AS case_id", "CAST(id % 37 AS DOUBLE) AS x", "CAST(id % 37 > 17 AS INT) AS y").mapInPandas(count, kind)
+    assert models.evaluate(rows, ["x"], "case_id").first().accuracy > 0.8
+    assert seen.value == 400
