@@ -4,48 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import sqrt
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import resampling, stats
 from pathloom.functions.ranks import quantiles
+from pathloom.operators import forest
+from pathloom.operators.forest import DEPTH
 from pathloom.sources.tables import written
 
 
 @dataclass(frozen=True)
 class Trained:
-    pipeline: PipelineModel
+    pipeline: PipelineModel | forest.Forest
     columns: tuple[str, ...]
     task: str
     model_type: str
 
 
-#: Levels of a tree at most: what Spark's forests allow.  Trees end where nodes are pure or small, as a rule far above.
-DEPTH = 30
-#: Values of a feature that trees tell apart.
-BINS = 256
-
-
-def _weighted(df: DataFrame, weight: str | None) -> DataFrame:
-    """Weights n / (2 n_class), so that both classes weigh the same, times the
-    rows' own ones."""
+def _class_weights(df: DataFrame, weight: str | None) -> tuple[float, float]:
+    """Weights n / (2 n_class), so that both classes weigh the same."""
     own = F.col(weight) if weight else F.lit(1.0)
     sums = {r["y"]: r["w"] for r in df.where("y in (0, 1)").groupBy("y").agg(F.sum(own).alias("w")).collect()}  # two rows
     total = sum(sums.values())
-    share = F.lit(0.0)
-    for y, w in sums.items():
-        share = F.when(F.col("y") == y, F.lit(total / (2 * w))).otherwise(share)
-    return df.withColumn("weight_", share * own)
+    return tuple(total / (2 * sums[y]) if sums.get(y) else 1.0 for y in (0, 1))
 
 
 def train(
@@ -64,14 +56,13 @@ def train(
     if task == "binary" and model_type == "logreg":
         model = LogisticRegression(labelCol="y", maxIter=2000, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False)
     elif task == "binary" and model_type == "rf":
-        rows = _weighted(rows, weight)
-        model = RandomForestClassifier(labelCol="y", numTrees=trees or 300, maxDepth=depth, weightCol="weight_", seed=seed, maxBins=BINS, maxMemoryInMB=512)
+        rule = forest.Rule(True, _class_weights(rows, weight))
+        return Trained(forest.fit(rows, tuple(columns), trees or 300, rule, ceil(sqrt(len(columns))), seed, depth, weight), tuple(columns), task, model_type)
     elif task == "regression" and model_type == "logreg":
         penalty = max(spread, 1e-12) / max(n, 1)
         model = LinearRegression(labelCol="y", regParam=penalty, elasticNetParam=0.0, standardization=False, solver="normal")
     elif task == "regression" and model_type == "rf":
-        model = RandomForestRegressor(labelCol="y", numTrees=trees or 500, maxDepth=depth, featureSubsetStrategy="all", seed=seed, maxBins=BINS, maxMemoryInMB=512)
-        model = model.setWeightCol(weight) if weight else model
+        return Trained(forest.fit(rows, tuple(columns), trees or 500, forest.Rule(False), len(columns), seed, depth, weight), tuple(columns), task, model_type)
     else:
         raise ValueError(f"unknown task or model: {task!r}, {model_type!r}")
     return Trained(Pipeline(stages=[*steps, model]).fit(rows), tuple(columns), task, model_type)
@@ -83,7 +74,15 @@ def predict(trained: Trained, df: DataFrame) -> DataFrame:
     for c in trained.columns:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(0.0))
-    out = trained.pipeline.transform(df.fillna(0.0, subset=list(trained.columns)))
+    filled = df.fillna(0.0, subset=list(trained.columns))
+    if trained.model_type == "rf":
+        rows = written(filled.withColumn("row_", F.monotonically_increasing_id()), "asked")
+        got = forest.predicted(trained.pipeline, rows, "row_").withColumnsRenamed({"row": "row_", "value": "value_"})
+        named = {"y_pred": F.col("value_"), "y_score": F.lit(None).cast("double")}
+        if trained.task == "binary":
+            named = {"y_pred": (F.col("value_") > 0.5).cast("double"), "y_score": F.col("value_")}
+        return rows.join(got, "row_").withColumns(named).drop("row_", "value_")
+    out = trained.pipeline.transform(filled)
     score = vector_to_array("probability")[1] if trained.task == "binary" else F.lit(None).cast("double")
     named = out.withColumns({"y_pred": F.col("prediction"), "y_score": score})
     return named.drop("raw_", "features", "rawPrediction", "probability", "prediction")
