@@ -8,10 +8,12 @@ square of the rows where nodes grow with them.  Here
 2. nodes of over LOCAL rows are split by sums over all partitions, a job a level
    for all trees; one row a node comes to the driver;
 3. rows of smaller nodes meet by a shuffle and each such node is grown to its end,
-   at most LOCAL rows at a time; its nodes are rows of a table;
+   at most LOCAL rows at a time; what grew is a row of a table;
 4. rows to predict follow the upper nodes, then meet the table by a shuffle.
 
-Each level costs its rows and nothing for its nodes.  Bins, depth, features tried
+Rows of one node and one batch are shuffled as one record, so a shuffle has few
+records however many trees there are.  Each level costs its rows and nothing for
+its nodes.  Bins, depth, features tried
 at a node and when a node ends (no gain) are as in Spark's forests.
 """
 
@@ -33,9 +35,13 @@ DEPTH = 30
 #: Values of a feature that trees tell apart; a bin is a byte.
 BINS = 256
 #: Rows of a node that one call grows to its end.
-LOCAL = 100_000
+LOCAL = 250_000
 #: Rows of trees that are handled at once, and rows to a task of a shuffle.
 AT_ONCE, TASK_ROWS = 1 << 20, 2_000_000
+#: Sums by key are counted in an array of all keys if it has no more than DENSE cells a row.
+DENSE = 4
+#: Votes are whole multiples of the least of 2 ** -VOTE_BITS of their reach, so that sums of up to 4,096 don't depend on their order.
+VOTE_BITS = 40
 #: Gains below this share of a node's score are rounding.
 LEAST_GAIN = 1e-10
 
@@ -109,6 +115,10 @@ class Nodes:
         return at
 
 
+#: What a tree's nodes are written as.
+TREE = {"feature": np.int32, "cut": np.int32, "left": np.int32, "value": np.float64}
+
+
 def _heads(values: np.ndarray) -> np.ndarray:
     new = np.ones(len(values), bool)
     new[1:] = values[1:] != values[:-1]
@@ -117,9 +127,13 @@ def _heads(values: np.ndarray) -> np.ndarray:
 
 def _merged(key: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums by key, in the keys' order."""
+    cells = int(key.max(initial=-1)) + 1
+    if cells <= DENSE * len(key):
+        have = np.flatnonzero(np.bincount(key, minlength=cells))
+        return have, np.stack([np.bincount(key, s, cells)[have] for s in sums.T], axis=1)
     order = np.argsort(key, kind="stable")
     heads = _heads(key[order])
-    return key[order][heads], np.add.reduceat(sums[order], heads, axis=0) if len(key) else sums
+    return key[order][heads], np.add.reduceat(sums[order], heads, axis=0)
 
 
 def best_splits(key: np.ndarray, sums: np.ndarray, k: int, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -183,8 +197,9 @@ class Forest:
     edges: tuple[np.ndarray, ...]  # upper ends of a feature's bins but the last
     trees: int
     upper: Nodes  # the first are the roots
-    lower: DataFrame  # nodes that grew from ends of the upper ones
+    lower: DataFrame  # what grew from ends of the upper ones, a row each
     shift: float
+    step: float  # votes are multiples of it
 
 
 def _edges(rows: DataFrame, column: str) -> np.ndarray:
@@ -207,6 +222,31 @@ def _unpacked(x: pd.Series, k: int) -> np.ndarray:
     return np.frombuffer(b"".join(x), np.uint8).reshape(-1, k)
 
 
+class _Records:
+    """One record for the rows of a node, of numbers in arrays, until AT_ONCE rows are held."""
+
+    def __init__(self, *names: str):
+        self.names, self.found, self.held = names, [], 0
+
+    def add(self, node: np.ndarray, *columns: np.ndarray) -> Iterator[pd.DataFrame]:
+        order = np.argsort(node, kind="stable")
+        heads = _heads(node[order])
+        for some in np.split(order, heads[1:]) if len(order) else []:
+            self.found.append((node[some[0]], *[c[some].tobytes() for c in columns]))
+        self.held += len(order)
+        if self.held > AT_ONCE:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        if self.found:
+            yield pd.DataFrame(self.found, columns=["node", *self.names])
+        self.found, self.held = [], 0
+
+
+def _numbers(column: pd.Series, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind)
+
+
 def _tasks(df: DataFrame, rows: int) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
 
@@ -219,10 +259,11 @@ def fit(rows: DataFrame, columns: tuple[str, ...], trees: int, rule: Rule, most:
     """A forest for ``y`` of written ``rows`` without nulls; a node tries ``most``
     features.  ``weight`` names a column of rows' weights."""
     k = len(columns)
-    n, shift, known = rows.agg(F.count(F.lit(1)), F.avg("y"), F.count("y")).first()
+    n, shift, known, low, high = rows.agg(F.count(F.lit(1)), F.avg("y"), F.count("y"), F.min("y"), F.max("y")).first()
     if known < n or (rule.binary and rows.where("y NOT IN (0, 1)").limit(1).count()):
         raise ValueError("y has to be 0 or 1" if rule.binary else "y has to be a number")
     shift = 0.0 if rule.binary else shift or 0.0
+    reach = 1.0 if rule.binary or not n else float(max(high - shift, shift - low)) or 1.0
     plain = rows.select(*_numbered(columns), (F.col("y") - shift).alias("y"), (F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)).alias("w"))
     edges = tuple(_edges(plain, f"x{i}") for i in range(k))
 
@@ -298,61 +339,56 @@ def fit(rows: DataFrame, columns: tuple[str, ...], trees: int, rule: Rule, most:
     slots[small] = small
 
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        records = _Records("x", "a", "b")
         for slot, x, own in placed(batches, nodes, slots):
-            yield pd.DataFrame({"node": slot, "x": _packed(x), "a": own[:, 1], "b": own[:, 2]})
+            yield from records.add(slot, x, own[:, 1], own[:, 2])
+        yield from records.rest()
 
     def grow(b: pd.DataFrame) -> pd.DataFrame:
         node = int(b["node"].iloc[0])
-        sums = np.stack([np.ones(len(b)), b["a"], b["b"]], axis=1)
+        own, other = _numbers(b["a"], float), _numbers(b["b"], float)
+        sums = np.stack([np.ones(len(own)), own, other], axis=1)
         tree = grown(_unpacked(b["x"], k), sums, np.random.default_rng([seed % (1 << 32), node]), levels_of[node], most, rule)
-        return pd.DataFrame({"node": node, "i": np.arange(len(tree.feature)), "feature": tree.feature, "cut": tree.cut, "left": tree.left, "value": tree.value})
+        return pd.DataFrame([(node, *[getattr(tree, c).tobytes() for c in TREE])], columns=["node", *TREE])
 
-    rows_of = table.mapInPandas(sent, "node long, x binary, a double, b double").repartition(max(_tasks(rows, n * trees), min(len(small), 1000)), "node")
-    lower = rows_of.groupBy("node").applyInPandas(grow, "node long, i int, feature int, cut int, left int, value double")
-    return Forest(columns, edges, trees, nodes, written(lower, "trees"), shift)
+    rows_of = table.mapInPandas(sent, "node long, x binary, a binary, b binary").repartition(max(_tasks(rows, n * trees), min(len(small), 1000)), "node")
+    lower = rows_of.groupBy("node").applyInPandas(grow, "node long, " + ", ".join(f"{c} binary" for c in TREE))
+    step = 2.0 ** (math.ceil(math.log2(reach)) - VOTE_BITS)
+    return Forest(columns, edges, trees, nodes, written(lower, "trees"), shift, step)
 
 
 def predicted(forest: Forest, rows: DataFrame, row: str) -> DataFrame:
     """(row, value): the mean over the trees, by rows' numbers in ``row``."""
-    k, edges, trees, upper = len(forest.columns), forest.edges, forest.trees, forest.upper
+    k, edges, trees, upper, step = len(forest.columns), forest.edges, forest.trees, forest.upper, forest.step
+    n = rows.count()
+    parts = -(-n // TASK_ROWS) or 1  # of the rows of a node
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = _bins(b, edges)
-            packed = _packed(x)
+            x, own = _bins(b, edges), b["row"].to_numpy()
+            part = int(_mix(own[:1].astype(_U))[0] % _U(parts))
+            records = _Records("row", "x")
             for tree in range(trees):
-                at = upper.follow(np.full(len(b), tree), x)
-                yield pd.DataFrame({"node": at, "row": b["row"], "x": packed, "value": upper.value[at]})
+                for out in records.add(upper.follow(np.full(len(b), tree), x), own, x):
+                    yield out.assign(part=part)
+            for out in records.rest():
+                yield out.assign(part=part)
+
+    def follow(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        """Values of the rows of one node."""
+        row, value = _numbers(asked["row"], np.int64), np.zeros(0)
+        if len(row) and len(own):
+            tree = Nodes(0)
+            for c, kind in TREE.items():
+                setattr(tree, c, np.frombuffer(own[c].iloc[0], kind))
+            value = tree.value[tree.follow(np.zeros(len(row), np.int64), _unpacked(asked["x"], k))]
+        elif len(row):
+            value = np.full(len(row), upper.value[asked["node"].iloc[0]])
+        return pd.DataFrame({"row": row, "value": np.round(value / step) * step})
 
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows of a node come after its table's, in order of these."""
-        current, held, tree = None, [], None
-        for b in batches:
-            node, row = b["node"].to_numpy(), b["row"].to_numpy()
-            heads = _heads(node)
-            for start, stop in zip(heads, np.append(heads[1:], len(b)), strict=True):
-                if node[start] != current:
-                    current, held, tree = node[start], [], None
-                first = start + int(np.searchsorted(row[start:stop], 0))  # those of the table have -1
-                if first > start:
-                    held.append(b.iloc[start:first])
-                if first == stop:
-                    continue
-                part = b.iloc[first:stop]
-                value = part["value"].to_numpy()
-                if held and tree is None:
-                    own, tree = pd.concat(held), Nodes(0)
-                    tree.feature, tree.cut, tree.left, tree.value = (own[c].to_numpy() for c in ("feature", "cut", "left", "value"))
-                if tree is not None:
-                    value = tree.value[tree.follow(np.zeros(len(part), np.int64), _unpacked(part["x"], k))]
-                yield pd.DataFrame({"row": part["row"], "value": value})
-
-    n = rows.count()
     plain = rows.select(F.col(row).alias("row"), *_numbered(forest.columns)).repartition(_tasks(rows, n))
-    none = [F.lit(0).alias(c) for c in ("i", "feature", "cut", "left")]
-    asked = plain.mapInPandas(ends, "node long, row long, x binary, value double").select("node", "row", "x", "value", *none)
-    own = forest.lower.select("node", F.lit(-1).cast("long").alias("row"), F.lit(None).cast("binary").alias("x"), "value", "i", "feature", "cut", "left")
-    met = asked.union(own).repartition(_tasks(rows, n * trees), "node").sortWithinPartitions("node", "row", "i")
-    values = met.mapInPandas(follow, "row long, value double").groupBy("row").agg(F.array_sort(F.collect_list("value")).alias("all_"))  # one a tree
-    # Added up in one order, so that equal votes are equal scores.
-    return values.select("row", (F.aggregate("all_", F.lit(0.0), lambda a, v: a + v) / trees + forest.shift).alias("value"))
+    asked = plain.mapInPandas(ends, "node long, row binary, x binary, part int")
+    own = forest.lower.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    sides = [df.repartition(_tasks(rows, n * trees), "node", "part").groupBy("node", "part") for df in (asked, own)]
+    values = sides[0].cogroup(sides[1]).applyInPandas(follow, "row long, value double").groupBy("row").agg(F.sum("value").alias("votes"))
+    return values.select("row", (F.col("votes") / trees + forest.shift).alias("value"))

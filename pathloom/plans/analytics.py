@@ -422,7 +422,7 @@ QUERIES = {
     "last_activity_onehot": last_activity_onehot,
     "prediction_dataset": prediction_dataset,
     "model_logreg": _model("binary", "logreg"),
-    "model_rf": _model("binary", "rf", 20),
+    "model_rf": _model("binary", "rf"),
     "model_ridge": _model("regression", "logreg"),
     "model_predict": model_predict,
     "metrics_binary": lambda s, d: _all_rounded(stats.binary_metrics(scored(s, d))),

@@ -71,3 +71,24 @@ def test_forests_refuse_labels_that_are_none(spark):
     for y in ("2", "NULL"):
         with pytest.raises(ValueError):
             models.train(noise(spark, 20).withColumn("y", F.expr(f"CAST({y} AS INT)")), ["u"], model_type="rf", trees=1)
+
+
+def test_the_query_grows_all_trees_of_the_model(spark, monkeypatch):
+    from pathloom.plans import analytics
+
+    asked, fit = [], forest.fit
+
+    def few(rows, columns, trees, *rest):
+        asked.append(trees)
+        return fit(rows, columns, 2, *rest)
+
+    monkeypatch.setattr(forest, "fit", few)
+    assert analytics.QUERIES["model_rf"](spark, "/root/testdata/sf0.001").count() == 1
+    assert asked == [300]
+
+
+def test_equal_votes_are_equal_scores_whatever_their_order(spark):
+    df = spark.range(64).select("id", (F.col("id") % 2).cast("double").alias("u"), F.expr("CAST(id % 7 AS DOUBLE) / 3").alias("y")).localCheckpoint()
+    made = forest.fit(df, ("u",), 150, forest.Rule(False), 1, 3)
+    got = forest.predicted(made, df, "id").join(df, F.col("row") == F.col("id")).groupBy("u").agg(F.count_distinct("value").alias("n"))
+    assert [r["n"] for r in got.collect()] == [1, 1]
