@@ -66,8 +66,9 @@ BLOCK = 384
 BROADCAST_REFS = 400_000
 
 _draw = np.random.default_rng(20240611)
-_XOR = _draw.integers(0, 1 << 64, COORDINATES, np.uint64)
-_ODD = _draw.integers(0, 1 << 64, COORDINATES, np.uint64) | np.uint64(1)
+_XOR = _draw.integers(0, 1 << 32, (COORDINATES, 1), np.uint32)
+_ODD = _draw.integers(0, 1 << 32, (COORDINATES, 1), np.uint32) | np.uint32(1)
+_EACH = np.arange(COORDINATES)
 _PRINT = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 
 
@@ -86,16 +87,39 @@ def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
     are one shingle, no words are none."""
     if 0 < len(hashes) < size:
         return tk.shingles(hashes, len(hashes)) ^ np.uint64(len(hashes))
-    return np.unique(tk.shingles(hashes, size))
+    return _distinct(tk.shingles(hashes, size))
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    hashes = np.sort(hashes)
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    return hashes[new]
+
+
+def _sets_of(w: tk.Words, size: int) -> Iterator[np.ndarray]:
+    """The shingle set of each text of a slice."""
+    every = tk.shingles(w.hashes, size)
+    for start, stop in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
+        whole = stop - start >= size
+        yield _distinct(every[start : stop - size + 1]) if whole else shingle_set(w.hashes[start:stop], size)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The COORDINATES minima of a set, their upper 32 bits."""
-    low = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        values = (shingles[at : at + 2048, None] ^ _XOR) * _ODD
-        np.minimum(low, values.min(axis=0), out=low)
-    return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    """Of a set, for each coordinate, the shingle whose upper half has the least
+    value under that coordinate's permutation: its lower half.  The minima
+    themselves crowd near zero, so with millions of sets unlike ones would meet
+    under them; lower halves are spread over all 32 bits."""
+    upper, lower = (shingles >> np.uint64(32)).astype(np.uint32), shingles.astype(np.uint32)
+    least, out = np.full(COORDINATES, np.iinfo(np.uint32).max), np.full(COORDINATES, lower[0])
+    for at in range(0, len(upper), 1024):
+        values = upper[at : at + 1024] ^ _XOR
+        values *= _ODD
+        place = values.argmin(axis=1)
+        found = values[_EACH, place]
+        less = found < least
+        least, out = np.where(less, found, least), np.where(less, lower[at : at + 1024][place], out)
+    return out.astype(np.uint32).view(np.int32)
 
 
 def fingerprint(shingles: np.ndarray) -> list[int]:
@@ -113,8 +137,7 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
             sizes, prints = np.zeros(n, np.int64), np.zeros((n, 2), np.int64)
             sigs = np.zeros((n, COORDINATES), np.int32)
             for w in tk.words(batch.column(2), lower=True):
-                for i in range(len(w)):
-                    have = shingle_set(w.hashes[w.bounds[i] : w.bounds[i + 1]], size)
+                for i, have in enumerate(_sets_of(w, size)):
                     if len(have):
                         row = w.first_row + i
                         sizes[row], sigs[row], prints[row] = len(have), signature(have), fingerprint(have)
@@ -137,8 +160,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             asked, *prints = (batch.column(i).to_pylist() for i in range(3))
             for w in tk.words(batch.column(3), lower=True):
                 reps, sets = [], []
-                for i in range(len(w)):
-                    have = shingle_set(w.hashes[w.bounds[i] : w.bounds[i + 1]], size)
+                for i, have in enumerate(_sets_of(w, size)):
                     row = w.first_row + i
                     if fingerprint(have) == [prints[0][row], prints[1][row]]:
                         reps.append(asked[row])
@@ -153,20 +175,20 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 def _prefixes(reps: DataFrame, least: int) -> DataFrame:
     """(list_key, rep, n_shingles): the postings under the prefixes."""
-    pairs = reps.select("rep", "n_shingles", F.posexplode("sig").alias("c", "v")).select(
-        "rep", "n_shingles", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")).alias("list_key")
-    )
-    shared = pairs.groupBy("list_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    kept = pairs.join(shared.hint("shuffle_hash"), "list_key")
+    key = F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")
+    pairs = reps.select("rep", F.posexplode("sig").alias("c", "v")).select("rep", key.alias("list_key")).repartition("list_key")
+    # A representative is in a list once.  Both columns are read here, so that counting and joining read one shuffle.
+    counts = pairs.groupBy("list_key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    kept = pairs.join(counts.where("lo <> hi").select("list_key", "n").hint("shuffle_hash"), "list_key")
     by_rep = W.partitionBy("rep")
     ranked = kept.select(
         "rep",
-        "n_shingles",
         "list_key",
         F.row_number().over(by_rep.orderBy("n", "list_key")).alias("r"),
         F.count(F.lit(1)).over(by_rep).alias("m"),
     )
-    return ranked.where(F.col("r") <= F.col("m") - (least - 1)).select("list_key", "rep", "n_shingles")
+    first = ranked.where(F.col("r") <= F.col("m") - (least - 1)).select("list_key", "rep")
+    return first.join(reps.select("rep", "n_shingles"), "rep").select("list_key", "rep", "n_shingles")
 
 
 def _agree(a: Column, b: Column) -> Column:
